@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from corpuslake.llm import quality_rules, sharding
+from corpuslake.llm import decontamination, licences, quality_rules, sharding
 
 
 def queries() -> dict:
     return {
         "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op3_benchmark_decontamination": decontamination.op3_benchmark_decontamination,
+        "op9_license_scan": licences.op9_license_scan,
         "op10_sharding": sharding.op10_sharding,
     }
 
@@ -15,5 +17,7 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op2_quality_rules": quality_rules.OP2_SQL,
+        "op3_benchmark_decontamination": decontamination.OP3_SQL,
+        "op9_license_scan": licences.op9_sql(),
         "op10_sharding": sharding.op10_sql(),
     }
