@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from corpuslake.llm import decontamination, licences, quality_rules, sharding
+from corpuslake.llm import decontamination, licences, quality_rules, sharding, suffix_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_benchmark_decontamination": decontamination.op3_benchmark_decontamination,
         "op9_license_scan": licences.op9_license_scan,
