@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslake.llm import decontamination, licences, quality_rules, sharding, suffix_dedup
+from corpuslake.llm import decontamination, licences, near_dedup, quality_rules, sharding, suffix_dedup
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_benchmark_decontamination": decontamination.op3_benchmark_decontamination,
+        "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_license_scan": licences.op9_license_scan,
         "op10_sharding": sharding.op10_sharding,
     }
@@ -19,6 +20,7 @@ def oracle_sql() -> dict:
     return {
         "op2_quality_rules": quality_rules.OP2_SQL,
         "op3_benchmark_decontamination": decontamination.OP3_SQL,
+        "op8_near_dedup": near_dedup.OP8_SQL,
         "op9_license_scan": licences.op9_sql(),
         "op10_sharding": sharding.op10_sql(),
     }
