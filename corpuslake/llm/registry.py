@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from corpuslake.llm import decontamination, licences, near_dedup, quality_rules, sentence_pieces, sharding, suffix_dedup, token_counts
+from corpuslake.llm import (
+    decontamination,
+    licences,
+    near_dedup,
+    quality_classifier,
+    quality_rules,
+    sentence_pieces,
+    sharding,
+    suffix_dedup,
+    token_counts,
+    url_filter,
+)
 
 
 def queries() -> dict:
@@ -10,8 +21,10 @@ def queries() -> dict:
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_benchmark_decontamination": decontamination.op3_benchmark_decontamination,
+        "op4_url_filter": url_filter.op4_url_filter,
         "op5_sentence_pieces": sentence_pieces.op5_sentence_pieces,
         "op6_token_counts": token_counts.op6_token_counts,
+        "op7_quality_classifier": quality_classifier.op7_quality_classifier,
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_license_scan": licences.op9_license_scan,
         "op10_sharding": sharding.op10_sharding,
