@@ -16,6 +16,12 @@ from corpuslake.llm import (
 )
 
 
+def _pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -28,6 +34,7 @@ def queries() -> dict:
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_license_scan": licences.op9_license_scan,
         "op10_sharding": sharding.op10_sharding,
+        "pipeline": _pipeline,
     }
 
 
