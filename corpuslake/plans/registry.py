@@ -1,4 +1,6 @@
 """Names of the registered queries: {name: (spark, sf_dir) -> DataFrame} and their DuckDB twins."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from corpuslake.plans import search
+from corpuslake.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "search"]
