@@ -49,7 +49,7 @@ def path_problems(path: Column, forbidden: tuple = (".git", ".ssh")) -> Column:
 def _masked(body: Column, fmt: Column) -> Column:
     """Heading marks inside closed code fences are put out of reach of the heading pattern."""
     fence = F.when(fmt == "org", r"(?msi)^#\+BEGIN_\w+.*?^#\+END_\w+[ \t]*$").otherwise(r"(?ms)^(`{3,}|~{3,}).*?\n.*?^\1\s*$")
-    blocks = F.regexp_extract_all(body, fence, 0)
+    blocks = F.regexp_extract_all(body, fence, F.lit(0))
     hide = lambda block: F.regexp_replace(block, r"(?m)^(#|\*)", _MARK + "$1")
     return F.aggregate(F.array_distinct(blocks), body, lambda acc, block: F.replace(acc, block, hide(block)))
 
@@ -74,8 +74,8 @@ def chunks_of(body: Column, fmt: Column, options: Chunking = Chunking()) -> Colu
     sections = F.filter(F.split(_masked(body, fmt), at), lambda s: F.regexp_replace(s, r"\s", "") != "")
 
     def pieces(section: Column) -> Column:
-        heading = F.trim(F.regexp_extract(section, mark, 2))
-        level = F.length(F.regexp_extract(section, mark, 1)) + F.when((fmt == "org") & (heading != ""), 1).otherwise(0)
+        heading = F.trim(F.call_function("regexp_extract", section, mark, F.lit(2)))
+        level = F.length(F.call_function("regexp_extract", section, mark, F.lit(1))) + F.when((fmt == "org") & (heading != ""), 1).otherwise(0)
         clean = F.replace(section, F.lit(_MARK), F.lit(""))
         has_headings = F.size(sections) > 1
         parts = F.when((F.length(clean) > options.most_chars) | ((heading == "") & ~has_headings), _packed(clean, options.most_chars)).otherwise(F.array(clean))

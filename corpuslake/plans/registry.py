@@ -1,6 +1,6 @@
 """Names of the registered queries: {name: (spark, sf_dir) -> DataFrame} and their DuckDB twins."""
 
-from corpuslake.plans import conversations, search
+from corpuslake.plans import conversations, lifecycle, search
 from corpuslake.plans.base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "conversations", "search"]
+__all__ = ["ORACLE_SQL", "QUERIES", "conversations", "lifecycle", "search"]
