@@ -1,6 +1,6 @@
 """Names of the registered queries: {name: (spark, sf_dir) -> DataFrame} and their DuckDB twins."""
 
-from corpuslake.plans import conversations, lifecycle, search, tasks
+from corpuslake.plans import conversations, lifecycle, reports, search, streams, tasks
 from corpuslake.plans.base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "conversations", "lifecycle", "search", "tasks"]
+__all__ = ["ORACLE_SQL", "QUERIES", "conversations", "lifecycle", "reports", "search", "streams", "tasks"]
