@@ -4,13 +4,14 @@ the candidates, with a depth that adapts to the region; every link is confirmed
 1. Sketch. One pass gives each text its set size, a digest of the set and a signature of TREES x DEPTH minima.
    Texts with equal sets collapse into one node, whatever their number.
 2. Orders. Tree t sorts the nodes by its DEPTH minima. Nodes that share BASE or more of them form a region. In a
-   region each node is a candidate with its neighbour in the order and with the first node of each deeper region
-   it lies in (adaptive depth: the pivots of the depths at which it still has company). That is linear in the nodes.
-3. Confirmation. Candidates whose signatures agree enough are grouped by their connected component, large ones in
-   buckets of bounded size; a group reads each set once and confirms links on the sets, best first, skipping pairs
-   that are already connected.
-4. The rest. In a region that now holds more than one component, every node outside the largest one is compared
-   with the whole region (in blocks of bounded size), so a pair that shares a region is never lost to step 2.
+   region each node is a candidate with its NEIGHBOURS in the order and with the first node of each deeper region it
+   lies in (adaptive depth: the pivots of the depths at which it still has company). Candidates whose signatures agree
+   enough are kept if they connect what the region has not connected yet: at most one for each node and tree.
+3. Confirmation. The candidates' connected components are dealt in buckets of bounded size; a bucket reads each set
+   once and confirms links on the sets, best first, skipping pairs that are already connected.
+4. The rest. Where a component of candidates is still several classes, every node outside the largest class is
+   compared on the full sets with the whole component, in blocks of bounded size, through an inverted index; only
+   links that join classes come out.
 5. Components of the confirmed links give the classes.
 
 Two texts at similarity 0.8 miss all TREES regions with probability (1 - 0.8^3)^20 = 6e-7, and fall below the
@@ -38,7 +39,7 @@ from corpuslake.llm.shingles import Permutations, mix, shingle_set, words_by_tex
 TREES, DEPTH, BASE = 20, 6, 3
 AGREE = 0.65  # least share of equal minima for a pair that is tried on its sets
 GROUP_SHINGLES = 1_000_000  # set elements that one confirming group reads
-BLOCK = 4096
+NEIGHBOURS = 32
 
 SKETCH = "text_hash long, n_shingles long, node binary, signature binary"
 
@@ -69,56 +70,98 @@ def _digest(shingles: np.ndarray) -> bytes:
     return np.array([one, two], np.uint64).tobytes()
 
 
-def _agreement(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    return (many == one).mean(axis=-1)
-
-
 def _region_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (region, tree signature): candidates with the neighbour before and with the first node of
-    each depth's region. Only the present row and one pivot for each depth are held."""
-    region, last = None, None
-    pivots: list = [None] * (DEPTH - BASE + 1)
+    """Rows sorted by (region, tree signature): candidates with the rows before and with the first row of each depth's
+    region. Held: the last rows, the pivots, and which of the region's rows are connected."""
+    width = TREES * DEPTH
+    pivots = DEPTH - BASE + 1
+    held = np.zeros((NEIGHBOURS + pivots, width), np.uint16)  # a ring of the last rows, then the pivots
+    names: list = [None] * len(held)
+    parent: dict = {}
+    region, last, at = None, None, 0
+
+    def root(n):
+        while parent[n] != n:
+            parent[n] = parent[parent[n]]
+            n = parent[n]
+        return n
+
     for batch in batches:
         a, b, agree = [], [], []
         keys, trees, nodes = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
         for key, tree, node, raw in zip(keys, trees, nodes, batch.column(3).to_pylist()):
             signature = np.frombuffer(raw, np.uint16)
             own = signature[tree * DEPTH : (tree + 1) * DEPTH]
-            now = (node, signature, own)
+            common = 0
             if key != region:
-                region, last, pivots = key, None, [now] * len(pivots)
+                region, parent, at = key, {}, 0
+                names = [None] * len(held)
             else:
-                met = [last]
-                common = int(np.argmin(np.append(own == last[2], False)))
-                for i in range(len(pivots)):
-                    if common < BASE + i:
-                        pivots[i] = now
-                    elif pivots[i][0] != node and all(pivots[i][0] != m[0] for m in met):
-                        met.append(pivots[i])
-                for other in met:
-                    share = float((signature == other[1]).mean())
-                    if share >= AGREE and other[0] != node:
-                        a.append(min(node, other[0]))
-                        b.append(max(node, other[0]))
-                        agree.append(share)
-            last = now
+                common = int(np.argmin(np.append(own == last, False)))
+            last = own
+            for i in range(pivots):
+                if common < BASE + i:
+                    held[NEIGHBOURS + i], names[NEIGHBOURS + i] = signature, None
+            parent.setdefault(node, node)
+            if at:
+                share = (held == signature).mean(axis=1)
+                for i in np.argsort(-share, kind="stable").tolist():
+                    if share[i] < AGREE:
+                        break
+                    other = names[i]
+                    if other is not None and other != node:
+                        x, y = root(node), root(other)
+                        if x != y:
+                            parent[x] = y
+                            a.append(min(node, other))
+                            b.append(max(node, other))
+                            agree.append(float(share[i]))
+            for i in range(pivots):
+                if common < BASE + i:
+                    names[NEIGHBOURS + i] = node
+            held[at % NEIGHBOURS], names[at % NEIGHBOURS] = signature, node
+            at += 1
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(agree, pa.float64())], names=["a", "b", "agree"])
 
 
-def _rest_candidates(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One block of a region: its own rows and the region's outsiders; pairs of different components that agree."""
-    rows = pdf[pdf["member"]].drop_duplicates("node")
-    outs = pdf[~pdf["member"]].drop_duplicates("node")
-    found = []
-    if len(rows) and len(outs):
-        many = np.stack([np.frombuffer(s, np.uint16) for s in rows["signature"]])
-        names, labels = rows["node"].to_numpy(), rows["label"].to_numpy()
-        for node, label, raw in zip(outs["node"], outs["label"], outs["signature"]):
-            share = _agreement(np.frombuffer(raw, np.uint16), many)
-            for i in np.flatnonzero(share >= AGREE):
-                if labels[i] != label and names[i] != node:
-                    found.append((min(node, names[i]), max(node, names[i]), share[i]))
-    return pd.DataFrame(found, columns=["a", "b", "agree"])
+def _rest(percent: int):
+    """A block of a component: outsiders against members on the full sets; links that join classes."""
+
+    def rest(pdf: pd.DataFrame) -> pd.DataFrame:
+        members, outs = pdf[pdf["member"]], pdf[~pdf["member"]]
+        found: list[tuple] = []
+        if len(members) and len(outs):
+            sets = [np.frombuffer(s, np.uint64) for s in members["shingles"]]
+            names, classes = members["node"].tolist(), members["class"].tolist()
+            sizes = np.array([len(s) for s in sets])
+            values = np.concatenate(sets)
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], np.repeat(np.arange(len(sets)), sizes)[order]
+            parent: dict = {}
+
+            def root(c):
+                parent.setdefault(c, c)
+                while parent[c] != c:
+                    parent[c] = parent[parent[c]]
+                    c = parent[c]
+                return c
+
+            for node, own, raw in zip(outs["node"], outs["class"], outs["shingles"]):
+                mine = np.frombuffer(raw, np.uint64)
+                lo, hi = np.searchsorted(values, mine), np.searchsorted(values, mine, side="right")
+                n = hi - lo
+                ends = np.cumsum(n)
+                if not ends[-1]:
+                    continue
+                both = np.bincount(owner[np.arange(ends[-1]) + np.repeat(hi - ends, n)], minlength=len(sets))
+                for i in np.flatnonzero(100 * both >= percent * (len(mine) + sizes - both)):
+                    x, y = root(own), root(classes[i])
+                    if x != y:
+                        parent[x] = y
+                        found.append((min(node, names[i]), max(node, names[i])))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return rest
 
 
 def _sets(size: int):
@@ -143,37 +186,51 @@ def _confirm(percent: int):
                 n = parent[n]
             return n
 
-        kept = []
         for a, b in edges.sort_values(["agree", "a", "b"], ascending=[False, True, True])[["a", "b"]].itertuples(index=False):
             ra, rb = root(a), root(b)
             if ra != rb:
                 x, y = sets[a], sets[b]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * both >= percent * (len(x) + len(y) - both):
-                    parent[ra] = rb
-                    kept.append((a, b))
-        return pd.DataFrame(kept, columns=["a", "b"])
+                    parent[max(ra, rb)] = min(ra, rb)
+        # each class as a star around its least node, so that classes of several buckets join in few rounds
+        return pd.DataFrame([(root(n), n) for n in sets if root(n) != n], columns=["a", "b"])
 
     return confirm
 
 
-def _confirmed(edges: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The candidate edges that hold on the full sets (as many as connect what is connected)."""
-    spark = docs.sparkSession
-    if edges.limit(1).count() == 0:
-        return spark.createDataFrame([], "a binary, b binary")
-    region = components(edges)
+def _labels(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, label): the classes of what links on the full sets connect, for nodes with a link."""
+    region = components(candidates)
     used = region.join(nodes, "node").select("node", "label", "id", "text_hash", "n_shingles")
+    wanted = used.select("node", "label", F.col("id").alias("__id"), F.col("text_hash").alias("__hash"))
+    texts = docs.join(wanted, F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select("node", "text")
+    sets = written(texts.mapInArrow(_sets(size), "node binary, shingles binary"), "near-sets").dropDuplicates(["node"])
+
     weight = used.groupBy("label").agg(F.ceil(F.sum("n_shingles") / GROUP_SHINGLES).alias("buckets"))
-    dealt = edges.join(region.withColumnRenamed("node", "a"), "a").join(weight, "label").withColumn("bucket", F.pmod(F.xxhash64("b"), "buckets"))
+    dealt = candidates.join(region.withColumnRenamed("node", "a"), "a").join(weight, "label").withColumn("bucket", F.pmod(F.xxhash64("b"), "buckets"))
     dealt = written(dealt.select("label", "bucket", "a", "b", "agree"), "near-dealt")
     seats = dealt.select("label", "bucket", F.col("a").alias("node")).union(dealt.select("label", "bucket", "b")).distinct()
-    wanted = used.select("node", F.col("id").alias("__id"), F.col("text_hash").alias("__hash"))
-    texts = docs.join(wanted, F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select("node", "text")
-    sets = written(texts.mapInArrow(_sets(size), "node binary, shingles binary").dropDuplicates(["node"]), "near-sets")
-    seated = seats.join(sets, "node")
     tried = dealt.select(F.col("label").alias("of"), F.col("bucket").alias("at"), "a", "b", "agree")
-    return seated.groupBy("label", "bucket").cogroup(tried.groupBy("of", "at")).applyInPandas(_confirm(percent), "a binary, b binary")
+    seated = seats.join(sets, "node")
+    first = written(seated.groupBy("label", "bucket").cogroup(tried.groupBy("of", "at")).applyInPandas(_confirm(percent), "a binary, b binary"), "near-links")
+
+    # what is still several classes: every node outside the largest one against the whole component
+    classes_of_first = components(first)
+    joined = classes_of_first.withColumnRenamed("label", "class")
+    named = written(used.select("node", "label", "n_shingles").join(joined, "node", "left").withColumn("class", F.coalesce("class", "node")), "near-named")
+    sizes = named.groupBy("label", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"))
+    total = sizes.groupBy("label").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("weight").alias("all"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    total = total.join(sizes.select("label", F.col("class").alias("main"), F.col("weight").alias("main_weight")), "label").filter("main = top.class")
+    blocks = total.select("label", "main", F.ceil(F.col("all") / GROUP_SHINGLES).cast("int").alias("mb"), F.ceil((F.col("all") - F.col("main_weight")) / GROUP_SHINGLES).cast("int").alias("ob"))
+    mixed = named.join(blocks, "label").join(sets, "node")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1))
+    place = lambda n: F.pmod(F.xxhash64("node"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    member = mixed.select("label", place("mb").alias("m"), spread("ob").alias("o"), F.lit(True).alias("member"), "node", "class", "shingles")
+    outer = mixed.filter(F.col("class") != F.col("main")).select("label", spread("mb").alias("m"), place("ob").alias("o"), F.lit(False).alias("member"), "node", "class", "shingles")
+    more = member.unionByName(outer).groupBy("label", "m", "o").applyInPandas(_rest(percent), "a binary, b binary")
+    more = written(more, "near-more")
+    return components(first.union(more)) if more.limit(1).count() else classes_of_first
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -197,26 +254,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
     order = rows.select("region", "tree", "node", "signature", own.alias("own")).repartitionByRange("region", "own", "node").sortWithinPartitions("region", "own", "node")
     candidates = order.select("region", "tree", "node", "signature").mapInArrow(_region_candidates, "a binary, b binary, agree double")
     candidates = written(candidates.groupBy("a", "b").agg(F.max("agree").alias("agree")), "near-candidates")
-    links = written(_confirmed(candidates, nodes, texts, shingle, percent), "near-links")
-
-    # regions with more than one component: all rows outside the largest against the whole region
-    if links.limit(1).count():
-        label = components(links)
-    else:
-        label = docs.sparkSession.createDataFrame([], "node binary, label binary")
-    named = written(members.join(label, "node", "left").select("region", "n", "node", F.coalesce("label", "node").alias("label")), "near-named")
-    sizes = named.groupBy("region", "label").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("region").agg(F.max(F.struct("size", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-    mixed = named.join(largest.select("region", F.col("top.label").alias("main")), "region").join(nodes.select("node", "signature"), "node")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    seat = mixed.select("region", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.lit(True).alias("member"), "node", "label", "signature")
-    outer = mixed.filter(F.col("label") != F.col("main")).select("region", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(False).alias("member"), "node", "label", "signature")
-    rest = seat.unionByName(outer).groupBy("region", "block").applyInPandas(_rest_candidates, "a binary, b binary, agree double")
-    rest = written(rest.groupBy("a", "b").agg(F.max("agree").alias("agree")).join(candidates, ["a", "b"], "left_anti"), "near-rest")
-    links = written(links.union(_confirmed(rest, nodes, texts, shingle, percent)), "near-all-links")
-
-    if links.limit(1).count():
-        label = components(links)
+    label = _labels(candidates, nodes, texts, shingle, percent)
     ids = nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "id")
     classed = ids.join(ids.groupBy("label").agg(F.min("id").alias("component_id")), "label").select("node", "component_id")
     out = sketches.select("id", "text_hash", "n_shingles", "node").join(classed, "node", "left")
