@@ -46,7 +46,7 @@ def recency_bonus(created: Column, as_of: Column, options: Scoring = Scoring())
     if options.half_life_days <= 0:
         return F.lit(0.0)
     days = F.greatest(days_between(as_of, created), F.lit(0.0))
-    return F.coalesce(F.round(F.lit(options.recency_max) * F.exp(-0.693 * days / options.half_life_days), 4), F.lit(0.0))
+    return F.when(created.isNotNull(), F.round(F.lit(options.recency_max) * F.exp(-0.693 * days / options.half_life_days), 4)).otherwise(0.0)
 
 
 def retrieval_bonus(count: Column, options: Scoring = Scoring()) -> Column:

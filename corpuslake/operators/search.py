@@ -77,7 +77,7 @@ def reranked(found: DataFrame, chunks: DataFrame, as_of: Column, options: Search
 class Index:
     """Inverted-file index (V4): centroids fitted on a bounded sample, every row in the lists of its nearest ones."""
 
-    def __init__(self, chunks: DataFrame, doc_id: str = "doc_id", vector: str = "embedding", lists: int = 16, sample: int = 20_000, probes: int = 6, rounds: int = 8):
+    def __init__(self, chunks: DataFrame, doc_id: str = "doc_id", vector: str = "embedding", lists: int = 16, sample: int = 20_000, probes: int = 12, rounds: int = 8):
         self.doc_id, self.vector, self.probes = doc_id, vector, probes
         rows = chunks.select(doc_id, vector).orderBy(F.xxhash64(doc_id)).limit(sample).collect()  # bounded by `sample`
         x = np.array([r[vector] for r in rows], np.float64)
