@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslake.llm.shared import written
@@ -12,16 +12,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): the least node of each node's component, for nodes that have an edge.
 
     A round gives each node the least of its label, its neighbours' labels (combined before the shuffle, so a hub is
-    no hot spot) and its label's own label, so long chains halve. A round is one written table, which also counts
-    what moved."""
+    no hot spot) and its label's own label, so long chains halve. A round is one written table."""
     both = written(edges.select(F.col(a).alias("node"), F.col(b).alias("other")).union(edges.select(b, a)), "edges")
     labels = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").select("node", "label")
         jump = labels.select("node", F.col("label").alias("via")).join(labels.select(F.col("node").alias("via"), "label"), "via").select("node", "label")
         offers = near.union(jump).groupBy("node").agg(F.min("label").alias("offer"))
-        moved = Observation()
-        after = labels.join(offers, "node").select("node", F.least("label", "offer").alias("label"), (F.col("offer") < F.col("label")).alias("moves"))
-        labels = written(after.observe(moved, F.count_if("moves").alias("n")).select("node", "label"), "labels")
-        if moved.get["n"] == 0:
+        after = written(labels.join(offers, "node").select("node", F.least("label", "offer").alias("label"), (F.col("offer") < F.col("label")).alias("moves")), "labels")
+        labels = after.select("node", "label")
+        if after.filter("moves").limit(1).count() == 0:
             return labels

@@ -18,6 +18,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,10 +96,10 @@ class Encoder:
             self.flat = np.concatenate(flat)
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(counts))])
 
-    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_flat(self, texts: list[str | None], remembered: int = REMEMBERED) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, one after another; where each text's begin, and the end)."""
         split = [units(t or "") for t in texts]
-        if len(self.place) > REMEMBERED:
+        if len(self.place) > remembered:
             self.forget()
         self.learn(set(chain.from_iterable(split)) - self.place.keys())
         words = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64)
@@ -122,37 +123,40 @@ def of_worker(model: str = MODEL, merges: bool = True) -> Encoder:
     return Encoder(model, merges)
 
 
-def _encode_task(model: str, merges: bool):
+def _encode_task(model: str, merges: bool, remembered: int, keep: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = of_worker(model, merges)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             for i in range(0, len(texts), 1000):
                 part = texts[i : i + 1000]
-                ids, begin = coder.encode_flat(part)
+                ids, begin = coder.encode_flat(part, remembered)
                 same = [coder.decode(ids[a:b].tolist()) == (t or "") for a, b, t in zip(begin[:-1], begin[1:], part)]
                 column = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(ids))
                 kept = batch.slice(i, len(part))
                 yield pa.RecordBatch.from_arrays([*kept.columns[:-1], column, pa.array(same, pa.bool_())], schema=pa.schema([*list(batch.schema)[:-1], pa.field("ids", pa.list_(pa.int32())), pa.field("round_trip", pa.bool_())]))
+        if not keep:
+            coder.forget()
 
     return encode
 
 
-def encoded(docs: DataFrame, text: str = "text", ids_as: str = "ids", check_as: str = "round_trip", model: str = MODEL, merges: bool = True) -> DataFrame:
-    """The columns of docs, the token ids, and whether decoding them gives the text back. Narrow."""
+def encoded(docs: DataFrame, text: str = "text", ids_as: str = "ids", check_as: str = "round_trip", model: str = MODEL, merges: bool = True, remembered: int = REMEMBERED, keep: bool = True) -> DataFrame:
+    """The columns of docs, the token ids, and whether decoding them gives the text back. Narrow.
+
+    `remembered` bounds the words that a worker holds; without `keep` it lets go of them when its task ends, for jobs
+    whose workers have other stages to serve."""
     others = [f"c{i}" for i in range(len(docs.columns))]
     read = docs.toDF(*others).withColumn("body", F.col(others[docs.columns.index(text)]))
     schema = T.StructType([*read.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
-    return read.mapInArrow(_encode_task(model, merges), schema).toDF(*docs.columns, ids_as, check_as)
+    return read.mapInArrow(_encode_task(model, merges, remembered, keep), schema).toDF(*docs.columns, ids_as, check_as)
 
 
 def decoder(model: str = MODEL):
     """A column function: array of ids -> text."""
 
     @F.pandas_udf(T.StringType())
-    def decode(batches: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
-        import pandas as pd
-
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coder = of_worker(model)
         for series in batches:
             yield pd.Series([None if x is None else coder.decode(list(x)) for x in series], dtype=object)
