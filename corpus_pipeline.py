@@ -34,7 +34,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids and whether these decode to the text."""
-    return sentence_pieces.encoded(docs)
+    return sentence_pieces.encoded(docs, remembered=300_000, keep=False)  # the workers serve the other stages too
 
 
 STAGES = [
