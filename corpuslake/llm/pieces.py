@@ -20,6 +20,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 UNKNOWN = 0
 SLOTS = 1 << 21
+LONG = 1000  # characters from which a word is stepped by itself
 
 
 def units(text: str) -> list[str]:
@@ -60,6 +61,8 @@ class Pieces:
         self.keys, self.ids = hashes[order], np.array(usual, np.int64)[order]
         if len(np.unique(self.keys)) != len(self.keys):
             raise ValueError("piece hashes collide")
+        self.id_of = {self.text[i]: i for i in usual}
+        self.long_pairs: dict[tuple[int, int], bool] = {}
         self.score = np.array([self.sp.get_score(i) for i in range(n)])
         self.some = np.zeros(1 << 20, bool)
         self.some[(self.keys >> np.uint64(44)).astype(np.int64)] = True
@@ -117,6 +120,38 @@ class Pieces:
             score[rest], count[rest] = so_far[rest] - (0.0 if self.merges else 1e4), tokens[rest] + 1
         return token, size, score, count
 
+    def _keeps_apart(self, left: int, right: int) -> bool:
+        if left <= UNKNOWN:
+            return True
+        known = self.long_pairs.get((left, right))
+        if known is None:
+            if len(self.long_pairs) > 100_000:
+                self.long_pairs.clear()
+            known = self.long_pairs[left, right] = bool(self.stable(np.array([left]), np.array([right]))[0])
+        return known
+
+    def long_word(self, word: str) -> list[int]:
+        """Tokens of one long word (unknown characters as UNKNOWN): the same recurrence, a position at a time, which
+        for a single row is cheaper than arrays of one."""
+        n = len(word)
+        last, size, score = [-1] * (n + 1), [0] * (n + 1), [0.0] * (n + 1)
+        for j in range(1, n + 1):
+            best = -np.inf
+            for length in range(1, min(self.width, j) + 1):
+                piece = self.id_of.get(word[j - length : j])
+                if piece is not None and (not self.merges or self._keeps_apart(last[j - length], piece)):
+                    gain = score[j - length] + (0.0 if self.merges else self.score[piece])
+                    if gain > best:
+                        best, last[j], size[j] = gain, piece, length
+            if best == -np.inf:
+                best, last[j], size[j] = score[j - 1] - (0.0 if self.merges else 1e4), UNKNOWN, 1
+            score[j] = best
+        out, j = [], n
+        while j:
+            out.append(last[j])
+            j -= size[j]
+        return out[::-1]
+
     def spelled(self, character: str) -> list[int]:
         raw = SPACE if character == LITERAL else character
         return [self.byte_id[b] for b in raw.encode("utf-8", "surrogatepass")]

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslake.llm.pieces import MODEL, UNKNOWN, Pieces, code_points, prefix_hashes, units
+from corpuslake.llm.pieces import LONG, MODEL, UNKNOWN, Pieces, code_points, prefix_hashes, units
 
 REMEMBERED = 1_200_000
 ROWS = 20_000  # words that advance together
@@ -44,6 +44,9 @@ class Encoder:
     def _equal(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after another, how many each has) of words of one length."""
         size = len(words[0])
+        if size >= LONG:
+            rows = [self._spelled(w, np.array(self.pieces.long_word(w), np.int32)) for w in words]
+            return np.concatenate(rows), np.array([len(x) for x in rows])
         hashes = prefix_hashes(code_points(words, size))
         n = len(words)
         states = [(np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64))]

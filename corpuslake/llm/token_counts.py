@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslake.llm.pieces import MODEL, Pieces, code_points, prefix_hashes, units
+from corpuslake.llm.pieces import MODEL, UNKNOWN, Pieces, code_points, prefix_hashes, units
 
 LONG = 48
 REMEMBERED = 600_000
@@ -83,7 +83,9 @@ class TrieCounter:
             self.known.update(zip(part, self.trie_counts(part).tolist()))
         for w in new:
             if len(w) > LONG:
-                self.known[w] = int(self.trie_counts([w])[0])
+                tokens = self.pieces.long_word(w)
+                at = np.cumsum([0] + [1 if t == UNKNOWN else len(self.pieces.text[t]) for t in tokens])
+                self.known[w] = len(tokens) + sum(self._spelling(ord(w[i])) for t, i in zip(tokens, at) if t == UNKNOWN)
         known = self.known
         return np.array([sum(map(known.__getitem__, words)) for words in split], np.int64)
 
