@@ -63,6 +63,18 @@ def memory_errors(name: Column, scope: Column, importance: Column, project: Colu
     return F.array_compact(F.array(F.when(~F.coalesce(name.rlike(r"^[a-z0-9]([a-z0-9-]*[a-z0-9])?$"), F.lit(False)), "bad name"), F.when(~F.coalesce(scope.isin("global", "project"), F.lit(False)), "bad scope"), F.when(~F.coalesce(importance.isin("low", "medium", "high", "critical"), F.lit(False)), "bad importance"), F.when((scope == "project") & (F.coalesce(F.trim(project), F.lit("")) == ""), "project required")))
 
 
+def inserted(target: DataFrame, rows: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """(table with the valid, secret-free new rows, outcome of each) (M5): ids from time and content, counts from 0, a
+    missing score 0.5 - a score of 0.0 stays."""
+    from corpuslake.operators.ingest import secrets
+
+    judged = rows.withColumn("errors", row_errors(F.col("type"), F.col("name"), F.col("importance_score"))).withColumn("secrets", secrets(F.col("content")))
+    judged = judged.withColumn("outcome", F.when(F.size("errors") > 0, "invalid").when(F.size("secrets") > 0, "rejected").otherwise("stored"))
+    stamp = F.concat(F.col("type"), F.lit("::"), F.unix_millis(as_of).cast("string"), F.lit("-"), F.left(F.md5(F.concat_ws("\x1f", "name", "content").cast("binary")), F.lit(12)))
+    new = judged.filter("outcome = 'stored'").select(stamp.alias("doc_id"), "type", "name", "content", F.coalesce("importance_score", F.lit(0.5)).alias("importance_score"), F.lit(0.0).alias("retrieval_count"), F.lit(False).alias("promoted"), as_of.alias("created_at"))
+    return upsert(target, new.dropDuplicates(["doc_id"])), judged
+
+
 def ephemeral_list(rows: DataFrame, kind: str = "", source: str = "", session: str = "", least: float = 0.0, sort_by: str = "importance", ascending: bool = False, limit: int = 20) -> DataFrame:
     """Filtered, sorted, cut, with the total before the cut."""
     kept = rows.filter(F.coalesce("importance_score", F.lit(0.5)) >= least)

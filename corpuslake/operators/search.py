@@ -139,6 +139,11 @@ def skip_reason(prompt: Column) -> Column:
     )
 
 
+def prompt_text(raw: Column, keys: tuple = ("prompt", "user_prompt", "message.text", "message.content", "message")) -> Column:
+    """The prompt of an event's JSON text: the first of the keys that has text, else empty."""
+    return F.coalesce(*[F.nullif(F.trim(F.get_json_object(raw, f"$.{k}")), F.lit("")) for k in keys], F.lit(""))
+
+
 def expanded(queries: DataFrame, text: str = "text", most: int = 5, synonyms: dict = SYNONYMS, intents: tuple = INTENTS) -> DataFrame:
     """Synonym terms of the triggers that occur as words, then those of the first matching intent; without words the
     query has already, at most five (J8). The tables are literals: they are options, not data."""

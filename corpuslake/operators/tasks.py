@@ -129,6 +129,15 @@ def inbox_sync(tasks: DataFrame, rules: DataFrame) -> DataFrame:
     return judged.select("id", F.coalesce("rule_action", "kind").alias("proposal"))
 
 
+# Where an inbox item of each class goes.
+DESTINATIONS = {"journal": "journal", "work": "work", "note": "notes", "person": "people", "discard": "deleted", "skip": "inbox"}
+
+
+def destination(kind: Column) -> Column:
+    """Folder of an inbox item's class; unknown classes stay in the inbox."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in DESTINATIONS.items() for x in kv]), kind), F.lit("inbox"))
+
+
 def corrected(ledger: DataFrame, corrections: DataFrame) -> DataFrame:
     """The ledger with corrected classes, and what each correction undoes."""
     joined = ledger.join(corrections.select("id", F.col("kind").alias("__kind")), "id", "left")
