@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuslake.llm.shared import written
+
 PER_CLASS = 3000
 TEXT_BYTES = 4096
 DICTIONARY_BYTES = 200_000
@@ -91,7 +93,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     for value in (0, 1):
         ids = named.filter(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(4 * per_class).select("id")
         found = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter(F.octet_length("text") <= TEXT_BYTES).join(F.broadcast(ids), "id")
-        rows = found.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(per_class).collect()  # bounded by per_class and TEXT_BYTES
+        # cut in a task, not by every partition's first rows on the driver; then at most per_class times TEXT_BYTES
+        rows = written(found.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(per_class), "quality-sample").orderBy(F.xxhash64("id"), "id").collect()
         texts[value] = [r["text"].encode("utf-8", "surrogatepass") for r in rows]
     cut = {v: max(1, len(t) * 2 // 5) for v, t in texts.items()}
     if not texts[0] or not texts[1]:

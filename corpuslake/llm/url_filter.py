@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuslake.llm.shared import written
+
 VOCABULARY = 50_000
 LONGEST = 20
 BUCKETS = 1 << 16
@@ -95,7 +97,8 @@ def fit_words(pages: DataFrame, url: str = "url", html: str = "html", vocabulary
     _, path = host_and_path(F.col(url))
     said = F.lower(F.concat_ws(" ", title, path))
     counts = pages.select(F.explode(F.split(said, r"[^\p{L}]+")).alias("word")).filter(F.length("word").between(1, LONGEST)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()  # the model's size, whatever the corpus
+    # cut in a task, not by every partition's best on the driver; then as many rows as the model holds
+    top = written(counts.orderBy(F.desc("n"), "word").limit(vocabulary), "url-words").collect()
     total = sum(r["n"] for r in top) + 1
     return Words({r["word"]: math.log(r["n"] / total) for r in top}, -math.log(total))
 
