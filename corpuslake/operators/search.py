@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpuslake.functions import scoring
 from corpuslake.functions.text import preview, xml_escaped
 from corpuslake.options import ALL_TYPES, CONFIRMATIONS, INTENTS, SYNONYMS, Search
+from corpuslake.sources.tables import new_path
 
 QUERY_BLOCK, ROW_BLOCK = 512, 4096
 
@@ -79,7 +80,9 @@ class Index:
 
     def __init__(self, chunks: DataFrame, doc_id: str = "doc_id", vector: str = "embedding", lists: int = 16, sample: int = 20_000, probes: int = 12, rounds: int = 8):
         self.doc_id, self.vector, self.probes = doc_id, vector, probes
-        rows = chunks.select(doc_id, vector).orderBy(F.xxhash64(doc_id)).limit(sample).collect()  # bounded by `sample`
+        path = new_path(chunks.sparkSession, "index-sample")  # cut in a task; then at most `sample` rows come back
+        chunks.select(doc_id, vector).orderBy(F.xxhash64(doc_id), doc_id).limit(sample).write.parquet(path)
+        rows = chunks.sparkSession.read.parquet(path).orderBy(F.xxhash64(doc_id), doc_id).collect()
         x = np.array([r[vector] for r in rows], np.float64)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
         centres = x[: min(lists, len(x))].copy()
