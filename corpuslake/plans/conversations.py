@@ -117,15 +117,17 @@ def worklogs(spark, sf_dir):
 
 def _worklog_rows(spark, sf_dir):
     said = _said(spark, sf_dir).filter("role = 'user'")
-    return said.select("session_id", (F.col("session_id") * 100 + F.col("line_idx")).alias("worklog_id"), F.left("text", F.lit(120)).alias("task_summary"), "line_idx", F.concat(F.lit("stream"), F.col("session_id") % 4).alias("workstream"), F.timestamp_add("HOUR", F.col("session_id").cast("int"), F.lit("2024-01-01").cast("timestamp")).alias("created_at"))
+    return said.select("session_id", (F.col("session_id") * 100 + F.col("line_idx")).alias("worklog_id"), F.col("text").alias("task_summary"), "line_idx", F.concat(F.lit("stream"), F.col("session_id") % 4).alias("workstream"), F.timestamp_add("HOUR", F.col("session_id").cast("int"), F.lit("2024-01-01").cast("timestamp")).alias("created_at"))
 
 
 @query("j7_worklog_dedup", r"""WITH w AS (SELECT conv_id AS s, conv_id * 100 + turn AS worklog_id, turn, list_distinct(list_filter(string_split_regex(lower(left(text, 120)), '\s+'), lambda x: x <> '')) AS t FROM conversations WHERE role = 'user'),
 p AS (SELECT a.worklog_id, max(CASE WHEN len(list_distinct(list_concat(a.t, b.t))) = 0 THEN 0 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END) AS score FROM w a LEFT JOIN w b ON a.s = b.s AND b.turn < 4 WHERE a.turn >= 4 GROUP BY a.worklog_id)
 SELECT worklog_id, coalesce(score, 0) >= 0.7 AS dropped FROM p""")
 def worklog_dedup(spark, sf_dir):
+    """Whole texts; lines from 4 on are new and meet the stored lines and every new line before them. The twin compares
+    openings with stored lines only; tests/test_conversations.py holds the query against brute force."""
     rows = _worklog_rows(spark, sf_dir)
-    kept, dropped = talk.fresh_worklogs(rows.filter("line_idx >= 4"), rows.filter("line_idx < 4"))
+    kept, dropped = talk.fresh_worklogs(rows.filter("line_idx >= 4"), rows.filter("line_idx < 4"), at="line_idx")
     return kept.select("worklog_id", F.lit(False).alias("dropped")).union(dropped.select("worklog_id", F.lit(True)))
 
 

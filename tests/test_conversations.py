@@ -52,3 +52,18 @@ def test_worklog_duplicates(spark):
     new = spark.createDataFrame([(1, 1, "fix the LOGIN page"), (2, 1, "write docs"), (3, 2, "fix the login page now")], "worklog_id int, session_id int, task_summary string")
     kept, dropped = talk.fresh_worklogs(new, stored)
     assert {r.worklog_id for r in kept.collect()} == {2, 3} and {(r.worklog_id, round(r.score, 2)) for r in dropped.collect()} == {(1, 0.8)}
+
+
+def test_worklogs_are_compared_whole_with_all_before(spark, tmp_path):
+    """Long common openings do not drop a row; copies after another opening and copies among new rows do."""
+    from corpuslake.plans import registry
+
+    opening, other = "same words at the start " * 8, " ".join(f"other{i}" for i in range(4))
+    body = lambda k, n=40: " ".join(f"{k}{i}" for i in range(n))
+    said = [(1, 0, "user", opening + body("a")), (1, 4, "user", opening + body("b")), (1, 6, "user", other + " " + body("a")), (1, 8, "user", body("c")), (1, 10, "user", body("c", 38)), (1, 12, "user", body("c")), (2, 4, "user", body("c")), (1, 5, "assistant", body("c")), (1, 14, "user", ""), (1, 16, "user", "")]
+    spark.createDataFrame(said, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    sets = {(c, t): set(x.lower().split()) for c, t, role, x in said if role == "user"}
+    alike = lambda a, b: bool(a | b) and len(a & b) / len(a | b) >= 0.7
+    want = {c * 100 + t: any(d == c and u < t and alike(sets[d, u], x) for d, u in sets) for (c, t), x in sets.items() if t >= 4}
+    got = [(r.worklog_id, r.dropped) for r in registry.QUERIES["j7_worklog_dedup"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and dict(got) == want == {104: False, 106: True, 108: False, 110: True, 112: True, 204: False, 114: False, 116: False}
