@@ -131,9 +131,11 @@ def preview_rows(spark, sf_dir):
 SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'deployment,release,ci/cd,pipeline,guide' WHEN 1 THEN 'database,postgres,sqlite,sql,reason' WHEN 2 THEN 'testing,pytest,unittest,spec,logging' ELSE 'interface,frontend,component,react' END AS terms,
   CASE turn % 4 WHEN 0 THEN 'how-to' WHEN 1 THEN 'rationale' WHEN 2 THEN 'decision' END AS intent FROM q""")
 def query_expansion(spark, sf_dir):
+    """The head and the user's whole text. The twin knows the head's triggers only; tests/test_search.py holds the query
+    against brute force on texts with triggers of their own."""
     turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
     head = F.when(F.col("turn") % 4 == 0, "how to deploy the ").when(F.col("turn") % 4 == 1, "why did the db ").when(F.col("turn") % 4 == 2, "should we log the test ").otherwise("ui ")
-    asked = turns.withColumn("text", F.concat(head, F.left("text", F.lit(20))))
+    asked = turns.withColumn("text", F.concat(head, F.col("text")))
     return search.expanded(asked).select("conv_id", "turn", F.array_join("terms", ",").alias("terms"), "intent")
 
 

@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from corpuslake.operators import search
@@ -56,3 +58,24 @@ def test_filters_match_nothing_or_all(spark):
     assert df.filter(search.metadata_filter()).count() == 1
     assert df.filter(search.metadata_filter(kind="note", tags=("work",))).count() == 1
     assert df.filter(search.metadata_filter(tags=("work", "home"))).count() == 0
+
+
+def test_query_expansion_reads_whole_texts(spark, tmp_path):
+    """Triggers and intents far into the user's own words count."""
+    from corpuslake.options import INTENTS, SYNONYMS
+    from corpuslake.plans import registry
+
+    long = "plain words without any trigger " * 3
+    heads = {0: "how to deploy the ", 1: "why did the db ", 2: "should we log the test ", 3: "ui "}
+    said = [(1, 0, long + "then the auth"), (1, 3, long + "when did\nthe API break"), (1, 7, long + "should i"), (1, 2, "short"), (1, 11, long), (1, 15, "apis " * 9 + "k8s")]
+    spark.createDataFrame([(c, t, "user", x) for c, t, x in said], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+
+    def plain(t, x):
+        low = (heads[t % 4] + x).lower()
+        intent, extra = next(((name, w) for pattern, name, w in INTENTS if re.search(pattern, low)), (None, ()))
+        every = [w for k, ws in SYNONYMS.items() if re.search(rf"\b{k}\b", low) for w in ws] + list(extra)
+        return ",".join([w for w in dict.fromkeys(every) if w not in low.split()][:5]), intent
+
+    got = {r.turn: (r.terms, r.intent) for r in registry.QUERIES["j8_query_expansion"](spark, str(tmp_path)).collect()}
+    assert got == {t: plain(t, x) for _, t, x in said}
+    assert got[7][1] == "decision" and got[3][1] == "timeline" and "endpoint" in got[3][0]
