@@ -60,8 +60,13 @@ def named_importance(text: Column) -> Column:
 
 
 def importance(content: Column, kind: Column, stated: Column, created: Column, retrievals: Column, as_of: Column, options: Scoring = Scoring()) -> Column:
+    return importance_with(concept_bonus(content, options), kind, stated, created, retrievals, as_of, options)
+
+
+def importance_with(concepts: Column, kind: Column, stated: Column, created: Column, retrievals: Column, as_of: Column, options: Scoring = Scoring()) -> Column:
+    """importance() from a concept bonus that is there already, so that no text need pass a join."""
     base = F.coalesce(named_importance(stated), type_weight(kind, options))
-    return clamp(base + concept_bonus(content, options) + recency_bonus(created, as_of, options) + retrieval_bonus(retrievals, options))
+    return clamp(base + concepts + recency_bonus(created, as_of, options) + retrieval_bonus(retrievals, options))
 
 
 def level(score: Column) -> Column:

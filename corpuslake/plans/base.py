@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,9 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents (with labels) as chunks: source is the parent file, language the directory."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+def chunks(spark: SparkSession, sf_dir: str, **made: Column) -> DataFrame:
+    """documents (with labels) as chunks: source is the parent file, language the directory; with columns made of the
+    documents' own before the join."""
+    docs, labels = table(spark, sf_dir, "documents").withColumns(made), table(spark, sf_dir, "labels")
     joined = docs.join(labels, "doc_id", "left")
     return joined.select(
         "doc_id", F.col("source").alias("parent_file"), F.col("lang").alias("directory"), F.col("text").alias("content"),
@@ -39,7 +40,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 3 == 0, "vault").when(F.col("doc_id") % 3 == 1, "observation").otherwise("pattern").alias("type"),
         F.when(F.col("doc_id") % 3 == 0, "note").alias("vault_type"),
         F.filter(F.array(F.when(F.col("doc_id") % 2 == 0, "work"), F.when(F.col("doc_id") % 5 == 0, "idea"), F.when(F.col("doc_id") % 7 == 0, "home")), lambda x: x.isNotNull()).alias("tags"),
-        (F.col("doc_id") % 6).cast("double").alias("retrieval_count"),
+        (F.col("doc_id") % 6).cast("double").alias("retrieval_count"), *made,
     )
 
 

@@ -153,10 +153,9 @@ IMPORTANCE_SQL = f"""WITH {CHUNKS_SQL} SELECT doc_id, round(greatest(0, least(1,
 
 @query("x2_importance", IMPORTANCE_SQL)
 def importance(spark, sf_dir):
-    from corpuslake.options import Scoring
-
-    rows = chunks(spark, sf_dir)
-    score = scoring.importance(F.lit(""), F.col("vault_type"), F.lit(None).cast("string"), F.col("updated_at"), F.col("retrieval_count"), _as_of(), Scoring(concepts=()))
+    """The twin leaves the concept bonus out; tests/test_search.py holds it against brute force."""
+    rows = chunks(spark, sf_dir, concepts=scoring.concept_bonus(F.col("text")))
+    score = scoring.importance_with(F.col("concepts"), F.col("vault_type"), F.lit(None).cast("string"), F.col("updated_at"), F.col("retrieval_count"), _as_of())
     return rows.select("doc_id", F.round(score, 4).alias("importance_score"))
 
 

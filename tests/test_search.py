@@ -79,3 +79,18 @@ def test_query_expansion_reads_whole_texts(spark, tmp_path):
     got = {r.turn: (r.terms, r.intent) for r in registry.QUERIES["j8_query_expansion"](spark, str(tmp_path)).collect()}
     assert got == {t: plain(t, x) for _, t, x in said}
     assert got[7][1] == "decision" and got[3][1] == "timeline" and "endpoint" in got[3][0]
+
+
+def test_importance_reads_the_content(spark, tmp_path):
+    from corpuslake.plans import registry
+
+    texts = [(101, "plain words"), (102, "a note on Architecture"), (103, "the outage"), (104, "todo: a design after the incident"), (105, "designs, outages"), (106, None), (107, "TODO")]
+    bonus = {101: 0, 102: 0.1, 103: 0.15, 104: 0.2, 105: 0, 106: 0, 107: 0.05}
+    tables = {"documents": ([(i, t, "en", "s") for i, t in texts], "doc_id long, text string, lang string, source string"), "labels": ([], "doc_id long, quality int")}
+    plain = {"documents": ([(i, "", "en", "s") for i, _ in texts], tables["documents"][1]), "labels": tables["labels"]}
+    got = {}
+    for name, made in (("whole", tables), ("plain", plain)):
+        for table, (rows, schema) in made.items():
+            spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+        got[name] = {r.doc_id: r.importance_score for r in registry.QUERIES["x2_importance"](spark, f"{tmp_path}/{name}").collect()}
+    assert got["whole"] == {i: round(got["plain"][i] + bonus[i], 4) for i, _ in texts}
