@@ -1,35 +1,31 @@
 """URL filter: rules by host and path first; for the rest, concatenated host names are segmented into words by a unigram
 Viterbi, and a multinomial naive Bayes scores the segmented host and the path's words.
 
-Word counts come from all page titles and all path words, and the class counts from all pages that a rule decides;
-both are Spark aggregations. What the scoring task needs of them is bounded: the VOCABULARY most frequent words (a size
-of the model, like any vocabulary's) and BUCKETS hashed token weights.
+Word counts come from all page titles and all path words, token counts from all pages that a rule decides; both stay
+Spark tables of any size. Each distinct run of a host name meets the word counts at its own substrings and is segmented
+with those words only; weights are joined to the tokens of distinct hosts and distinct paths, and their sums to the pages.
 
 Defined results. Null url, or one without `://`: empty host and path; no rule fits, and the naive Bayes prior decides.
 The longest fitting rule wins; of equally long ones a block. Repeated rows are each judged. Without pages of both
-verdicts, undecided pages are allowed.
+verdicts, undecided pages are allowed. Laplace smoothing over the tokens
+of decided pages and one that stands for all others.
 """
 
 from __future__ import annotations
 
 import math
-import re
-import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslake.llm.shared import written
 
-VOCABULARY = 50_000
-LONGEST = 20
-BUCKETS = 1 << 16
-
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
@@ -50,9 +46,6 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return pick([r[0] + r[1] for r in ordered]), pick([r[2] for r in ordered])
 
 
-WORD = re.compile(r"[^\W\d_]+|\d+")
-
-
 @dataclass(frozen=True)
 class Words:
     """Unigram model: log probabilities of words; unknown runs cost more by the letter."""
@@ -60,16 +53,21 @@ class Words:
     logs: dict
     unseen: float
 
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self.logs), default=0)
+
     def segment(self, name: str) -> list[str]:
         best: list[tuple[float, int]] = [(0.0, 0)]
+        run = (0.0, 0)  # where an unknown run that ends here starts at best: its cost is linear in its letters
         for end in range(1, len(name) + 1):
-            options = []
-            for start in range(max(0, end - LONGEST), end):
-                piece = name[start:end]
-                known = self.logs.get(piece)
-                cost = known if known is not None else self.unseen - 4.0 * (len(piece) - 1) - 4.0
-                options.append((best[start][0] + cost, start))
+            options = [(run[0] + self.unseen - 4.0 * end, run[1])]
+            for start in range(max(0, end - self.longest), end):
+                known = self.logs.get(name[start:end])
+                if known is not None:
+                    options.append((best[start][0] + known, start))
             best.append(max(options))
+            run = max(run, (best[end][0] + 4.0 * end, end))
         out, end = [], len(name)
         while end:
             start = best[end][1]
@@ -78,81 +76,112 @@ class Words:
         return out[::-1]
 
 
-def tokens(host: str, path: str, words: Words) -> list[str]:
-    out = []
-    for label in host.split("."):
-        for part in WORD.findall(label):
-            out += ["h:#"] if part.isdigit() else ["h:" + w for w in words.segment(part)]
-    labels = host.split(".")
-    out.append("t:" + labels[-1])
-    return out + ["p:#" if p.isdigit() else "p:" + p for p in WORD.findall(path.lower())]
+RUNS = r"[\p{L}\p{Nl}\p{No}]+|\p{Nd}+"
+IS_NUMBER = r"^\p{Nd}+$"
 
 
-def _bucket(token: str) -> int:
-    return zlib.crc32(token.encode("utf-8", "surrogatepass")) % BUCKETS
+def runs_of(text: Column) -> Column:
+    """Runs of letters and of digits."""
+    return F.regexp_extract_all(text, F.lit(RUNS), F.lit(0))
 
 
-def fit_words(pages: DataFrame, url: str = "url", html: str = "html", vocabulary: int = VOCABULARY) -> Words:
+def word_counts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(word, n) of all titles and paths."""
     title = F.regexp_extract(F.coalesce(F.col(html), F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)
     _, path = host_and_path(F.col(url))
     said = F.lower(F.concat_ws(" ", title, path))
-    counts = pages.select(F.explode(F.split(said, r"[^\p{L}]+")).alias("word")).filter(F.length("word").between(1, LONGEST)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    # cut in a task, not by every partition's best on the driver; then as many rows as the model holds
-    top = written(counts.orderBy(F.desc("n"), "word").limit(vocabulary), "url-words").collect()
-    total = sum(r["n"] for r in top) + 1
-    return Words({r["word"]: math.log(r["n"] / total) for r in top}, -math.log(total))
-
-
-def _token_buckets(handle):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def buckets(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        words, seen = handle.value, {}
-        for hosts, paths in batches:
-            rows = []
-            for h, p in zip(hosts, paths):
-                if h not in seen:
-                    if len(seen) > 100_000:
-                        seen.clear()
-                    seen[h] = [_bucket(t) for t in tokens(h, "", words)]
-                rows.append(seen[h] + [_bucket("p:#" if x.isdigit() else "p:" + x) for x in WORD.findall(p.lower())])
-            yield pd.Series(rows, dtype=object)
-
-    return buckets
-
-
-def weights(decided: DataFrame) -> tuple[np.ndarray, float] | None:
-    """(log odds of block for each bucket, prior log odds) from rows of (buckets, verdict); counted in Spark, at most
-    BUCKETS rows come back."""
-    tallied = decided.select(F.explode("buckets").alias("bucket"), (F.col("verdict") == "block").cast("long").alias("block")).groupBy("bucket").agg(F.sum("block").alias("block"), F.sum(1 - F.col("block")).alias("allow")).collect()
-    classes = decided.agg(F.count_if(F.col("verdict") == "block").alias("block"), F.count_if(F.col("verdict") == "allow").alias("allow")).first()
-    if not classes["block"] or not classes["allow"]:
-        return None
-    block, allow = np.ones(BUCKETS), np.ones(BUCKETS)
-    for r in tallied:
-        block[r["bucket"]] += r["block"]
-        allow[r["bucket"]] += r["allow"]
-    return np.log(block / block.sum()) - np.log(allow / allow.sum()), math.log(classes["block"] / classes["allow"])
+    return pages.select(F.explode(F.split(said, r"[^\p{L}]+")).alias("word")).filter("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _pieces(longest: int):
+    """(run) -> (run, word): the distinct substrings of each run that are no longer than the longest word."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("run", pa.string()), ("word", pa.string())])
+        for batch in batches:
+            runs, words = [], []
+            for run in batch.column(0).to_pylist():
+                seen = set()  # holds the substrings of one length only
+                for size in range(1, min(longest, len(run)) + 1):
+                    seen.clear()
+                    for at in range(len(run) - size + 1):
+                        piece = run[at : at + size]
+                        if piece not in seen:
+                            seen.add(piece)
+                            runs.append(run)
+                            words.append(piece)
+                        if len(runs) >= 10_000 or len(runs) * len(run) > 1 << 24:
+                            yield pa.RecordBatch.from_arrays([pa.array(runs, pa.string()), pa.array(words, pa.string())], schema=schema)
+                            runs, words = [], []
+            if runs:
+                yield pa.RecordBatch.from_arrays([pa.array(runs, pa.string()), pa.array(words, pa.string())], schema=schema)
+
+    return cut
+
+
+def segmented(runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(run) distinct runs of letters, (word, n) counts -> (run, words): the likeliest segmentation."""
+    whole = counts.agg(F.sum("n").alias("n"), F.max(F.length("word")).alias("longest")).first()
+    total, unseen = (whole["n"] or 0) + 1, -math.log((whole["n"] or 0) + 1)
+    met = runs.mapInArrow(_pieces(whole["longest"] or 0), "run string, word string").join(counts, "word")
+    own = met.groupBy("run").agg(F.collect_list("word").alias("known"), F.collect_list("n").alias("n"))
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def segment(run: pd.Series, known: pd.Series, n: pd.Series) -> pd.Series:
+        none = ((), ())
+        out = [Words({w: math.log(c / total) for w, c in zip(*((ws, cs) if ws is not None else none))}, unseen).segment(r) for r, ws, cs in zip(run, known, n)]
+        return pd.Series(out, dtype=object)
+
+    return runs.join(own, "run", "left").select("run", segment("run", "known", "n").alias("words"))
+
+
+def host_tokens(hosts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(host) distinct -> (host, token, n)."""
+    each = hosts.select("host", F.explode(runs_of(F.col("host"))).alias("run"))
+    is_number = F.col("run").rlike(IS_NUMBER)
+    words = segmented(each.filter(~is_number).select("run").distinct(), counts)
+    said = each.filter(~is_number).join(words, "run").select("host", F.explode(F.transform("words", lambda x: F.concat(F.lit("h:"), x))).alias("token"))
+    last = hosts.select("host", F.concat(F.lit("t:"), F.element_at(F.split("host", r"\."), -1)).alias("token"))
+    return said.union(each.filter(is_number).select("host", F.lit("h:#").alias("token"))).union(last).groupBy("host", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def path_tokens(path: Column) -> Column:
+    return F.transform(runs_of(F.lower(path)), lambda x: F.concat(F.lit("p:"), F.when(x.rlike(IS_NUMBER), "#").otherwise(x)))
+
+
+def weights(tallied: DataFrame) -> tuple[DataFrame, float]:
+    """(token, block, allow) -> ((token, odds): exact log odds of block, those of a token that no decided page has)."""
+    whole = tallied.agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"), F.count(F.lit(1)).alias("n")).first()
+    block, allow = (whole["block"] or 0) + whole["n"] + 1, (whole["allow"] or 0) + whole["n"] + 1
+    other = math.log(allow / block)
+    return tallied.select("token", (F.ln(F.col("block") + 1) - F.ln(F.col("allow") + 1) + other).alias("odds")), other
 
 
 def judged(pages: DataFrame, url: str = "url", html: str = "html", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """pages with a struct column `url_filter`: host, path, rule, verdict, score (log odds of block; null by rule)."""
-    context = pages.sparkSession.sparkContext
     host, path = host_and_path(F.col(url))
-    words = context.broadcast(fit_words(pages, url, html))
     rule, verdict = rule_of(F.col("__host"), F.col("__path"), rules)
-    read = pages.withColumn("__host", host).withColumn("__path", path)
-    read = read.withColumn("__rule", rule).withColumn("__verdict", verdict).withColumn("__buckets", _token_buckets(words)("__host", "__path"))
-    learned = weights(read.filter(F.col("__verdict").isNotNull()).select(F.col("__buckets").alias("buckets"), F.col("__verdict").alias("verdict")))
-    odds = context.broadcast(learned)
-
-    @F.pandas_udf(T.DoubleType())
-    def score(rows: pd.Series) -> pd.Series:
-        if odds.value is None:
-            return pd.Series(np.full(len(rows), -1.0))
-        table, prior = odds.value
-        return pd.Series([prior + float(table[np.asarray(r, np.int64)].sum()) if len(r) else prior for r in rows], dtype=float)
-
-    decided = read.withColumn("__score", score("__buckets"))
+    read = pages.withColumn("__host", host).withColumn("__path", path).withColumn("__rule", rule).withColumn("__verdict", verdict)
+    is_block, is_allow = F.col("verdict") == "block", F.col("verdict") == "allow"
+    urls = written(read.groupBy(F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__verdict").alias("verdict")).agg(F.count(F.lit(1)).alias("n")), "url-distinct")
+    by_host = urls.groupBy("host").agg(F.sum(F.when(is_block, F.col("n")).otherwise(0)).alias("block"), F.sum(F.when(is_allow, F.col("n")).otherwise(0)).alias("allow"))
+    classes = by_host.agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")).first()
+    if classes["block"] and classes["allow"]:
+        prior = math.log(classes["block"] / classes["allow"])
+        hosts = written(host_tokens(urls.select("host").distinct(), written(word_counts(pages, url, html), "url-words")), "url-host-tokens")
+        in_hosts = hosts.join(by_host.filter("block + allow > 0"), "host").select("token", (F.col("n") * F.col("block")).alias("block"), (F.col("n") * F.col("allow")).alias("allow"))
+        in_paths = urls.filter("verdict IS NOT NULL").select(F.explode(path_tokens(F.col("path"))).alias("token"), F.when(is_block, F.col("n")).otherwise(0).alias("block"), F.when(is_allow, F.col("n")).otherwise(0).alias("allow"))
+        odds, other = weights(written(in_hosts.union(in_paths).groupBy("token").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")), "url-tokens"))
+        asked = urls.filter("verdict IS NULL")
+        scored = lambda rows, by, into: rows.join(odds, "token", "left").groupBy(by).agg(F.sum(F.col("n") * F.coalesce("odds", F.lit(other))).alias(into))
+        of_host = scored(hosts.join(asked.select("host").distinct(), "host", "left_semi"), "host", "__of_host")
+        of_path = scored(asked.select("path").distinct().select("path", F.explode(path_tokens(F.col("path"))).alias("token")).groupBy("path", "token").agg(F.count(F.lit(1)).alias("n")), "path", "__of_path")
+        # rounded: the order of a sum must not turn a verdict
+        both = asked.join(of_host, "host", "left").join(of_path, "path", "left").select(F.col("host").alias("__h"), F.col("path").alias("__p"), F.round(F.lit(prior) + F.coalesce("__of_host", F.lit(0.0)) + F.coalesce("__of_path", F.lit(0.0)), 9).alias("__score"))
+        on = (F.col("__host") == F.col("__h")) & (F.col("__path") == F.col("__p"))
+        decided = read.join(both, on, "left")
+    else:
+        decided = read.withColumn("__score", F.lit(-1.0))
     column = F.struct(
         F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"),
         F.coalesce(F.col("__verdict"), F.when(F.col("__score") > 0, F.lit("block")).otherwise("allow")).alias("verdict"),

@@ -136,6 +136,33 @@ def test_segmentation_is_the_best_of_all(spark):
         assert abs(sum(map(cost, words.segment(name))) - best) < 1e-9 and "".join(words.segment(name)) == name
 
 
+def test_url_filter_counts_all_words_and_tokens(spark):
+    """Against a plain build with more tokens than buckets held before, rare words, long words, repeated rows."""
+    long, name = "pneumonoultramicroscopicsilicovolcanoconiosis", lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    rows = [(f"http://{name(i)}.net/es/{name(i)}/{i}", None) for i in range(35_000)] + [(f"http://x{name(i)}.com/{name(i)}q/{i}", None) for i in range(35_000)]
+    rows += [(f"http://{long}kkk.org/aab/zz", f"<title>{long} kkk</title>"), ("http://kkkuuuuuuuuuuuuuuuuuuuuuuuuuuuuu.org/7/new", None), (f"http://w{name(77)}.org/{name(5)}q/bb", None), ("http://1.2.org", None), ("http://1.2.org", None)]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.url_filter for r in url_filter.judged(pages).filter("url_filter.rule IS NULL").collect()}
+    split = [re.match(r"http://([^/]*)(.*)", u).groups() for u, _ in rows]
+    said = Counter(w for (_, p), (_, h) in zip(split, rows) for w in re.findall("[a-z]+", (h or "").replace("title", "") + " " + p))
+    total = sum(said.values()) + 1
+    assert len(said) > 50_000
+    words = url_filter.Words({w: math.log(n / total) for w, n in said.items()}, -math.log(total))
+    assert words.segment(f"{long}kkk") == [long, "kkk"] and words.segment("kkk" + "u" * 29) == ["kkk", "u" * 29]
+
+    def tokens(h, p):
+        runs = re.findall("[a-z]+|[0-9]+", h)
+        return [t for x in runs for t in (["h:#"] if x.isdigit() else ["h:" + w for w in words.segment(x)])] + ["t:" + h.split(".")[-1]] + ["p:" + ("#" if x.isdigit() else x) for x in re.findall("[a-z]+|[0-9]+", p)]
+
+    block, allow = Counter(t for h, p in split[:35_000] for t in tokens(h, p)), Counter(t for h, p in split[35_000:70_000] for t in tokens(h, p))
+    size = len(block | allow) + 1
+    b, a = block.total() + size, allow.total() + size
+    assert sorted(got) == [70_000, 70_001, 70_002, 70_003, 70_004]
+    for i, r in got.items():
+        score = sum(math.log((block[t] + 1) / b) - math.log((allow[t] + 1) / a) for t in tokens(*split[i]))
+        assert abs(r.score - score) < 1e-6 and r.verdict == ("block" if score > 0 else "allow"), i
+
+
 # 5 and 6
 def test_sentence_pieces_are_the_librarys(spark, small, odd_docs, no_docs):
     import sentencepiece
