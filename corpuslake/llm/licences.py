@@ -4,11 +4,14 @@ so that a one-line notice inside a longer text is found too.
 
 Defined results. Null or empty text: the digest of the empty text, no licence, no notice. A text that is only
 copyright lines counts as empty. Repeated rows are each answered; other columns pass through. Main path: SQL
-functions only, one narrow pass; the known digests are the fixed list below, so the broadcast is bounded.
+functions only, one narrow pass; the known digests are as many as the known texts, so the broadcast is bounded.
 """
 
 from __future__ import annotations
 
+from itertools import product
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +33,40 @@ KNOWN = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
+_BSD = ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.")
+_BSD_NAMES = tuple(f"Neither the name of {who} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission." for who in ("the copyright holder", "the University"))
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT {} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_UNLICENSE = "This is free and unencumbered software released into the public domain.\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\nFor more information, please refer to <{}://unlicense.org{}>"
+
+#: Families of notices: licence, its names.
+FAMILIES = (
+    [("MIT", ("MIT License", "MIT")), ("ISC", ("ISC License", "ISC")), ("Unlicense", ("Unlicense",)), ("CC0-1.0", ("CC0 1.0", "CC0-1.0", "CC0 1.0 Universal")), ("MPL-1.1", ("Mozilla Public License, version 1.1", "MPL 1.1")), ("MPL-2.0", ("Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0", "MPL 2.0"))]
+    + [(f"BSD-{n}-Clause", (f"BSD {n}-Clause License", f"BSD-{n}-Clause", f"{n}-Clause BSD License")) for n in (2, 3)]
+    + [(f"Apache-{v}", (f"Apache License, Version {v}", f"Apache License {v}", f"Apache-{v}", f"Apache {v}")) for v in ("1.1", "2.0")]
+    + [(f"{a}-{v}{end}", tuple(f"{name}{mid}{n}{words}" for name, mid, n in product((f"GNU {f} Public License", a, f"GNU {a}"), (", version ", " v", " "), dict.fromkeys((v, v.removesuffix(".0"))))) + (f"{a}-{v}{end}",)) for a, f, versions in (("GPL", "General", ("1.0", "2.0", "3.0")), ("LGPL", "Lesser General", ("2.1", "3.0")), ("AGPL", "Affero General", ("3.0",))) for v in versions for end, words in (("", ""), ("-or-later", " or later"))]
+    + [(f"CC-{k}-{v}", (f"CC {k} {v}", f"CC-{k}-{v}", f"Creative Commons {long} {v}", f"Creative Commons {long} {v} International License")) for k, long in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")) for v in ("1.0", "2.0", "2.5", "3.0", "4.0")]
+)
+PHRASES = tuple(f"{head} under {article}{{}}." for head in ("Licensed", "Released", "Distributed", "This work is licensed", "This project is licensed", "This software is licensed", "This file is licensed") for article in ("", "the ", "a ")) + ("SPDX-License-Identifier: {}", "License: {}")
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(licence, text): KNOWN, the shipped texts and the notices of every family and version. The twin has KNOWN only."""
+    whole = [(p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+    whole += [("Apache-2.0", text[: text.index("APPENDIX: How to apply")]) for name, text in whole if name == "Apache-2.0"]
+    for marks, party, names in product((True, False), ("HOLDER", "OWNER"), ((), *[(n,) for n in _BSD_NAMES])):
+        clauses = "\n".join(f"{i}. {c}" if marks else f"* {c}" for i, c in enumerate(_BSD + names, 1))
+        body, n = _BSD_HEAD + clauses + "\n" + _BSD_END.format(party), 2 + len(names)
+        whole += [(f"BSD-{n}-Clause", title + body) for title in ("", f"BSD {n}-Clause License\n")]
+    whole += [("Unlicense", _UNLICENSE.format("https", end)) for end in ("", "/")]
+    return [*KNOWN, *whole, *[(licence, phrase.format(name)) for licence, names in FAMILIES for name in names for phrase in PHRASES]]
+
+
 #: Spellings that count as the same word.
 SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("noncommercial", "non commercial"), ("non-infringement", "noninfringement"), ("favour", "favor"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("copyright holder(s)", "copyright holders"), ("https://", "http://"), ("&", " and "))
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n(©]*(copyright [^\n]*[0-9]{4}|\(c\)|©|all rights reserved)[^\n]*$"
+#: Every known text has one of these; only lines with one are looked up.
+CUE = "licens|under|permi"
 NOT_LETTERS = r"[^\p{L}\p{N}\n]+"
 
 
@@ -49,24 +83,27 @@ def canonical_text(lines: Column) -> Column:
     return F.trim(F.regexp_replace(F.array_join(lines, " "), " +", " "))
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    """(digest, licence) of the fixed list."""
-    listed = F.array(*[F.struct(F.lit(name).alias("licence"), F.lit(text).alias("text")) for name, text in KNOWN])
-    rows = spark.range(0, 1, 1, 1).select(F.explode(listed).alias("k")).select("k.licence", F.md5(canonical_text(canonical_lines(F.col("k.text"))).cast("binary")).alias("digest"))
+def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(digest, licence) of the known texts."""
+    names, bodies = zip(*(texts or known_texts()))
+    listed = F.arrays_zip(F.split(F.lit("\x01".join(names)), "\x01").alias("licence"), F.split(F.lit("\x01".join(bodies)), "\x01").alias("text"))
+    rows = spark.range(0, 1, 1, 1).select(F.explode(listed).alias("k")).select(F.col("k.licence").alias("licence"), F.md5(canonical_text(canonical_lines(F.col("k.text"))).cast("binary")).alias("digest"))
     return rows.groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
 def scan(docs: DataFrame, text: str = "text", into: str = "licence_scan") -> DataFrame:
     """docs with a struct column: digest of the canonical text, licence that the whole text is (or null), and
     notices: for each line that is a known text, its licence, sorted and distinct."""
-    known = known_digests(docs.sparkSession)
-    names = {r["digest"]: r["licence"] for r in known.collect()}  # as many as KNOWN
-    table = F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair])
+    names = sorted((r["digest"], r["licence"]) for r in known_digests(docs.sparkSession).collect())  # as many as known texts
+    digests = F.split(F.lit(",".join(d for d, _ in names)), ",")
+    table = F.str_to_map(F.lit(",".join(f"{d}:{n}" for d, n in names)), F.lit(","), F.lit(":"))
     read = docs.withColumn("__lines", canonical_lines(F.col(f"`{text}`")))
     read = read.withColumn("__digest", F.md5(canonical_text(F.col("__lines")).cast("binary")))
-    found = F.array_intersect(F.transform("__lines", lambda line: F.md5(F.trim(line).cast("binary"))), F.array(*[F.lit(d) for d in sorted(names)]))
+    cued = F.filter("__lines", lambda line: line.rlike(CUE))
+    found = F.array_intersect(F.transform(cued, lambda line: F.md5(F.trim(line).cast("binary"))), digests)
     read = read.withColumn("__notices", F.array_sort(F.array_distinct(F.transform(found, lambda d: F.element_at(table, d)))))
-    hashed = F.broadcast(known.select(F.col("digest").alias("__of"), F.col("licence").alias("__licence")))
+    known = docs.sparkSession.range(0, 1, 1, 1).select(F.explode(table).alias("__of", "__licence"))
+    hashed = F.broadcast(known)
     joined = read.join(hashed, F.col("__digest") == F.col("__of"), "left")
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(F.col("__digest").alias("digest"), F.col("__licence").alias("licence"), F.col("__notices").alias("notices")).alias(into))
 

@@ -271,6 +271,20 @@ def test_licences(spark, odd_docs, no_docs):
     assert licences.scan(odd_docs).count() == odd_docs.count() and licences.scan(no_docs).count() == 0
 
 
+def test_licences_by_family_and_version(spark):
+    texts = dict(licences.known_texts()[len(licences.KNOWN) :][:11])
+    rows = [(name, "Copyright (c) 2020 A B\n" + text.upper() if name != "GPL-2.0" else text, name, []) for name, text in texts.items()]
+    bsd = [(n, t) for n, t in licences.known_texts() if n.startswith("BSD") and "Redistribution" in t]
+    rows += [(f"b{i}", t, n, []) for i, (n, t) in enumerate(bsd)]
+    rows += [("n1", "x\nLicensed under CC BY 4.0.\nThis work is licensed under the GNU General Public License, version 2", None, ["CC-BY-4.0", "GPL-2.0"]), ("n2", "a\nSPDX-License-Identifier: LGPL-2.1-or-later", None, ["LGPL-2.1-or-later"]), ("n3", "y\nnot licensed under CC BY 4.0.", None, [])]
+    docs = spark.createDataFrame([r[:2] for r in rows], "id string, text string")
+    got = {r.id: r.licence_scan for r in licences.scan(docs).collect()}
+    assert len(texts) == 11 and len(got) == len(rows)
+    for i, _, licence, notices in rows:
+        assert got[i].licence == licence and (licence or got[i].notices == notices), i
+    assert all(re.search(licences.CUE, t.lower().replace("licence", "license")) for _, t in licences.known_texts())
+
+
 # 10
 def test_sharding(spark, odd_docs, no_docs):
     table = sharding.fill_table(sharding.SHARDS)
