@@ -3,19 +3,18 @@ hashes probe the sorted piece keys, and vectorised maxima store the backpointers
 
 A word is a run of spaces with the characters after it; no piece spans two words, so a text's tokens are the
 concatenation of its words' tokens, and a word is encoded once for as long as a worker remembers it. The ids are those
-of the model's own library; decode(encode(text)) gives the text back, byte for byte.
+of the model's own library, which is not asked; decode(encode(text)) gives the text back, byte for byte.
 
 Defined results. Null or empty text: no ids. Characters that are no piece are spelled in byte pieces; so is a literal
 U+2581, which the library would turn into a space. Very long words take one step a character. Rows are answered by
-themselves, so repeats and other columns do not matter. The model's path is a parameter; every executor needs the file.
+themselves, so repeats do not matter. A column of docs that is named like a result stays as `<name>_input`. The model's
+path is a parameter; every executor needs the file.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,10 +23,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslake.llm.pieces import LONG, MODEL, UNKNOWN, Pieces, code_points, prefix_hashes, units
+from corpuslake.llm.pieces import CELLS, LONG, MODEL, START, UNKNOWN, Pieces, characters, prefix_hashes, units
+from corpuslake.llm.shared import parts_of, set_aside
 
 REMEMBERED = 1_200_000
-ROWS = 20_000  # words that advance together
+
+
+class Growing:
+    """An array that takes more at its end; its room doubles."""
+
+    def __init__(self, dtype, *first):
+        self.room, self.n = np.zeros(1 << 16, dtype), 0
+        self.add(np.array(first, dtype))
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.room):
+            self.room = np.concatenate([self.room[: self.n], np.zeros(max(len(self.room), len(more)), self.room.dtype)])
+        self.room[self.n : self.n + len(more)] = more
+        self.n += len(more)
 
 
 class Encoder:
@@ -37,87 +50,97 @@ class Encoder:
 
     def forget(self) -> None:
         """Word -> place; the word at a place has its ids in flat[start[place] : start[place + 1]]."""
-        self.place: dict[str, int] = {}
-        self.start = np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.int32)
+        self.place: dict[bytes, int] = {}
+        self.start, self.flat = Growing(np.int64, 0), Growing(np.int32)
 
-    def _equal(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids one after another, how many each has) of words of one length."""
-        size = len(words[0])
+    def _equal(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, how many each has) of words of one length, a row of code points each."""
+        n, size = codes.shape
         if size >= LONG:
-            rows = [self._spelled(w, np.array(self.pieces.long_word(w), np.int32)) for w in words]
+            rows = [self._spelled(w, np.array(self.pieces.long_word("".join(map(chr, w.tolist()))), np.int64)) for w in codes]
             return np.concatenate(rows), np.array([len(x) for x in rows])
-        hashes = prefix_hashes(code_points(words, size))
-        n = len(words)
-        states = [(np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64))]
+        hashes = prefix_hashes(codes)
+        # state j * n + i: word i up to its character j
+        last, score, count = np.full((size + 1) * n, START, np.int64), np.zeros((size + 1) * n), np.zeros((size + 1) * n, np.int64)
+        lengths = np.zeros((size + 1) * n, np.int64)
+        numbers = np.arange(n)[:, None] + np.arange(size)[None, :] * n
         for j in range(1, size + 1):
-            states.append(self.pieces.step(hashes[:, j], j, lambda i: (hashes[:, i], states[i][0], states[i][2], states[i][3])))
-        back_token = np.stack([s[0] for s in states], 1)
-        back_size = np.stack([s[1] for s in states], 1)
-        count = states[-1][3]
+            to = slice(j * n, (j + 1) * n)
+            last[to], lengths[to], score[to], count[to] = self.pieces.step(hashes[:, : j + 1], numbers[:, :j], last, score, count)
+        total = count[size * n :]
         out = np.full((n, size), -1, np.int32)
-        at, live, spot = np.full(n, size), np.arange(n), count.copy()
+        at, live, spot = np.full(n, size), np.arange(n), total.copy()
         while len(live):
+            state = at[live] * n + live
             spot[live] -= 1
-            out[live, spot[live]] = back_token[live, at[live]]
-            at[live] -= back_size[live, at[live]]
+            out[live, spot[live]] = last[state]
+            at[live] -= lengths[state]
             live = live[at[live] > 0]
         odd = np.flatnonzero((out == UNKNOWN).any(axis=1))
         if not len(odd):
-            return out[out >= 0], count
+            return out[out >= 0], total
         rows = [x[x >= 0] for x in out]
         for i in odd:
-            rows[i] = self._spelled(words[i], rows[i])
+            rows[i] = self._spelled(codes[i], rows[i])
         return np.concatenate(rows), np.array([len(x) for x in rows])
 
-    def _spelled(self, word: str, tokens: np.ndarray) -> np.ndarray:
+    def _spelled(self, word: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         ids, at = [], 0
         for t in tokens.tolist():
             if t == UNKNOWN:
-                ids += self.pieces.spelled(word[at])
+                ids += self.pieces.spelled(chr(word[at]))
                 at += 1
             else:
                 ids.append(t)
-                at += len(self.pieces.text[t])
+                at += int(self.pieces.size[t])
         return np.array(ids, np.int32)
 
-    def learn(self, words: set[str]) -> None:
-        by_size = defaultdict(list)
-        for w in words:
-            by_size[len(w)].append(w)
-        flat, counts, place = [self.flat], [], len(self.place)
-        for size, same in by_size.items():
-            block = max(1, min(ROWS, 2_000_000 // size))
-            for i in range(0, len(same), block):
-                part = same[i : i + block]
-                ids, count = self._equal(part)
-                flat.append(ids)
-                counts.append(count)
-                self.place.update(zip(part, range(place, place + len(part))))
-                place += len(part)
-        if counts:
-            self.flat = np.concatenate(flat)
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(counts))])
-
-    def encode_flat(self, texts: list[str | None], remembered: int = REMEMBERED) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, one after another; where each text's begin, and the end)."""
-        split = [units(t or "") for t in texts]
-        if len(self.place) > remembered:
+    def learn(self, words: list[bytes]) -> None:
+        codes, sizes = characters(words)
+        begin = np.cumsum(sizes) - sizes
+        order = np.argsort(sizes, kind="stable")
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(sizes[order])) + 1, [len(order)]])
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            size = int(sizes[order[a]])
+            for i in range(a, b, max(1, CELLS // size)):
+                same = order[i : min(b, i + max(1, CELLS // size))]
+                ids, count = self._equal(codes[begin[same][:, None] + np.arange(size)[None, :]])
+                place = len(self.place)
+                self.place.update(zip(map(words.__getitem__, same.tolist()), range(place, place + len(same))))
+                self.start.add(self.flat.n + np.cumsum(count))
+                self.flat.add(ids)
+
+    def encode_flat(self, texts: pa.Array, remembered: int = REMEMBERED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, one after another; where each text's begin, and the end; do they decode to the text)."""
+        distinct, number, begin, body, at = units(texts)
+        words = distinct.to_pylist()
+        if len(self.place) + len(words) > remembered:
             self.forget()
-        self.learn(set(chain.from_iterable(split)) - self.place.keys())
-        words = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64)
-        sizes = self.start[words + 1] - self.start[words]
+        new = [w for w in words if w not in self.place]
+        if new:
+            self.learn(new)
+        place = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))[number]
+        sizes = self.start.room[place + 1] - self.start.room[place]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.start[words] - ends[:-1], sizes)]
-        return ids, ends[np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)]
+        ids = self.flat.room[np.arange(ends[-1]) + np.repeat(self.start.room[place] - ends[:-1], sizes)]
+        first = ends[begin]
+        return ids, first, self._gives(ids, first, body, at)
+
+    def _gives(self, ids: np.ndarray, first: np.ndarray, body: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Are the ids' bytes those of the spaced texts."""
+        raw, ends = self.pieces.raw_bytes(ids)
+        own = np.concatenate([[0], ends])[first]
+        if np.array_equal(own, at) and np.array_equal(raw, body):
+            return np.ones(len(at) - 1, bool)
+        return np.array([np.array_equal(raw[a:b], body[c:d]) for a, b, c, d in zip(own[:-1], own[1:], at[:-1], at[1:])], bool)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        ids, begin = self.encode_flat(texts)
+        ids, begin, _ = self.encode_flat(pa.array(texts, pa.string()))
         return [ids[a:b] for a, b in zip(begin[:-1], begin[1:])]
 
     def decode(self, ids) -> str:
-        raw = b"".join(map(self.pieces.bytes.__getitem__, ids))
-        return raw[1:].decode("utf-8", "surrogatepass") if raw else ""
+        raw = self.pieces.raw_bytes(np.asarray(ids, np.int64))[0].tobytes()
+        return raw[1:].decode("utf-8", "surrogateescape")
 
 
 @lru_cache(maxsize=2)
@@ -130,14 +153,11 @@ def _encode_task(model: str, merges: bool, remembered: int, keep: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = of_worker(model, merges)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for i in range(0, len(texts), 1000):
-                part = texts[i : i + 1000]
-                ids, begin = coder.encode_flat(part, remembered)
-                same = [coder.decode(ids[a:b].tolist()) == (t or "") for a, b, t in zip(begin[:-1], begin[1:], part)]
+            schema = pa.schema([*list(batch.schema)[:-1], pa.field("ids", pa.list_(pa.int32())), pa.field("round_trip", pa.bool_())])
+            for part in parts_of(batch, batch.num_columns - 1):
+                ids, begin, same = coder.encode_flat(part.column(part.num_columns - 1), remembered)
                 column = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(ids))
-                kept = batch.slice(i, len(part))
-                yield pa.RecordBatch.from_arrays([*kept.columns[:-1], column, pa.array(same, pa.bool_())], schema=pa.schema([*list(batch.schema)[:-1], pa.field("ids", pa.list_(pa.int32())), pa.field("round_trip", pa.bool_())]))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], column, pa.array(same, pa.bool_())], schema=schema)
         if not keep:
             coder.forget()
 
@@ -149,6 +169,7 @@ def encoded(docs: DataFrame, text: str = "text", ids_as: str = "ids", check_as:
 
     `remembered` bounds the words that a worker holds; without `keep` it lets go of them when its task ends, for jobs
     whose workers have other stages to serve."""
+    docs, (text,) = set_aside(docs, (ids_as, check_as), (text,))
     others = [f"c{i}" for i in range(len(docs.columns))]
     read = docs.toDF(*others).withColumn("body", F.col(others[docs.columns.index(text)]))
     schema = T.StructType([*read.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
@@ -168,7 +189,8 @@ def decoder(model: str = MODEL):
 
 
 def decoded(tokens: DataFrame, ids: str = "ids", text_as: str = "text", model: str = MODEL) -> DataFrame:
-    column: Column = decoder(model)(F.col(ids))
+    tokens, (ids,) = set_aside(tokens, (text_as,), (ids,))
+    column: Column = decoder(model)(F.col(f"`{ids}`"))
     return tokens.withColumn(text_as, column)
 
 

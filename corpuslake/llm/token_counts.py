@@ -6,14 +6,14 @@ at which depths it starts new nodes. A level's nodes advance together and read t
 
 Defined results. Null or empty text: no pre-tokens, no tokens. The counts are those of the model's library (a literal
 U+2581 counts its three byte pieces). Pre-tokens longer than `LONG` share no level; they are stepped by themselves.
-Narrow: no shuffle, no state beyond a batch, so hot texts and repeats cost what their batch costs.
+A column of docs that is named like the result stays as `<name>_input`. Narrow: no shuffle, no state beyond the remembered
+pre-tokens, so hot texts and repeats cost what their batch costs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslake.llm.pieces import MODEL, UNKNOWN, Pieces, code_points, prefix_hashes, units
+from corpuslake.llm.pieces import MODEL, START, UNKNOWN, Pieces, characters, prefix_hashes, units
+from corpuslake.llm.shared import parts_of, set_aside
 
 LONG = 48
 REMEMBERED = 600_000
@@ -31,7 +32,7 @@ NODES = 60_000  # pre-tokens of one trie
 class TrieCounter:
     def __init__(self, model: str = MODEL, merges: bool = True):
         self.pieces = Pieces(model, merges)
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         self.extra: dict[int, int] = {}
 
     def _spelling(self, character: int) -> int:
@@ -40,54 +41,61 @@ class TrieCounter:
             self.extra[character] = len(self.pieces.spelled(chr(character))) - 1
         return self.extra[character]
 
-    def trie_counts(self, words: list[str]) -> np.ndarray:
-        """Token counts of sorted distinct pre-tokens of at most a few dozen characters."""
-        sizes = np.array([len(w) for w in words])
-        width = int(sizes.max())
-        codes = code_points(words, width)
+    def trie_counts(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Token counts of distinct pre-tokens in sorted order, a row of code points each, filled up with zeros."""
+        n, width = codes.shape
         hashes = prefix_hashes(codes)
-        differs = np.concatenate([codes[1:] != codes[:-1], np.ones((len(words) - 1, 1), bool)], axis=1)
+        differs = np.concatenate([codes[1:] != codes[:-1], np.ones((n - 1, 1), bool)], axis=1)
         shared = np.concatenate([[0], np.minimum(np.argmax(differs, axis=1), np.minimum(sizes[1:], sizes[:-1]))])
-        n = len(words)
-        node = [np.zeros(n, np.int64)]  # depth -> node of each row
-        states = [(np.full(1, -1, np.int64), np.zeros(1), np.zeros(1, np.int64))]
+        node = np.zeros((n, width + 1), np.int64)  # row, depth -> number of its node; node 0 is the root
+        starts = (sizes[:, None] > np.arange(width)) & (shared[:, None] <= np.arange(width))  # does the row start a node
+        ends = np.cumsum(starts.sum(axis=0))
+        nodes = 1 + int(ends[-1])
+        last, score, count = np.full(nodes, START, np.int64), np.zeros(nodes), np.zeros(nodes, np.int64)
         out = np.zeros(n, np.int64)
         for depth in range(1, width + 1):
-            inside = sizes >= depth
-            first = np.flatnonzero(inside & (shared < depth))  # the rows that start this level's nodes
-            number = np.zeros(n, np.int64)
-            number[first] = 1
-            node.append(np.cumsum(number) - 1)
-
-            def before(i: int, first=first):
-                last, score, count = states[i]
-                at = node[i][first]
-                return hashes[first, i], last[at], score[at], count[at]
-
-            token, size, score, count = self.pieces.step(hashes[first, depth], depth, before)
-            for k in np.flatnonzero((token == 0) & (size == 1)):
-                count[k] += self._spelling(int(codes[first[k], depth - 1]))
-            states.append((token, score, count))
+            base = 1 + (int(ends[depth - 2]) if depth > 1 else 0)
+            first = np.flatnonzero(starts[:, depth - 1])  # the rows that start this level's nodes
+            node[:, depth] = base - 1 + np.cumsum(starts[:, depth - 1])
+            token, size, best, total = self.pieces.step(hashes[first, : depth + 1], node[first, :depth], last, score, count)
+            for k in np.flatnonzero(token == UNKNOWN):
+                total[k] += self._spelling(int(codes[first[k], depth - 1]))
+            to = slice(base, base + len(first))
+            last[to], score[to], count[to] = token, best, total
             done = np.flatnonzero(sizes == depth)
-            out[done] = count[node[depth][done]]
+            out[done] = count[node[done, depth]]
         return out
 
-    def count(self, texts: list[str | None]) -> np.ndarray:
-        split = [units(t or "") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = sorted(set(chain.from_iterable(split)) - self.known.keys())
-        short = [w for w in new if len(w) <= LONG]
+    def _long(self, word: str) -> int:
+        tokens = self.pieces.long_word(word)
+        at = np.cumsum([0] + [1 if t == UNKNOWN else int(self.pieces.size[t]) for t in tokens])
+        return len(tokens) + sum(self._spelling(ord(word[i])) for t, i in zip(tokens, at) if t == UNKNOWN)
+
+    def learn(self, words: list[bytes]) -> None:
+        """UTF-8 sorts as its code points do, so sorted bytes are a trie's order."""
+        words = sorted(words)
+        codes, sizes = characters(words)
+        begin = np.cumsum(sizes) - sizes
+        short = np.flatnonzero(sizes <= LONG)
         for i in range(0, len(short), NODES):
             part = short[i : i + NODES]
-            self.known.update(zip(part, self.trie_counts(part).tolist()))
-        for w in new:
-            if len(w) > LONG:
-                tokens = self.pieces.long_word(w)
-                at = np.cumsum([0] + [1 if t == UNKNOWN else len(self.pieces.text[t]) for t in tokens])
-                self.known[w] = len(tokens) + sum(self._spelling(ord(w[i])) for t, i in zip(tokens, at) if t == UNKNOWN)
-        known = self.known
-        return np.array([sum(map(known.__getitem__, words)) for words in split], np.int64)
+            at = np.arange(int(sizes[part].max()))[None, :]
+            own = codes[np.minimum(begin[part][:, None] + at, len(codes) - 1)]
+            own[at >= sizes[part][:, None]] = 0
+            self.known.update(zip(map(words.__getitem__, part.tolist()), self.trie_counts(own, sizes[part]).tolist()))
+        for k in np.flatnonzero(sizes > LONG).tolist():
+            self.known[words[k]] = self._long("".join(map(chr, codes[begin[k] : begin[k] + sizes[k]].tolist())))
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        distinct, number, begin, _, _ = units(texts)
+        words = distinct.to_pylist()
+        if len(self.known) + len(words) > REMEMBERED:
+            self.known = {}
+        new = [w for w in words if w not in self.known]
+        if new:
+            self.learn(new)
+        each = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[number]
+        return np.diff(np.concatenate([[0], np.cumsum(each)])[begin])
 
 
 @lru_cache(maxsize=2)
@@ -100,8 +108,8 @@ def _count_task(model: str, merges: bool):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = of_worker(model, merges)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            counts = np.concatenate([counter.count(texts[i : i + 2000]) for i in range(0, len(texts), 2000)]) if texts else np.zeros(0, np.int64)
+            at = batch.num_columns - 1
+            counts = np.concatenate([np.zeros(0, np.int64), *[counter.count(part.column(at)) for part in parts_of(batch, at)]])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], schema=pa.schema([*list(batch.schema)[:-1], pa.field("n_tokens", pa.int64())]))
 
     return count
@@ -109,6 +117,7 @@ def _count_task(model: str, merges: bool):
 
 def with_token_counts(docs: DataFrame, text: str = "text", count_as: str = "n_tokens", model: str = MODEL, merges: bool = True) -> DataFrame:
     """docs with the number of tokens of each text."""
+    docs, (text,) = set_aside(docs, (count_as,), (text,))
     others = [f"c{i}" for i in range(len(docs.columns))]
     read = docs.toDF(*others).withColumn("body", F.col(others[docs.columns.index(text)]))
     schema = T.StructType([*read.schema.fields[:-1], T.StructField("n_tokens", T.LongType())])
