@@ -29,6 +29,13 @@ def relevance(distance: Column, importance: Column, updated: Column, score: Colu
     return clamp(1.0 - clamp(distance, 0.0, 2.0) / 2.0 + boost + recency_boost(updated, as_of))
 
 
+def cosine_distance(a: Column, b: Column) -> Column:
+    """0..2 in double precision (V2); null for null, empty or unequally long vectors."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), clamp(1.0 - dot(a, b) / F.greatest(norms, F.lit(1e-30)), 0.0, 2.0))
+
+
 def type_weight(kind: Column, options: Scoring = Scoring()) -> Column:
     weights = F.create_map(*[F.lit(x) for kv in options.weights.items() for x in kv])
     return F.coalesce(F.try_element_at(weights, kind), F.lit(options.weights.get("unknown", 0.5)))

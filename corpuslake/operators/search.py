@@ -7,43 +7,81 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions import scoring
 from corpuslake.functions.text import preview, xml_escaped
-from corpuslake.options import ALL_TYPES, CONFIRMATIONS, INTENTS, SYNONYMS, Search
+from corpuslake.options import ALL_TYPES, CONFIRMATIONS, INTENTS, SELF_PROMPT, SYNONYMS, Search
 from corpuslake.sources.tables import new_path
 
 QUERY_BLOCK, ROW_BLOCK = 512, 4096
+PASS_BLOCKS = 32  # query blocks that are broadcast at once
 
 
-def _packed(df: DataFrame, key: str, vector: str, per_block: int, name: str) -> DataFrame:
-    """Rows packed into blocks of about per_block: (block, keys, vectors one after another)."""
-    n = df.count()
-    blocks = max(1, -(-n // per_block))
-    named = df.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias(name))
-    return named.groupBy(name).agg(F.collect_list("k").alias(f"{name}_keys"), F.flatten(F.collect_list("v")).alias(f"{name}_vectors"))
+def with_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(k, v) of the rows that can be compared: null keys, null or empty vectors and vectors with null elements go."""
+    v = F.col(vector)
+    return df.select(F.col(key).alias("k"), v.alias("v")).filter(F.col("k").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()))
+
+
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, v) rows as they come, ROW_BLOCK a row: keys in order, vectors one after another."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROW_BLOCK):
+            part = batch.slice(i, ROW_BLOCK)
+            part = part.take(pc.sort_indices(part.column(0)))
+            values = part.column(1).flatten()
+            one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+            yield pa.RecordBatch.from_arrays([one(part.column(0)), one(values)], names=["rb_keys", "rb_vectors"])
+
+
+def _unit(flat: np.ndarray, n: int) -> np.ndarray:
+    x = flat.astype(np.float64).reshape(n, -1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+
+
+def _least(found: pa.Table, k: int) -> pa.Table:
+    """The k nearest rows of each query, of equal distances those with the least id."""
+    order = found.sort_by([("query_id", "ascending"), ("rounded", "ascending"), ("doc_id", "ascending")])
+    q = order.column("query_id").combine_chunks()
+    n = len(q)
+    new = np.ones(n, bool)
+    if n > 1:
+        new[1:] = pc.not_equal(q.slice(1), q.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    return order.filter(pa.array(np.arange(n) - start < k))
 
 
 def _block_top(k: int, with_self: bool):
+    """(query keys and vectors, row keys in order and vectors) -> each query's k nearest rows of this task. Held: k rows
+    a query, however many rows are equally near."""
+
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        size = 0
         for batch in batches:
-            out = ([], [], [])
             for i in range(batch.num_rows):
-                qk, qv, rk, rv = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in range(4))
-                q, r = qv.astype(np.float64).reshape(len(qk), -1), rv.astype(np.float64).reshape(len(rk), -1)
-                near = (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)) @ (r / np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-30)).T
+                qk, qv, rk, rv = (batch.column(c)[i].values for c in range(4))
+                near = np.clip(1.0 - _unit(qv.to_numpy(zero_copy_only=False), len(qk)) @ _unit(rv.to_numpy(zero_copy_only=False), len(rk)).T, 0.0, 2.0)
+                rounded = np.round(near, 9)
                 if not with_self:
-                    near[qk[:, None] == rk[None, :]] = -np.inf
-                keep = min(k, near.shape[1])
-                at = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
-                edge = np.take_along_axis(near, at, 1).min(axis=1)  # equal to the last kept: kept too, so ties are settled later
-                row, col = np.nonzero((near >= edge[:, None]) & np.isfinite(near))
-                out[0].append(qk[row])
-                out[1].append(rk[col])
-                out[2].append(np.clip(1.0 - near[row, col], 0.0, 2.0))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o) if o else np.zeros(0)) for o in out], names=["query_id", "doc_id", "distance"])
+                    where = pc.index_in(qk, value_set=rk).to_numpy(zero_copy_only=False)  # null where the query is no row
+                    own = np.flatnonzero(~np.isnan(where.astype(float)))
+                    rounded[own, where[own].astype(int)] = np.inf
+                keep = min(k, rounded.shape[1])
+                edge = np.partition(rounded, keep - 1, axis=1)[:, keep - 1 : keep]
+                below, equal = rounded < edge, rounded == edge
+                equal &= np.cumsum(equal, axis=1) <= keep - below.sum(axis=1, keepdims=True)
+                row, col = np.nonzero((below | equal) & np.isfinite(rounded))
+                held.append(pa.table({"query_id": qk.take(pa.array(row)), "doc_id": rk.take(pa.array(col)), "distance": near[row, col], "rounded": rounded[row, col]}))
+                size += len(row)
+                if size > 1_000_000:
+                    held = [_least(pa.concat_tables(held), k)]
+                    size = 0
+        if held:
+            yield from _least(pa.concat_tables(held), k).drop(["rounded"]).to_batches()
 
     return top
 
@@ -51,50 +89,93 @@ def _block_top(k: int, with_self: bool):
 def nearest(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "query_id", doc_id: str = "doc_id", vector: str = "embedding", with_self: bool = True) -> DataFrame:
     """Exact k nearest chunks of each query by cosine distance (J1, V2, V3): (query_id, doc_id, distance).
 
-    Both sides are packed into blocks; a block of queries meets every block of rows in one matrix product, and only
-    the block's best k go on. Nothing is broadcast, so the query table may grow with the corpus."""
-    q = _packed(queries, query_id, vector, QUERY_BLOCK, "qb")
-    r = _packed(chunks, doc_id, vector, ROW_BLOCK, "rb")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    spread = r.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).repartition("qb", "rb")
-    met = spread.join(q, "qb").select("qb_keys", "qb_vectors", "rb_keys", "rb_vectors")
-    key = queries.schema[query_id].dataType.simpleString()
-    found = met.mapInArrow(_block_top(k, with_self), f"query_id {key}, doc_id {chunks.schema[doc_id].dataType.simpleString()}, distance double")
+    Queries are packed into blocks of QUERY_BLOCK, PASS_BLOCKS of which are broadcast at once; rows are packed where they
+    are read and meet each block in one matrix product, so rows are never shuffled. A task passes on k rows a query.
+    More queries take more passes over the rows. Rows and queries without a vector are in no result."""
+    spark = queries.sparkSession
+    asked = with_vectors(queries, query_id, vector)
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    named = asked.withColumn("qb", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
+    pairs = F.array_sort(F.collect_list(F.struct("k", "v"))).alias("kv")
+    packed = named.groupBy("qb").agg(pairs).select("qb", F.col("kv.k").alias("qb_keys"), F.flatten("kv.v").alias("qb_vectors"))
+    path = new_path(spark, "query-blocks")
+    packed.write.parquet(path)
+    packed = spark.read.schema(packed.schema).parquet(path)
+    rows = with_vectors(chunks, doc_id, vector)
+    kinds = asked.schema["k"].dataType.simpleString(), rows.schema["k"].dataType.simpleString()
+    packs = rows.mapInArrow(_packs, f"rb_keys array<{kinds[1]}>, rb_vectors {rows.schema['v'].dataType.simpleString()}")
+    found = None
+    for low in range(0, blocks, PASS_BLOCKS):
+        part = F.broadcast(packed.filter(F.col("qb").between(low, low + PASS_BLOCKS - 1)))
+        spread = packs.withColumn("qb", F.explode(F.sequence(F.lit(low), F.lit(min(blocks, low + PASS_BLOCKS) - 1))))
+        met = spread.join(part, "qb").select("qb_keys", "qb_vectors", "rb_keys", "rb_vectors")
+        top = met.mapInArrow(_block_top(k, with_self), f"query_id {kinds[0]}, doc_id {kinds[1]}, distance double")
+        found = top if found is None else found.union(top)
+    return _ranked(found, k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "doc_id")
     return found.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).drop("rn")
 
 
-def reranked(found: DataFrame, chunks: DataFrame, as_of: Column, options: Search = Search()) -> DataFrame:
-    """Relevance, best chunk of each file, best n results of each query, ranked."""
+def scored(found: DataFrame, chunks: DataFrame, as_of: Column) -> DataFrame:
+    """Found chunks with their columns and their relevance."""
     joined = found.join(chunks, "doc_id")
-    scored = joined.withColumn("relevance", F.round(scoring.relevance(F.col("distance"), F.col("importance"), F.col("updated_at"), F.col("importance_score"), as_of), 6))
+    return joined.withColumn("relevance", F.round(scoring.relevance(F.col("distance"), F.col("importance"), F.col("updated_at"), F.col("importance_score"), as_of), 6))
+
+
+def best_of_files(rows: DataFrame) -> DataFrame:
+    """The most relevant chunk of each file for each query; of equal ones the nearest, then the least id (A4)."""
     best = Window.partitionBy("query_id", "parent_file").orderBy(F.desc("relevance"), F.round("distance", 6), "doc_id")
+    return rows.withColumn("rn", F.row_number().over(best)).filter("rn = 1").drop("rn")
+
+
+def reranked(found: DataFrame, chunks: DataFrame, as_of: Column, options: Search = Search()) -> DataFrame:
+    """Relevance, best chunk of each file, best n results of each query, ranked."""
     rank = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "parent_file")
     n = min(max(options.n_results, 1), options.most_results)
-    one = scored.withColumn("rn", F.row_number().over(best)).filter("rn = 1").drop("rn")
+    one = best_of_files(scored(found, chunks, as_of))
     return one.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= n)
 
 
 class Index:
-    """Inverted-file index (V4): centroids fitted on a bounded sample, every row in the lists of its nearest ones."""
+    """Inverted-file index (V4): centroids fitted on a bounded sample, every row with a vector in the list of its nearest.
 
-    def __init__(self, chunks: DataFrame, doc_id: str = "doc_id", vector: str = "embedding", lists: int = 16, sample: int = 20_000, probes: int = 12, rounds: int = 8):
-        self.doc_id, self.vector, self.probes = doc_id, vector, probes
+    The number of lists follows the rows (four times their square root, an eighth of the sample at most). A query probes
+    as many lists as `recall` takes on the sample, measured there against brute force."""
+
+    def __init__(self, chunks: DataFrame, doc_id: str = "doc_id", vector: str = "embedding", sample: int = 20_000, recall: float = 0.95, k: int = 15, rounds: int = 8):
+        self.doc_id, self.vector = doc_id, vector
+        every = with_vectors(chunks, doc_id, vector)
+        n = every.count()
         path = new_path(chunks.sparkSession, "index-sample")  # cut in a task; then at most `sample` rows come back
-        chunks.select(doc_id, vector).orderBy(F.xxhash64(doc_id), doc_id).limit(sample).write.parquet(path)
-        rows = chunks.sparkSession.read.parquet(path).orderBy(F.xxhash64(doc_id), doc_id).collect()
-        x = np.array([r[vector] for r in rows], np.float64)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-        centres = x[: min(lists, len(x))].copy()
-        for _ in range(rounds):
+        every.orderBy(F.xxhash64("k"), "k").limit(sample).write.parquet(path)
+        rows = chunks.sparkSession.read.schema(every.schema).parquet(path).orderBy(F.xxhash64("k"), "k").collect()
+        x = _unit(np.array([r["v"] for r in rows]), len(rows)) if rows else np.zeros((0, 1))
+        centres = x[: max(1, min(int(4 * n**0.5), len(x) // 8))].copy()
+        for _ in range(rounds if len(x) else 0):
             near = np.argmax(x @ centres.T, axis=1)
-            for c in range(len(centres)):
-                if (near == c).any():
-                    mean = x[near == c].mean(axis=0)
-                    centres[c] = mean / max(np.linalg.norm(mean), 1e-30)
+            sums = np.zeros_like(centres)
+            np.add.at(sums, near, x)
+            held = np.bincount(near, minlength=len(centres)) > 0
+            centres[held] = _unit(sums[held].ravel(), int(held.sum()))
         self.centres = centres
+        self.probes = self._probes(x, recall, k)
         self.rows = self._listed(chunks, doc_id, 1)
 
+    def _probes(self, x: np.ndarray, recall: float, k: int) -> int:
+        asked = x[:256]
+        if not len(x):
+            return 1
+        top = np.argsort(-(asked @ x.T), axis=1, kind="stable")[:, : min(k, len(x))]
+        order = np.argsort(-(asked @ self.centres.T), axis=1, kind="stable")
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
+        of_row = np.argmax(x @ self.centres.T, axis=1)
+        needed = np.take_along_axis(place, of_row[top], axis=1).ravel()  # place of the list that holds each true neighbour
+        return int(np.sort(needed)[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
+
     def _listed(self, df: DataFrame, key: str, n: int) -> DataFrame:
         centres = self.centres
 
@@ -103,19 +184,23 @@ class Index:
             x = np.stack([np.asarray(v, np.float64) for v in vectors]) if len(vectors) else np.zeros((0, centres.shape[1]))
             return pd.Series(list(np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :n].astype(np.int32)), dtype=object)
 
-        return df.select(F.col(key).alias("key"), F.col(self.vector).alias("v"), F.explode(lists(F.col(self.vector))).alias("list"))
-
-    def search(self, queries: DataFrame, k: int, query_id: str = "query_id", per_block: int = 4096) -> DataFrame:
-        """Queries meet the rows of their `probes` nearest lists; long lists are cut into blocks of bounded size."""
-        sizes = self.rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / per_block).cast("int").alias("blocks"))
-        rows = self.rows.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
-        asked = self._listed(queries, query_id, self.probes).join(F.broadcast(sizes), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        pack = lambda df, name: df.groupBy("list", "block").agg(F.collect_list("key").alias(f"{name}_keys"), F.flatten(F.collect_list("v")).alias(f"{name}_vectors"))
-        met = pack(asked, "qb").join(pack(rows, "rb"), ["list", "block"]).select("qb_keys", "qb_vectors", "rb_keys", "rb_vectors")
-        key = queries.schema[query_id].dataType.simpleString()
-        found = met.mapInArrow(_block_top(k, True), f"query_id {key}, doc_id {key}, distance double")
-        w = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "doc_id")
-        return found.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).drop("rn")
+        return with_vectors(df, key, self.vector).select("k", "v", F.explode(lists("v")).alias("list"))
+
+    def search(self, queries: DataFrame, k: int, query_id: str = "query_id", per_block: int = ROW_BLOCK) -> DataFrame:
+        """Queries meet the rows of their `probes` nearest lists; the rows and the queries of a list are both cut into
+        blocks of bounded size, so neither a long list nor one that many ask for is a hot spot."""
+        count = lambda df, size, into: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(into))
+        asked = self._listed(queries, query_id, self.probes)
+        sizes = F.broadcast(count(self.rows, per_block, "rbs").join(count(asked, QUERY_BLOCK, "qbs"), "list"))  # one row a list
+        spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        place = lambda n: F.pmod(F.xxhash64("k"), n).cast("int")
+        rows = self.rows.join(sizes, "list").select("list", place("rbs").alias("rb"), spread("qbs").alias("qb"), "k", "v")
+        asked = asked.join(sizes, "list").select("list", spread("rbs").alias("rb"), place("qbs").alias("qb"), "k", "v")
+        pairs = F.array_sort(F.collect_list(F.struct("k", "v"))).alias("kv")
+        pack = lambda df, name: df.groupBy("list", "rb", "qb").agg(pairs).select("list", "rb", "qb", F.col("kv.k").alias(f"{name}_keys"), F.flatten("kv.v").alias(f"{name}_vectors"))
+        met = pack(asked, "q").join(pack(rows, "r"), ["list", "rb", "qb"]).select("q_keys", "q_vectors", "r_keys", "r_vectors")
+        kinds = asked.schema["k"].dataType.simpleString(), rows.schema["k"].dataType.simpleString()
+        return _ranked(met.mapInArrow(_block_top(k, True), f"query_id {kinds[0]}, doc_id {kinds[1]}, distance double"), k)
 
 
 def metadata_filter(directory: str = "", kind: str = "", importance: str = "", tags: tuple = ()) -> Column:
@@ -138,7 +223,7 @@ def skip_reason(prompt: Column) -> Column:
     plain = F.regexp_replace(F.lower(text), "[.!?]+$", "")
     return (
         F.when(F.length(text) < 10, "short").when(text.startswith("/"), "slash_cmd").when(plain.isin(*CONFIRMATIONS), "confirmation")
-        .when(text.startswith("```"), "code_block").when(F.contains(F.left(text, F.lit(100)), F.lit("analyzing a conversation turn between a user and an AI assistant")), "self_prompt")
+        .when(text.startswith("```"), "code_block").when(F.contains(F.left(text, F.lit(100)), F.lit(SELF_PROMPT)), "self_prompt")
     )
 
 
@@ -184,6 +269,17 @@ def within_budget(results: DataFrame, options: Search = Search(), by: str = "que
     return folded.select(by, F.posexplode("a.picked").alias("place", "p")).select(by, (F.col("place") + 1).alias("place"), "p.doc_id", "p.mode")
 
 
+def served(prompts: DataFrame, chunks: DataFrame, vectors: DataFrame, as_of: Column, options: Search = Search(), embed=None) -> tuple[DataFrame, DataFrame]:
+    """(prompts that need a search, their matches) (F7, J8, J1, F6, W6): matches with a preview, within each prompt's
+    budget, `place` in the order in which the budget was spent."""
+    asked = expanded(prompts.filter(skip_reason(F.col("text")).isNull()))
+    asked = embed(asked) if embed else asked
+    found = reranked(nearest(asked, vectors, min(options.overfetch * options.n_results, options.most_fetched)), chunks, as_of, options)
+    found = found.filter(F.col("relevance") >= options.threshold)
+    picks = within_budget(found.withColumn("is_vault", F.col("type") == "vault"), options)
+    return asked, previewed(found.join(picks, ["query_id", "doc_id"]))
+
+
 def context_block(matches: DataFrame, by: str = "query_id") -> DataFrame:
     """One escaped block of text for each query, by falling relevance."""
     line = F.concat(F.lit('<memory source="'), xml_escaped(F.col("parent_file")), F.lit('" relevance="'), F.format_number("relevance", 2), F.lit('">'), xml_escaped(F.col("preview")), F.lit("</memory>"))

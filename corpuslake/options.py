@@ -37,6 +37,7 @@ INTENTS = (
     (r"\bshould\s+(?:i|we)\b", "decision", ("decision", "tradeoff", "recommendation")),
 )
 CONFIRMATIONS = ("yes", "no", "ok", "sure", "thanks", "thank you", "go ahead", "done", "next", "continue", "correct", "right", "got it", "sounds good", "perfect", "great", "fine", "agreed", "yep", "nope", "nah", "yeah", "yup", "okay")
+SELF_PROMPT = "analyzing a conversation turn between a user and an AI assistant"
 #: Secret shapes; our own table, each with a name.
 SECRETS = (("aws_access_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"), ("github_token", r"\bgh[pousr]_[A-Za-z0-9]{36}\b"), ("assigned_token", r"(?i)\b(?:token|secret|api_key)\s*=\s*\"[0-9a-f]{32,}\""), ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"))
 

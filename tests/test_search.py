@@ -94,3 +94,43 @@ def test_importance_reads_the_content(spark, tmp_path):
             spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/{table}.parquet")
         got[name] = {r.doc_id: r.importance_score for r in registry.QUERIES["x2_importance"](spark, f"{tmp_path}/{name}").collect()}
     assert got["whole"] == {i: round(got["plain"][i] + bonus[i], 4) for i, _ in texts}
+
+
+def plain_nearest(queries, rows, k, with_self=True):
+    import numpy as np
+
+    unit = lambda v: np.array(v, float) / max(np.linalg.norm(v), 1e-30)
+    good = lambda v: v is not None and len(v) and all(x is not None for x in v)
+    out = set()
+    for q, v in queries:
+        if q is not None and good(v):
+            near = [(round(min(2, max(0, 1 - float(unit(v) @ unit(w)))), 9), d) for d, w in rows if d is not None and good(w) and (with_self or d != q)]
+            out |= {(q, d) for _, d in sorted(near)[:k]}
+    return out
+
+
+def test_nearest_with_nulls_ties_and_several_passes(spark, monkeypatch):
+    """A vector that a third of the rows share, null and empty vectors, text ids, blocks of two rows."""
+    import random
+
+    rng = random.Random(1)
+    vector = lambda i: [1.0, 0.5, 0.0] if i % 3 == 0 else None if i % 17 == 1 else [] if i % 19 == 1 else [1.0, None, 2.0] if i % 23 == 1 else [rng.gauss(0, 1) for _ in range(3)]
+    rows = [(f"r{i:03d}" if i else None, vector(i)) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id string, embedding array<float>").repartition(3)
+    asked = df.withColumnRenamed("doc_id", "query_id")
+    monkeypatch.setattr(search, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(search, "PASS_BLOCKS", 2)
+    for with_self in (True, False):
+        got = search.nearest(asked, df, 4, with_self=with_self)
+        assert {(r.query_id, r.doc_id) for r in got.collect()} == plain_nearest(rows, rows, 4, with_self)
+    index = search.Index(df)
+    exact, found = plain_nearest(rows, rows, 4), {(r.query_id, r.doc_id) for r in index.search(asked, 4).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+    none = df.limit(0)
+    assert search.nearest(asked, none, 4).count() == 0 and search.nearest(none.withColumnRenamed("doc_id", "query_id"), df, 4).count() == 0
+    assert search.Index(none).search(asked, 4).count() == 0
+
+
+def test_rows_are_not_shuffled_by_the_exact_search(spark, small):
+    plan = plans.exact_top_k(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(query_id") == 1
