@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslake.functions.text import jaccard, token_set
+from corpuslake.operators import similarity
 
 # Priority labels, signal words with their published weights.
 PRIORITIES = {"p1": 4, "p2": 3, "p3": 2, "p4": 1}
@@ -90,18 +90,15 @@ def analysis(tasks: DataFrame, today: Column) -> DataFrame:
 
 
 def similar(tasks: DataFrame, least: float = 0.7) -> DataFrame:
-    """Pairs of open tasks of a project with alike words (J16), found through their rarer shared words: tasks meet at
-    the words of a prefix that alike sets must share, so no group is paired whole."""
-    words = tasks.filter("NOT is_completed").select("project_id", "id", token_set(F.col("content")).alias("words")).filter(F.size("words") > 0)
-    each = words.select("project_id", "id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    counts = each.groupBy("project_id", "word").agg(F.count(F.lit(1)).alias("uses"))
-    w = Window.partitionBy("project_id", "id").orderBy("uses", "word")
-    prefix = each.join(counts, ["project_id", "word"]).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
-    a, b = prefix.select("project_id", "word", F.col("id").alias("a")), prefix.select("project_id", "word", F.col("id").alias("b"))
-    pairs = a.join(b, ["project_id", "word"]).filter("a < b").select("a", "b").distinct()
-    full = words.select("id", "words")
-    scored = pairs.join(full.withColumnsRenamed({"id": "a", "words": "wa"}), "a").join(full.withColumnsRenamed({"id": "b", "words": "wb"}), "b")
-    return scored.select("a", "b", F.round(jaccard(F.col("wa"), F.col("wb")), 4).alias("similarity")).filter(F.col("similarity") >= least)
+    """Each open task with the least id of its project that has the same words, and how many others are alike."""
+    found = similarity.linked(tasks.filter("NOT is_completed"), "id", "content", "project_id", least)
+    return found.select(F.col("within").alias("project_id"), F.col("key").alias("id"), F.col("kind").alias("same_as"), "n_links")
+
+
+def similar_kinds(tasks: DataFrame, least: float = 0.7) -> DataFrame:
+    """The pairs behind similar(): different wordings of a project's open tasks that are alike, each named by its least id."""
+    sets = similarity.kinds(tasks.filter("NOT is_completed"), "id", "content", "project_id")
+    return similarity.links(sets, least).select(F.col("within").alias("project_id"), "a", "b", F.round("similarity", 4).alias("similarity"))
 
 
 def focus(tasks: DataFrame, most: int = 3, by: str = "project_id") -> DataFrame:

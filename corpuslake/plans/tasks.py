@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuslake.functions import text
-from corpuslake.operators import changes, lifecycle, tasks
+from corpuslake.operators import changes, lifecycle, search, tasks
 from corpuslake.plans.base import AS_OF, CHUNKS_SQL, chunks, query, table
+from corpuslake.sources import tables
 
 
 def _as_of():
@@ -118,12 +119,21 @@ def task_analysis(spark, sf_dir):
     return tasks.analysis(_tasks(spark, sf_dir), _today())
 
 
-@query("j16_similar_tasks", rf"""WITH {TASKS_SQL}, w AS (SELECT project_id, id, list_distinct(string_split(content, ' ')) AS t FROM tasks WHERE NOT is_completed), p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) AS s FROM w a JOIN w b ON a.project_id = b.project_id AND a.id < b.id)
-SELECT a, b, round(s, 4) AS similarity FROM p WHERE s >= 0.8""")
+@query("j16_similar_tasks", rf"""WITH {TASKS_SQL}, w AS (SELECT project_id, id, list_sort(list_distinct(string_split(content, ' '))) AS t FROM tasks WHERE NOT is_completed),
+s AS (SELECT project_id, t, min(id) AS same_as, count(*) AS n FROM w GROUP BY ALL), p AS (SELECT a.project_id, a.same_as, sum(b.n) AS n FROM s a JOIN s b ON a.project_id = b.project_id AND a.t <> b.t WHERE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.8 GROUP BY ALL)
+SELECT w.project_id, w.id, s.same_as, CAST(s.n - 1 + coalesce(p.n, 0) AS BIGINT) AS n_links FROM w JOIN s ON s.project_id = w.project_id AND s.t = w.t LEFT JOIN p ON p.project_id = w.project_id AND p.same_as = s.same_as""")
 def similar_tasks(spark, sf_dir):
+    """One row a task: its class of equal words and how many other tasks of the list are alike."""
     return tasks.similar(_tasks(spark, sf_dir), 0.8)
 
 
+@query("j16_similar_kinds", rf"""WITH {TASKS_SQL}, w AS (SELECT project_id, id, list_sort(list_distinct(string_split(content, ' '))) AS t FROM tasks WHERE NOT is_completed), s AS (SELECT project_id, t, min(id) AS k FROM w GROUP BY ALL),
+p AS (SELECT a.project_id, a.k AS a, b.k AS b, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) AS s FROM s a JOIN s b ON a.project_id = b.project_id AND a.k < b.k) SELECT project_id, a, b, round(s, 4) AS similarity FROM p WHERE s >= 0.8""")
+def similar_kinds(spark, sf_dir):
+    """The pairs behind it: different wordings of a list that are alike."""
+    return tasks.similar_kinds(_tasks(spark, sf_dir), 0.8)
+
+
 @query("t8_focus_set", f"WITH {TASKS_SQL}, r AS (SELECT id, row_number() OVER (PARTITION BY project_id ORDER BY priority DESC, due ASC NULLS LAST, id) AS rn FROM tasks WHERE NOT is_completed) SELECT id, CAST(rn AS INTEGER) AS place, rn <= 3 AS shown FROM r")
 def focus_set(spark, sf_dir):
     return tasks.focus(_tasks(spark, sf_dir)).select("id", "place", "shown")
@@ -132,13 +142,23 @@ def focus_set(spark, sf_dir):
 CHANGES = ("update", "complete", "delete", "update")
 
 
-@query("m16_task_changes", f"WITH {TASKS_SQL} SELECT id, CASE id % 4 WHEN 1 THEN 'completed' WHEN 2 THEN 'deleted' ELSE 'updated' END AS outcome FROM tasks WHERE id % 3 = 0 UNION ALL SELECT id + 1000000000, CASE WHEN id % 2 = 0 THEN 'created' ELSE 'error: no such task' END FROM tasks WHERE id % 50 = 0")
-def task_changes(spark, sf_dir):
+def _task_changes(spark, sf_dir):
     rows = _tasks(spark, sf_dir)
     k = F.col("id") % 4
     some = rows.filter("id % 3 = 0").select(F.lit(1).alias("seq"), "id", F.when(k == 1, "complete").when(k == 2, "delete").otherwise("update").alias("op"), F.lit("changed").alias("content"), F.lit(None).cast("int").alias("priority"), F.lit(None).cast("date").alias("due"))
     new = rows.filter("id % 50 = 0").select(F.lit(2).alias("seq"), (F.col("id") + 1000000000).alias("id"), F.when(F.col("id") % 2 == 0, "create").otherwise("update").alias("op"), F.lit("new").alias("content"), F.lit(1).alias("priority"), F.lit(None).cast("date").alias("due"))
-    return tasks.applied(rows, some.union(new))[1]
+    return tasks.applied(rows, some.union(new))
+
+
+@query("m16_task_snapshot", f"WITH {TASKS_SQL} SELECT id, CASE WHEN id % 3 = 0 THEN 'changed' ELSE content END AS content, CAST(priority AS INTEGER) AS priority, is_completed OR (id % 3 = 0 AND id % 4 = 1) AS is_completed FROM tasks WHERE NOT (id % 3 = 0 AND id % 4 = 2) UNION ALL SELECT id + 1000000000, 'new', 1, FALSE FROM tasks WHERE id % 50 = 0 AND id % 2 = 0")
+def task_snapshot(spark, sf_dir):
+    """The snapshot that the changes leave."""
+    return _task_changes(spark, sf_dir)[0].select("id", "content", "priority", "is_completed")
+
+
+@query("m16_task_changes", f"WITH {TASKS_SQL} SELECT id, CASE id % 4 WHEN 1 THEN 'completed' WHEN 2 THEN 'deleted' ELSE 'updated' END AS outcome FROM tasks WHERE id % 3 = 0 UNION ALL SELECT id + 1000000000, CASE WHEN id % 2 = 0 THEN 'created' ELSE 'error: no such task' END FROM tasks WHERE id % 50 = 0")
+def task_changes(spark, sf_dir):
+    return _task_changes(spark, sf_dir)[1]
 
 
 @query("m17_project_create", "SELECT c_custkey, c_name AS name FROM customer UNION ALL SELECT c_custkey + 1000000, 'new ' || c_name FROM customer WHERE c_custkey % 25 = 0")
@@ -190,7 +210,10 @@ def audit_tags(spark, sf_dir):
 
 @query("s8_change_scan", f"WITH {CHANGES_SQL} SELECT commit_hash, CASE op WHEN 'user' THEN 'User updates: ' ELSE 'audit ' || upper(op) || ': ' END || 'change | ' || commit_hash AS subject, strftime(ts, '%Y-%m-%d') AS day FROM changes")
 def change_scan(spark, sf_dir):
-    return _changes(spark, sf_dir).select("commit_hash", "subject", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    """The log written as JSON lines, as an export would have it, and scanned."""
+    path = tables.new_path(spark, "change-log")
+    _changes(spark, sf_dir).select(F.col("commit_hash").cast("string").alias("commit_hash"), "subject", "body", F.col("ts").cast("timestamp").alias("ts"), "files").write.json(path)
+    return tables.change_log(spark, path).select(F.col("commit_hash").cast("long").alias("commit_hash"), "subject", F.date_format("ts", "yyyy-MM-dd").alias("day"))
 
 
 @query("f17_audit_validation", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'operation' WHEN 1 THEN 'entry_id' ELSE '' END AS bad_fields FROM events")
@@ -236,6 +259,15 @@ def moves(spark, sf_dir):
     return judged.select(F.substring_index("src", "/", -1).cast("long").alias("doc_id"), "outcome")
 
 
+@query("m14_moved_table", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'b/' ELSE 'a/' END || doc_id AS path FROM documents")
+def moved_table(spark, sf_dir):
+    """The table that the moves leave."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("a/"), "doc_id").alias("path"))
+    k = F.col("doc_id") % 3
+    asked = docs.select(F.when(k == 2, F.concat(F.lit("zz/"), "doc_id")).otherwise(F.col("path")).alias("src"), F.when(k == 1, F.col("path")).otherwise(F.concat(F.lit("b/"), "doc_id")).alias("dst"))
+    return changes.moved(docs, asked)[0].select("doc_id", "path")
+
+
 @query("f18_structured_search", f"WITH {CHUNKS_SQL} SELECT doc_id FROM chunks WHERE contains(lower(content), 'the') AND updated_at >= TIMESTAMP '2024-01-10' AND type IN ('vault', 'pattern') AND list_has_any(tags, ['work', 'home']) AND NOT list_contains(tags, 'idea') AND directory <> 'fr'")
 def structured_search(spark, sf_dir):
     return changes.structured(chunks(spark, sf_dir), text="THE", start="2024-01-10", types=("vault", "pattern"), any_tags=("work", "home"), no_tags=("idea",), sensitive=("fr",)).select("doc_id")
@@ -275,10 +307,28 @@ def pages(spark, sf_dir):
     return changes.page(_keyword(spark, sf_dir), 20, 10).select("doc_id", "total", "has_more")
 
 
-@query("j12_hybrid_merge", f"WITH {CHUNKS_SQL}, {KEYWORD_SQL}, s AS (SELECT vec_id AS doc_id, 0.7 AS r FROM embeddings WHERE vec_id % 2 = 0), k AS (SELECT doc_id, relevance AS r FROM hits WHERE relevance > 0) SELECT coalesce(s.doc_id, k.doc_id) AS doc_id, CAST(round(least(1.0, greatest(coalesce(k.r, 0), coalesce(s.r + 0.15, 0))), 4) AS DOUBLE) AS relevance, CASE WHEN s.r IS NULL THEN 'keyword' WHEN k.r IS NULL THEN 'semantic' ELSE 'both' END AS source FROM s FULL JOIN k ON s.doc_id = k.doc_id")
+HYBRID_SQL = """s AS (SELECT r.vec_id AS doc_id, round(1 - greatest(0, least(2, 1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])))) / 2, 6) AS r
+  FROM embeddings q, embeddings r WHERE q.vec_id = 0 ORDER BY round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 9), r.vec_id LIMIT 60), k AS (SELECT doc_id, relevance AS r FROM hits WHERE relevance > 0)"""
+
+
+def _semantic(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = vectors.filter("doc_id = 0").withColumnRenamed("doc_id", "query_id")
+    return search.nearest(asked, vectors, 60).select("doc_id", F.round(1 - F.col("distance") / 2, 6).alias("relevance"))
+
+
+@query("j12_hybrid_merge", f"WITH {CHUNKS_SQL}, {KEYWORD_SQL}, {HYBRID_SQL} SELECT coalesce(s.doc_id, k.doc_id) AS doc_id, CAST(round(least(1.0, greatest(coalesce(k.r, 0), coalesce(s.r + 0.15, 0))), 4) AS DOUBLE) AS relevance, CASE WHEN s.r IS NULL THEN 'keyword' WHEN k.r IS NULL THEN 'semantic' ELSE 'both' END AS source FROM s FULL JOIN k ON s.doc_id = k.doc_id")
 def hybrid_merge(spark, sf_dir):
-    semantic = table(spark, sf_dir, "embeddings").filter("vec_id % 2 = 0").select(F.col("vec_id").alias("doc_id"), F.lit(0.7).cast("double").alias("relevance"))
-    return changes.hybrid(semantic, _keyword(spark, sf_dir))
+    """The sixty chunks nearest to one query among all vectors, and the keyword hits."""
+    return changes.hybrid(_semantic(spark, sf_dir), _keyword(spark, sf_dir))
+
+
+@query("u3_hybrid_union", f"WITH {CHUNKS_SQL}, {KEYWORD_SQL}, {HYBRID_SQL} SELECT doc_id, list_sort(list(found_by)) AS found_by FROM (SELECT doc_id, 'semantic' AS found_by FROM s UNION SELECT doc_id, 'keyword' FROM k) GROUP BY doc_id")
+def hybrid_union(spark, sf_dir):
+    """Both result lists as one, each document once."""
+    named = lambda rows, name: rows.select("doc_id", F.lit(name).alias("found_by"))
+    both = named(_semantic(spark, sf_dir), "semantic").union(named(_keyword(spark, sf_dir), "keyword"))
+    return both.groupBy("doc_id").agg(F.array_sort(F.collect_set("found_by")).alias("found_by"))
 
 
 @query("a25_result_summary", f"WITH {CHUNKS_SQL}, {KEYWORD_SQL} SELECT CAST(count(*) AS BIGINT) AS total, strftime(min(updated_at), '%Y-%m-%d') AS first_day, strftime(max(updated_at), '%Y-%m-%d') AS last_day, count(*) FILTER (type = 'vault') AS n_vault FROM chunks c JOIN hits h ON h.doc_id = c.doc_id WHERE relevance > 0")
