@@ -21,8 +21,9 @@ def register(spark: SparkSession) -> None:
 
 def chunk_view(docs: DataFrame, view: str = "chunk_rows") -> DataFrame:
     """Chunks of parsed documents as rows, under a SQL name."""
-    from corpuslake.operators.ingest import chunks_of
+    from corpuslake.operators.ingest import with_chunks
 
-    rows = docs.select("*", F.posexplode(chunks_of(F.col("body"), F.col("fmt"))).alias("chunk_index", "chunk"))
+    chunked = with_chunks(docs)
+    rows = chunked.select(*docs.columns, F.posexplode("pieces").alias("chunk_index", "chunk"))
     rows.createOrReplaceTempView(view)
     return rows

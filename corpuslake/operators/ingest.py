@@ -21,7 +21,8 @@ def parsed(docs: DataFrame) -> DataFrame:
     """(path, content) with format, front matter map, body and title (S2, X10-X14, X17); other formats go."""
     fmt = text.file_format(F.col("path"))
     kept = docs.withColumn("fmt", fmt).filter(F.col("fmt").isNotNull() & (F.trim("content") != ""))
-    return kept.withColumn("front", text.front_matter(F.col("content"), F.col("fmt"))).withColumn("body", text.strip_front_matter(F.col("content"), F.col("fmt"))).withColumn("title", text.title(text.strip_front_matter(F.col("content"), F.col("fmt")), F.col("path"), F.col("fmt")))
+    read = kept.withColumn("front", text.front_matter(F.col("content"), F.col("fmt"))).withColumn("body", text.strip_front_matter(F.col("content"), F.col("fmt")))
+    return read.withColumn("title", text.title(F.col("body"), F.col("path"), F.col("fmt")))
 
 
 def top_directory(path: Column) -> Column:
@@ -51,49 +52,67 @@ def _masked(body: Column, fmt: Column) -> Column:
     fence = F.when(fmt == "org", r"(?msi)^#\+BEGIN_\w+.*?^#\+END_\w+[ \t]*$").otherwise(r"(?ms)^(`{3,}|~{3,}).*?\n.*?^\1\s*$")
     blocks = F.regexp_extract_all(body, fence, F.lit(0))
     hide = lambda block: F.regexp_replace(block, r"(?m)^(#|\*)", _MARK + "$1")
-    return F.aggregate(F.array_distinct(blocks), body, lambda acc, block: F.replace(acc, block, hide(block)))
+    masked = F.aggregate(F.array_distinct(blocks), body, lambda acc, block: F.replace(acc, block, hide(block)))
+    may_have = F.contains(body, F.lit("```")) | F.contains(body, F.lit("~~~")) | (fmt == "org")
+    return F.when(may_have, masked).otherwise(body)
 
 
-def _packed(body: Column, most: int) -> Column:
-    """Paragraphs, joined greedily up to `most` characters."""
-    paragraphs = F.filter(F.transform(F.split(body, r"\n\n+"), lambda p: F.regexp_replace(p, r"\A\s+|\s+\z", "")), lambda p: p != "")
-    grown = F.aggregate(
-        paragraphs,
-        F.expr("CAST(array() AS ARRAY<STRING>)"),
-        lambda acc, p: F.when((F.size(acc) > 0) & (F.length(F.element_at(acc, -1)) + 2 + F.length(p) <= most), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit("\n\n"), p)))).otherwise(F.concat(acc, F.array(p))),
-    )
-    return F.when(F.size(paragraphs) > 0, grown).otherwise(F.array(body))
+_TRIM = r"\A\s+|\s+\z"
 
 
-def chunks_of(body: Column, fmt: Column, options: Chunking = Chunking()) -> Column:
-    """Heading-aware chunks (X15) as array<struct(heading, level, body)>: sections at the given heading levels, closed
-    code fences respected; oversize sections by paragraphs; small pieces joined to the one before."""
+def _sections(body: Column, fmt: Column, options: Chunking) -> Column:
+    """array<struct(heading, level, body, long)>: the text cut at the headings of the given levels; `long` sections are
+    to be packed by paragraphs."""
     low, high = min(options.levels), max(options.levels)
     at = F.when(fmt == "org", rf"(?m)(?=^\*{{{low - 1},{high - 1}}}[ \t]+\S)").otherwise(rf"(?m)(?=^#{{{low},{high}}}[ \t]+\S)")
     mark = F.when(fmt == "org", rf"\A(\*{{{low - 1},{high - 1}}})[ \t]+(\S[^\n]*)").otherwise(rf"\A(#{{{low},{high}}})[ \t]+(\S[^\n]*)")
-    sections = F.filter(F.split(_masked(body, fmt), at), lambda s: F.regexp_replace(s, r"\s", "") != "")
+    kept = F.filter(F.split(_masked(body, fmt), at), lambda s: s.rlike(r"\S"))
+    part = lambda s, i: F.call_function("regexp_extract", s, mark, F.lit(i))
+    return F.transform(kept, lambda s: F.struct(F.trim(part(s, 2)).alias("heading"), F.length(part(s, 1)).alias("marks"), F.replace(s, F.lit(_MARK), F.lit("")).alias("body")))
 
-    def pieces(section: Column) -> Column:
-        heading = F.trim(F.call_function("regexp_extract", section, mark, F.lit(2)))
-        level = F.length(F.call_function("regexp_extract", section, mark, F.lit(1))) + F.when((fmt == "org") & (heading != ""), 1).otherwise(0)
-        clean = F.replace(section, F.lit(_MARK), F.lit(""))
-        has_headings = F.size(sections) > 1
-        parts = F.when((F.length(clean) > options.most_chars) | ((heading == "") & ~has_headings), _packed(clean, options.most_chars)).otherwise(F.array(clean))
-        return F.transform(parts, lambda p, i: F.struct(F.when((i > 0) & (heading != ""), F.concat(heading, F.lit(" (cont.)"))).otherwise(heading).alias("heading"), level.alias("level"), p.alias("body")))
 
-    raw = F.flatten(F.transform(sections, pieces))
+def _packed(paragraphs: Column, most: int) -> Column:
+    """Paragraphs, joined greedily up to `most` characters: the fold holds what is done and the piece that still grows."""
+    grown = F.aggregate(
+        paragraphs,
+        F.expr("named_struct('done', CAST(array() AS ARRAY<STRING>), 'now', CAST(NULL AS STRING))"),
+        lambda a, p: F.when(a["now"].isNull(), F.struct(a["done"].alias("done"), p.alias("now")))
+        .when(F.length(a["now"]) + 2 + F.length(p) <= most, F.struct(a["done"].alias("done"), F.concat(a["now"], F.lit("\n\n"), p).alias("now")))
+        .otherwise(F.struct(F.array_append(a["done"], a["now"]).alias("done"), p.alias("now"))),
+        lambda a: F.array_append(a["done"], a["now"]),
+    )
+    return F.when(F.size(paragraphs) > 0, grown)
+
+
+def with_chunks(docs: DataFrame, options: Chunking = Chunking(), into: str = "pieces") -> DataFrame:
+    """docs(body, fmt) with heading-aware chunks (X15) as array<struct(heading, level, body)>: sections at the given heading
+    levels, closed code fences respected; oversize sections by paragraphs; small pieces joined to the one before.
+
+    Each step is a column of its own, so that nothing is computed twice; texts that are one chunk skip them all."""
+    whole = F.regexp_replace("body", _TRIM, "")
+    small = F.length("__whole") < options.least_chars
+    read = docs.withColumn("__whole", whole).withColumn("__sections", F.when(~small, _sections(F.col("body"), F.col("fmt"), options)))
+    is_long = lambda s: (F.length(s["body"]) > options.most_chars) | ((s["heading"] == "") & (F.col("__n") <= 1))
+    paragraphs = lambda s: F.filter(F.transform(F.split(s["body"], r"\n\n+"), lambda p: F.regexp_replace(p, _TRIM, "")), lambda p: p != "")
+    level = lambda s: s["marks"] + F.when((F.col("fmt") == "org") & (s["heading"] != ""), 1).otherwise(0)
+    read = read.withColumn("__n", F.size("__sections"))
+    read = read.withColumn("__cut", F.transform("__sections", lambda s: F.struct(s["heading"].alias("heading"), level(s).alias("level"), s["body"].alias("body"), F.when(is_long(s), paragraphs(s)).alias("paragraphs"))))
+    read = read.withColumn("__parts", F.transform("__cut", lambda s: F.struct(s["heading"].alias("heading"), s["level"].alias("level"), F.coalesce(_packed(s["paragraphs"], options.most_chars), F.array(s["body"])).alias("parts"))))
+    named = lambda s: F.transform(s["parts"], lambda p, i: F.struct(F.when((i > 0) & (s["heading"] != ""), F.concat(s["heading"], F.lit(" (cont.)"))).otherwise(s["heading"]).alias("heading"), s["level"].alias("level"), p.alias("body")))
+    read = read.withColumn("__raw", F.flatten(F.transform("__parts", named)))
+    piece = lambda p, body: F.struct(p["heading"].alias("heading"), p["level"].alias("level"), body.alias("body"))
     merged = F.aggregate(
-        raw,
-        F.expr(f"CAST(array() AS {_PIECES})"),
-        lambda acc, p: F.when(
-            (F.size(acc) > 0) & (F.length(F.regexp_replace(p["body"], r"\A\s+|\s+\z", "")) < options.least_chars),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["heading"].alias("heading"), F.element_at(acc, -1)["level"].alias("level"), F.concat(F.element_at(acc, -1)["body"], F.lit("\n\n"), p["body"]).alias("body")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(p["heading"].alias("heading"), p["level"].alias("level"), p["body"].alias("body"))))),
+        "__raw",
+        F.expr(f"named_struct('done', CAST(array() AS {_PIECES}), 'now', CAST(NULL AS STRUCT<heading: STRING, level: INT, body: STRING>))"),
+        lambda a, p: F.when(a["now"].isNull(), F.struct(a["done"].alias("done"), piece(p, p["body"]).alias("now")))
+        .when(F.length(F.regexp_replace(p["body"], _TRIM, "")) < options.least_chars, F.struct(a["done"].alias("done"), piece(a["now"], F.concat(a["now"]["body"], F.lit("\n\n"), p["body"])).alias("now")))
+        .otherwise(F.struct(F.array_append(a["done"], a["now"]).alias("done"), piece(p, p["body"]).alias("now"))),
+        lambda a: F.when(a["now"].isNotNull(), F.array_append(a["done"], a["now"])).otherwise(a["done"]),
     )
-    trimmed = F.transform(merged, lambda p: F.struct(p["heading"].alias("heading"), p["level"].alias("level"), F.regexp_replace(p["body"], r"\A\s+|\s+\z", "").alias("body")))
-    whole = F.regexp_replace(body, r"\A\s+|\s+\z", "")
-    one = F.array(F.struct(F.lit("").alias("heading"), F.lit(0).alias("level"), whole.alias("body")))
-    return F.when(F.length(whole) < options.least_chars, one).otherwise(trimmed)
+    read = read.withColumn("__merged", merged)
+    one = F.array(F.struct(F.lit("").alias("heading"), F.lit(0).alias("level"), F.col("__whole").alias("body")))
+    out = F.coalesce(F.transform("__merged", lambda p: piece(p, F.regexp_replace(p["body"], _TRIM, ""))), one)
+    return read.withColumn(into, out).select(*[F.col(f"`{c}`") for c in docs.columns], into)
 
 
 def chunk_rows(docs: DataFrame, as_of: Column, scoring_options: Scoring = Scoring(), options: Chunking = Chunking()) -> DataFrame:
@@ -102,19 +121,31 @@ def chunk_rows(docs: DataFrame, as_of: Column, scoring_options: Scoring = Scorin
     types = F.create_map(*[F.lit(x) for kv in DIRECTORY_TYPES.items() for x in kv])
     vault_type = F.coalesce(F.try_element_at("front", F.lit("type")), F.try_element_at(types, directory), F.nullif(directory, F.lit("")), F.lit("document"))
     created = F.try_element_at("front", F.lit("created")).try_cast("timestamp")
-    each = docs.withColumn("pieces", chunks_of(F.col("body"), F.col("fmt"), options)).withColumn("total", F.size("pieces"))
-    rows = each.select("*", F.posexplode("pieces").alias("chunk_index", "piece"))
+    each = with_chunks(docs, options).withColumn("total", F.size("pieces"))
+    rows = each.select("*", F.posexplode("pieces").alias("chunk_index", "piece")).withColumn("concepts", scoring.concept_bonus(F.col("piece.body"), scoring_options))
     stated = F.try_element_at("front", F.lit("importance"))
     return rows.select(
         ids.chunk_id(F.col("path"), F.when(F.col("total") > 1, F.col("chunk_index"))).alias("doc_id"), F.col("path").alias("parent_file"),
         F.lit("vault::").alias("namespace"), F.lit("vault").alias("type"), vault_type.alias("vault_type"), directory.alias("directory"), "title",
         F.array_remove(F.split(F.coalesce(F.try_element_at("front", F.lit("tags")), F.lit("")), ","), "").alias("tags"),
         F.coalesce(stated, F.lit("medium")).alias("importance"),
-        F.round(scoring.importance(F.col("piece.body"), vault_type, stated, created, F.lit(0), as_of, scoring_options), 4).alias("importance_score"),
+        F.round(scoring.importance_with(F.col("concepts"), vault_type, stated, created, F.lit(0), as_of, scoring_options), 4).alias("importance_score"),
         "chunk_index", F.col("total").alias("chunk_total"), F.col("piece.heading").alias("chunk_heading"), F.col("piece.body").alias("content"), created.alias("created_at"),
     )
 
 
+def rebuilt(docs: DataFrame, as_of: Column, include_sensitive: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(chunk table, what became of each document) of a full rebuild (M3): indexed, skipped directory, blank, unknown format,
+    no path, or no content. Every document has one outcome."""
+    fmt = text.file_format(F.col("path"))
+    outcome = (
+        F.when(F.col("path").isNull(), "error: no path").when(~indexable(F.col("path"), include_sensitive), "skipped").when(fmt.isNull(), "error: unknown format")
+        .when(F.col("content").isNull(), "error: no content").when(F.trim("content") == "", "error: blank").otherwise("indexed")
+    )
+    judged = docs.withColumn("outcome", outcome)
+    return chunk_rows(parsed(judged.filter("outcome = 'indexed'").drop("outcome")), as_of), judged.select("path", "outcome")
+
+
 def not_indexed(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """Documents without a chunk."""
     return docs.join(chunks.select(F.col("parent_file").alias("path")).distinct(), "path", "left_anti")
@@ -143,7 +174,7 @@ def hashed_vectors(chunks: DataFrame, content: str = "content", features: int =
     """Embedding without a model (V1): hashed term frequencies by inverse document frequency, unit length."""
     from pyspark.ml.feature import IDF, HashingTF, Normalizer
 
-    words = chunks.withColumn("__words", text.token_set(F.col(content)))
+    words = chunks.withColumn("__words", text.token_set(F.coalesce(F.col(content), F.lit(""))))
     counted = HashingTF(inputCol="__words", outputCol="__tf", numFeatures=features).transform(words)
     weighed = IDF(inputCol="__tf", outputCol="__idf").fit(counted).transform(counted)
     return Normalizer(inputCol="__idf", outputCol="vector").transform(weighed).drop("__words", "__tf", "__idf")
