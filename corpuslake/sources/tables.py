@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TASK_SCHEMA = "id STRING, content STRING, description STRING, labels ARRAY<STRING>, priority INT, project_id STRING, section_id STRING, parent_id STRING, is_completed BOOLEAN, created_at TIMESTAMP, due STRUCT<date: DATE, string: STRING, is_recurring: BOOLEAN, timezone: STRING>, duration STRUCT<amount: INT, unit: STRING>, deadline DATE"
 CHANGE_SCHEMA = "commit_hash STRING, subject STRING, body STRING, ts TIMESTAMP, files ARRAY<STRUCT<path: STRING, status: STRING>>"
@@ -15,9 +17,12 @@ TRANSCRIPT_SCHEMA = "session_id STRING, line_idx BIGINT, raw STRING"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests) a temporary one, which becomes it."""
+    """The folder that spark.checkpoint.dir names; where it is unset and the session is local, a temporary one, which
+    becomes it. A cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
@@ -28,9 +33,9 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def notes(spark: SparkSession, root: str) -> DataFrame:
+def notes(spark: SparkSession, root: str, names: str = "*.{md,org}") -> DataFrame:
     """(path, content, modified_at) of the note files below a folder, paths relative to it; blank files go."""
-    files = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{md,org}").load(root)
+    files = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(root)
     full = F.col("_metadata.file_path")
     rows = files.select(F.regexp_replace(full, rf"^.*?\Q{root.rstrip('/').split(':')[-1]}\E/", "").alias("path"), F.col("value").alias("content"), F.col("_metadata.file_modification_time").alias("modified_at"))
     return rows.filter(F.trim("content") != "")
@@ -87,9 +92,6 @@ def answered(requests: DataFrame, answer, schema: str = "session_id string, raw_
 
 def embedded(rows: DataFrame, model, text: str = "content", into: str = "embedding") -> DataFrame:
     """Rows with a user's model applied: a function of a list of texts to a list of vectors."""
-    import pandas as pd
-    from pyspark.sql import types as T
-
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(texts: pd.Series) -> pd.Series:
         return pd.Series([list(map(float, v)) for v in model(texts.fillna("").tolist())], dtype=object)

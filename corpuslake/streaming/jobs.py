@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpuslake.operators import ingest, lifecycle, search
 from corpuslake.options import Search
+from corpuslake.sources.tables import new_path
 
 TURN = "session_id long, turn_no int, user_text string, assistant_text string, start_line long, end_line long"
 STATE = "pending string, pending_line long, n_turns int"
@@ -18,9 +19,6 @@ IDLE_MS = 30 * 24 * 3600 * 1000
 
 
 def _pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
     pending, line, n = state.get if state.exists else (None, -1, 0)
     rows = pd.concat(list(batches)).sort_values("line_idx")
     out = []
@@ -35,15 +33,21 @@ def _pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     yield pd.DataFrame(out, columns=["session_id", "turn_no", "user_text", "assistant_text", "start_line", "end_line"])
 
 
-def turn_stream(messages: DataFrame, expire: bool = False) -> DataFrame:
+def turn_stream(messages: DataFrame, expire: bool = False, late: str = "1 hour") -> DataFrame:
     """Messages as they come -> turns (R1, R2): a user's text waits in the session's state for its answer, also across
-    batches; offsets are in the checkpoint. With `expire`, sessions idle for 30 days lose their state (R3)."""
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout
+    batches; offsets are in the checkpoint. With `expire`, messages have a time `ts`, and sessions that are idle for 30
+    days of it lose their state (R3)."""
+    timeout = GroupStateTimeout.EventTimeTimeout if expire else GroupStateTimeout.NoTimeout
+    messages = messages.withWatermark("ts", late) if expire else messages
 
     def pair(key, batches, state):
-        yield from _pair(key, batches, state)
-        if expire and state.exists:
-            state.setTimeoutDuration(IDLE_MS)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches))
+        yield from _pair(key, iter([rows]), state)
+        if expire:
+            state.setTimeoutTimestamp(int(rows["ts"].max().timestamp() * 1000) + IDLE_MS)
 
     return messages.groupBy("session_id").applyInPandasWithState(pair, TURN, STATE, "append", timeout)
 
@@ -56,20 +60,25 @@ def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append",
         raise TimeoutError("the stream did not end")
 
 
-def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, seconds: int = 600) -> None:
+def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, seconds: int = 600, mode: str = "append") -> None:
     """A handler for each batch; what it raises leaves the offset where it was, so the batch comes again."""
-    done = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    done = stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     if not done.awaitTermination(seconds):
         done.stop()
         raise TimeoutError("the stream did not end")
 
 
 def mining_handler(extract: Callable[[DataFrame], DataFrame], store: Callable[[DataFrame, int], None], quarantine: Callable[[DataFrame, int], None], least_chars: int = 200) -> Callable[[DataFrame, int], None]:
-    """Advance rules (R4): below the gate or nothing extracted - on; extraction fails - held; storing fails - set aside."""
+    """Advance rules (R4): below the gate or nothing extracted - on; extraction fails - held; storing fails - set aside.
+
+    The extraction is written to a table first, so that it runs once and its failures are not taken for the store's."""
 
     def handle(turns: DataFrame, batch: int) -> None:
         passing = turns.groupBy("session_id").agg(F.sum(F.length("user_text") + F.length("assistant_text")).alias("chars")).filter(F.col("chars") >= least_chars)
-        found = extract(turns.join(passing.select("session_id"), "session_id", "left_semi"))
+        extracted = extract(turns.join(passing.select("session_id"), "session_id", "left_semi"))
+        path = new_path(turns.sparkSession, "extracted")
+        extracted.write.parquet(path)
+        found = turns.sparkSession.read.schema(extracted.schema).parquet(path)
         try:
             store(found, batch)
         except Exception:
@@ -78,13 +87,18 @@ def mining_handler(extract: Callable[[DataFrame], DataFrame], store: Callable[[D
     return handle
 
 
-def prompt_search_handler(chunks: DataFrame, vectors: DataFrame, write: Callable[[DataFrame, int], None], as_of, options: Search = Search()) -> Callable[[DataFrame, int], None]:
-    """Prompts with vectors -> context blocks (R5): trivial ones skipped, then searched, re-ranked, cut to the budget."""
+def prompt_search_handler(chunks: DataFrame, vectors: DataFrame, write: Callable[[DataFrame, int], None], as_of, options: Search = Search(), embed: Callable[[DataFrame], DataFrame] | None = None, log: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """Prompts -> context blocks (R5): trivial ones skipped, the rest expanded, searched, re-ranked and cut to the budget;
+    `log` gets the telemetry rows. `embed` makes `embedding` of the column `expanded`; without it the prompts have one."""
 
     def handle(prompts: DataFrame, batch: int) -> None:
-        asked = prompts.filter(search.skip_reason(F.col("text")).isNull())
-        found = search.reranked(search.nearest(asked, vectors, min(options.overfetch * options.n_results, options.most_fetched)), chunks, as_of, options)
-        write(search.context_block(search.previewed(found.filter(F.col("relevance") >= options.threshold))), batch)
+        asked, matches = search.served(prompts, chunks, vectors, as_of, options, embed)
+        path = new_path(prompts.sparkSession, "matches")
+        matches.write.parquet(path)
+        matches = prompts.sparkSession.read.schema(matches.schema).parquet(path)
+        write(search.context_block(matches), batch)
+        if log:
+            log(search.telemetry(asked, matches), batch)
 
     return handle
 
@@ -109,6 +123,11 @@ def feedback_stream(served: DataFrame, ts: str = "ts", late: str = "1 hour", win
     return served.withWatermark(ts, late).groupBy(F.window(ts, window).alias("w"), "doc_id").agg(F.sum("increment").alias("increment"))
 
 
+def latest(batches: DataFrame, keys: list[str], value: str, batch: str = "batch") -> DataFrame:
+    """The last value of each key among the rows that an update-mode stream has written batch by batch."""
+    return batches.groupBy(*keys).agg(F.max_by(value, batch).alias(value))
+
+
 def with_feedback(table: DataFrame, increments: DataFrame, as_of) -> DataFrame:
     return lifecycle.with_retrievals(table, increments.select("doc_id", "increment"), as_of)
 
