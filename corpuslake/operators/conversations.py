@@ -112,6 +112,16 @@ def requests(turn_rows: DataFrame, said: DataFrame, session: str = "session_id",
     return rows.join(opening(said, session, at), session, "left").select(session, F.concat(F.lit("Opening: "), F.coalesce("opening", F.lit("")), F.lit("\n\n"), "turns").alias("prompt"))
 
 
+def turn_requests(turn_rows: DataFrame, project: Column, branch: Column, session: str = "session_id", user_chars: int = 500, assistant_chars: int = 1500) -> DataFrame:
+    """One request for each turn (X36): project, branch, both texts within their caps, tools and files."""
+    named = lambda title, c: F.concat(F.lit(f"{title}: "), F.coalesce(F.nullif(c, F.lit("")), F.lit("none")), F.lit("\n"))
+    prompt = F.concat(
+        named("Project", project), named("Branch", branch), named("User", truncated(F.col("user_text"), user_chars)), named("Assistant", truncated(F.col("assistant_text"), assistant_chars)),
+        named("Tools", F.array_join("tool_names", ", ")), named("Files", F.array_join("files", ", ")),
+    )
+    return turn_rows.select(session, "turn_no", prompt.alias("prompt"))
+
+
 def observations(responses: DataFrame, session: str = "session_id", most: int = Mining().most_observations) -> DataFrame:
     """Responses -> at most three observations each (X22): the list form or the single form, fences stripped, scores
     clamped, scopes checked."""

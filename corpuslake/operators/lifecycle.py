@@ -150,6 +150,15 @@ def memory_upsert(stored: DataFrame, writes: DataFrame) -> tuple[DataFrame, Data
     return stored.join(new.select(*keys), keys, "left_anti").unionByName(new), judged.select(*keys, "outcome", "errors")
 
 
+def memory_rows(writes: DataFrame, as_of: Column) -> DataFrame:
+    """Index rows of memory files (X35): id by scope, tags from a comma text, a whole version number (1 if there is none)."""
+    tags = F.transform(F.array_remove(F.split(F.coalesce("tags", F.lit("")), ","), ""), lambda t: F.trim(t))
+    return writes.select(
+        ids.memory_id(F.col("scope"), F.col("project"), F.col("name")).alias("doc_id"), F.lit("memory").alias("type"), "scope", F.when(F.col("scope") == "project", F.col("project")).alias("project"),
+        tags.alias("tags"), F.coalesce(F.nullif("importance", F.lit("")), F.lit("medium")).alias("importance"), F.coalesce(F.col("version").try_cast("int"), F.lit(1)).alias("version"), F.col("body").alias("content"), as_of.alias("updated_at"),
+    )
+
+
 def unindexed(memories: DataFrame, chunks: DataFrame) -> DataFrame:
     """memories with their id and whether the index has them."""
     known = chunks.select(F.col("doc_id").alias("memory_id")).distinct().withColumn("__there", F.lit(True))

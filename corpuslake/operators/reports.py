@@ -122,6 +122,12 @@ def compared(entries: DataFrame, period: str = "week") -> DataFrame:
     return counts.withColumn("change", change).withColumn("trend", F.when(F.col("change") > 0, "up").when(F.col("change") < 0, "down").when(F.col("change") == 0, "flat"))
 
 
+def latest_trend(compared_rows: DataFrame) -> DataFrame:
+    """Each tenant's last period with its direction."""
+    w = Window.partitionBy("tenant").orderBy(F.desc("period"))
+    return compared_rows.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("tenant", "period", "n", F.coalesce("trend", F.lit("new")).alias("trend"))
+
+
 def with_suffix(rows: DataFrame, entry_id: str = "entry_id", order: str = "seq") -> DataFrame:
     """Ids made distinct: the second of equal ids gets -1, and so on."""
     n = F.row_number().over(Window.partitionBy(entry_id).orderBy(order)) - 1

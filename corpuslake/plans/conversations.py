@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuslake.operators import conversations as talk
+from corpuslake.operators import similarity
 from corpuslake.plans.base import query, table
+from corpuslake.sources import tables
 
 
 def _said(spark, sf_dir):
@@ -94,23 +96,46 @@ def opening_message(spark, sf_dir):
     return talk.opening(_said(spark, sf_dir))
 
 
-@query("s13_extraction_requests")
+REQUESTS_SQL = f"""{TURNS_SQL}, b AS (SELECT *, least(2000 + floor(sum(output_tokens) OVER w * 0.04), 8000) AS budget, sum(CASE WHEN chars > 150 THEN 0 ELSE chars END) OVER w AS shorts, sum(CASE WHEN chars > 150 THEN chars ELSE 0 END) OVER w AS longs FROM turns WINDOW w AS (PARTITION BY session_id)),
+s AS (SELECT *, CASE WHEN chars > 150 THEN greatest(150, floor(CAST(greatest(budget - shorts, 0) AS DOUBLE) * chars / longs)) END AS share FROM b),
+c AS (SELECT *, CAST(greatest(50, floor(share / 4)) AS BIGINT) AS u, CAST(share - greatest(50, floor(share / 4)) AS BIGINT) AS a FROM s),
+d AS (SELECT session_id, turn_no, CASE WHEN share IS NOT NULL AND length(user_text) > u THEN left(user_text, u) || '...' ELSE user_text END AS user_cut, CASE WHEN share IS NOT NULL AND length(assistant_text) > a THEN left(assistant_text, a) || '...' ELSE assistant_text END AS assistant_cut FROM c),
+t AS (SELECT session_id, string_agg('### Turn ' || turn_no || chr(10) || 'User: ' || user_cut || chr(10) || 'Assistant: ' || assistant_cut || chr(10) || 'Tools: None', chr(10) || chr(10) ORDER BY turn_no) AS turns FROM d GROUP BY session_id),
+o AS (SELECT conv_id AS session_id, left(arg_min(text, turn), 300) AS opening FROM conversations WHERE role = 'user' AND turn < 50 AND text <> '' GROUP BY conv_id),
+requests AS (SELECT t.session_id, 'Opening: ' || coalesce(opening, '') || chr(10) || chr(10) || turns AS prompt FROM t LEFT JOIN o ON o.session_id = t.session_id)"""
+
+
+@query("s13_extraction_requests", f"WITH {REQUESTS_SQL} SELECT session_id, prompt FROM requests")
 def extraction_requests(spark, sf_dir):
-    """Prompt text is held against a plain build in tests/test_conversations.py."""
-    return talk.requests(_turns(spark, sf_dir), _said(spark, sf_dir))
+    """Requests written for whatever answers them, and read back."""
+    path = tables.new_path(spark, "requests")
+    tables.write_requests(talk.requests(_turns(spark, sf_dir), _said(spark, sf_dir)), path)
+    return spark.read.parquet(path)
+
+
+@query("n3_answers", f"""WITH {REQUESTS_SQL} SELECT CAST(session_id AS VARCHAR) AS session_id, '{{"n": ' || length(prompt) || '}}' AS raw_json FROM requests""")
+def answers(spark, sf_dir):
+    """Requests through an extraction plug-in, which here answers with the length of the prompt."""
+    return tables.answered(talk.requests(_turns(spark, sf_dir), _said(spark, sf_dir)), lambda prompt: f'{{"n": {len(prompt)}}}')
+
 
+@query("x36_turn_requests", f"""WITH {TURNS_SQL} SELECT session_id, turn_no, 'Project: p' || (session_id % 7) || chr(10) || 'Branch: none' || chr(10) || 'User: ' || CASE WHEN length(user_text) > 500 THEN left(user_text, 500) || '...' ELSE coalesce(nullif(user_text, ''), 'none') END || chr(10)
+  || 'Assistant: ' || CASE WHEN length(assistant_text) > 1500 THEN left(assistant_text, 1500) || '...' ELSE coalesce(nullif(assistant_text, ''), 'none') END || chr(10) || 'Tools: none' || chr(10) || 'Files: none' || chr(10) AS prompt FROM turns""")
+def turn_requests(spark, sf_dir):
+    return talk.turn_requests(_turns(spark, sf_dir), F.concat(F.lit("p"), F.col("session_id") % 7), F.lit(None).cast("string"))
 
-@query("x22_observations", "SELECT conv_id AS session_id, CAST(0 AS INTEGER) AS n, trim(left(text, 80)) AS content, CAST(CASE turn % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS importance_score, CASE WHEN turn % 2 = 0 THEN 'global' ELSE '' END AS scope FROM conversations WHERE trim(left(text, 80)) <> ''")
+
+@query("x22_observations", "SELECT conv_id AS session_id, CAST(0 AS INTEGER) AS n, trim(text) AS content, CAST(CASE turn % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS importance_score, CASE WHEN turn % 2 = 0 THEN 'global' ELSE '' END AS scope FROM conversations WHERE trim(text) <> ''")
 def observations(spark, sf_dir):
     rows = _said(spark, sf_dir)
     score = F.when(F.col("line_idx") % 3 == 0, "7").when(F.col("line_idx") % 3 == 1, "none").otherwise("-2")
-    raw = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(F.struct(F.left("text", F.lit(80)).alias("content"), score.alias("importance_score"), F.when(F.col("line_idx") % 2 == 0, "global").otherwise("mars").alias("scope"))).alias("observations"))), F.lit("\n```"))
+    raw = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(F.struct(F.col("text").alias("content"), score.alias("importance_score"), F.when(F.col("line_idx") % 2 == 0, "global").otherwise("mars").alias("scope"))).alias("observations"))), F.lit("\n```"))
     return talk.observations(rows.select("session_id", raw.alias("raw_json"))).select("session_id", "n", "content", "importance_score", "scope")
 
 
-@query("x23_worklogs", "SELECT conv_id AS session_id, trim(left(text, 60)) AS task_summary, CASE WHEN turn % 2 = 0 THEN 'stream' ELSE 'misc' END AS workstream, CASE turn % 3 WHEN 0 THEN 'coding' ELSE 'other' END AS activity_type FROM conversations WHERE trim(left(text, 60)) <> ''")
+@query("x23_worklogs", "SELECT conv_id AS session_id, trim(text) AS task_summary, CASE WHEN turn % 2 = 0 THEN 'stream' ELSE 'misc' END AS workstream, CASE turn % 3 WHEN 0 THEN 'coding' ELSE 'other' END AS activity_type FROM conversations WHERE trim(text) <> ''")
 def worklogs(spark, sf_dir):
-    item = F.struct(F.left("text", F.lit(60)).alias("task_summary"), F.when(F.col("line_idx") % 2 == 0, "stream").otherwise(" ").alias("workstream"), F.when(F.col("line_idx") % 3 == 0, "coding").otherwise("juggling").alias("activity_type"))
+    item = F.struct(F.col("text").alias("task_summary"), F.when(F.col("line_idx") % 2 == 0, "stream").otherwise(" ").alias("workstream"), F.when(F.col("line_idx") % 3 == 0, "coding").otherwise("juggling").alias("activity_type"))
     raw = F.to_json(F.struct(F.when(F.col("line_idx") % 2 == 0, item).alias("worklog"), F.when(F.col("line_idx") % 2 == 1, F.array(item)).alias("worklogs")))
     return talk.worklogs(_said(spark, sf_dir).select("session_id", raw.alias("raw_json"))).select("session_id", "task_summary", "workstream", "activity_type")
 
@@ -120,17 +145,28 @@ def _worklog_rows(spark, sf_dir):
     return said.select("session_id", (F.col("session_id") * 100 + F.col("line_idx")).alias("worklog_id"), F.col("text").alias("task_summary"), "line_idx", F.concat(F.lit("stream"), F.col("session_id") % 4).alias("workstream"), F.timestamp_add("HOUR", F.col("session_id").cast("int"), F.lit("2024-01-01").cast("timestamp")).alias("created_at"))
 
 
-@query("j7_worklog_dedup", r"""WITH w AS (SELECT conv_id AS s, conv_id * 100 + turn AS worklog_id, turn, list_distinct(list_filter(string_split_regex(lower(left(text, 120)), '\s+'), lambda x: x <> '')) AS t FROM conversations WHERE role = 'user'),
-p AS (SELECT a.worklog_id, max(CASE WHEN len(list_distinct(list_concat(a.t, b.t))) = 0 THEN 0 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END) AS score FROM w a LEFT JOIN w b ON a.s = b.s AND b.turn < 4 WHERE a.turn >= 4 GROUP BY a.worklog_id)
+WORDS_SQL = r"list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> ''))"
+
+
+@query("j7_worklog_dedup", f"""WITH w AS (SELECT conv_id AS s, conv_id * 100 + turn AS worklog_id, turn, {WORDS_SQL} AS t FROM conversations WHERE role = 'user'),
+p AS (SELECT a.worklog_id, max(CASE WHEN len(list_distinct(list_concat(a.t, b.t))) = 0 THEN 0 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END) AS score FROM w a LEFT JOIN w b ON a.s = b.s AND b.turn < a.turn WHERE a.turn >= 4 GROUP BY a.worklog_id)
 SELECT worklog_id, coalesce(score, 0) >= 0.7 AS dropped FROM p""")
 def worklog_dedup(spark, sf_dir):
-    """Whole texts; lines from 4 on are new and meet the stored lines and every new line before them. The twin compares
-    openings with stored lines only; tests/test_conversations.py holds the query against brute force."""
+    """Whole texts; lines from 4 on are new and meet the stored lines and every new line before them."""
     rows = _worklog_rows(spark, sf_dir)
     kept, dropped = talk.fresh_worklogs(rows.filter("line_idx >= 4"), rows.filter("line_idx < 4"), at="line_idx")
     return kept.select("worklog_id", F.lit(False).alias("dropped")).union(dropped.select("worklog_id", F.lit(True)))
 
 
+@query("v5_similar_worklogs", f"""WITH w AS (SELECT conv_id * 100 + turn AS worklog_id, list_sort({WORDS_SQL}) AS t FROM conversations WHERE role = 'user'),
+p AS (SELECT a.worklog_id, count(*) AS n FROM w a JOIN w b ON a.worklog_id <> b.worklog_id AND len(a.t) > 0 AND len(b.t) > 0 WHERE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.7 GROUP BY a.worklog_id)
+SELECT w.worklog_id, CASE WHEN len(t) > 0 THEN min(w.worklog_id) OVER (PARTITION BY t) ELSE w.worklog_id END AS same_as, coalesce(n, 0) AS n_links FROM w LEFT JOIN p ON p.worklog_id = w.worklog_id""")
+def similar_worklogs(spark, sf_dir):
+    """Similarity join over all sessions: each worklog's class of equal word sets and how many others are alike."""
+    rows = _worklog_rows(spark, sf_dir).withColumn("all", F.lit(1))
+    return similarity.linked(rows, "worklog_id", "task_summary", "all", 0.7).select(F.col("key").alias("worklog_id"), F.col("kind").alias("same_as"), "n_links")
+
+
 @query("a8_workstreams", "SELECT array_to_string(list_sort(list(DISTINCT workstream)), ',') AS workstreams FROM (SELECT 'stream' || (conv_id % 4) AS workstream FROM conversations WHERE role = 'user' ORDER BY conv_id DESC, conv_id * 100 + turn LIMIT 30)")
 def known_workstreams(spark, sf_dir):
     return talk.workstreams(_worklog_rows(spark, sf_dir)).select(F.array_join("workstreams", ",").alias("workstreams"))

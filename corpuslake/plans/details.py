@@ -8,6 +8,7 @@ from corpuslake.functions import ids, scoring, text
 from corpuslake.operators import ingest, lifecycle, search, tasks
 from corpuslake.plans.base import AS_OF, CHUNKS_SQL, DAYS_SQL, chunks, query, table
 from corpuslake.plans.lifecycle import _files, _memories
+from corpuslake.sources import tables
 
 
 def _as_of():
@@ -125,7 +126,15 @@ def chunk_table(spark, sf_dir):
 
 @query("v1_hashed_vectors")
 def hashed_vectors(spark, sf_dir):
-    rows = ingest.hashed_vectors(chunks(spark, sf_dir).select("doc_id", "content"))
+    """Of each vector: features, their sum, and the feature of greatest weight; tests/test_ingest.py recomputes them."""
     from pyspark.ml.functions import vector_to_array
 
-    return rows.select("doc_id", F.round(F.aggregate(vector_to_array("vector"), F.lit(0.0), lambda a, x: a + x * x), 4).alias("squared_length"))
+    rows = ingest.hashed_vectors(chunks(spark, sf_dir).select("doc_id", "content")).select("doc_id", vector_to_array("vector").alias("v"))
+    return rows.select("doc_id", F.size(F.filter("v", lambda x: x != 0)).alias("n_features"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), (F.array_position("v", F.array_max("v")) - 1).alias("top_feature"))
+
+
+@query("n2_embedded", r"SELECT doc_id, CAST(length(text) AS DOUBLE) AS n_chars, CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS n_spaces FROM documents")
+def embedded(spark, sf_dir):
+    """A model plug-in whose vectors are two counts."""
+    rows = tables.embedded(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")), lambda texts: [(len(t), t.count(" ")) for t in texts])
+    return rows.select("doc_id", F.col("embedding")[0].cast("double").alias("n_chars"), F.col("embedding")[1].cast("double").alias("n_spaces"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpuslake.functions import ids, text
 from corpuslake.operators import ingest, lifecycle
 from corpuslake.plans.base import AS_OF, CHUNKS_SQL, chunks, query, table
+from corpuslake.sources import tables
 
 
 def _as_of():
@@ -40,7 +41,21 @@ def promote(spark, sf_dir):
 @query("s10_promotion_files", rf"""WITH {EPHEMERAL_SQL} SELECT type || 's/p' || (doc_id % 4) || '/' || type || '-row-' || doc_id || '-20240210-000000-' || doc_id || '.md' AS path, type AS vault_type, 'p' || (doc_id % 4) AS project,
   '---' || chr(10) || 'promoted_from: ' || doc_id || chr(10) || 'type: ' || type || chr(10) || '---' || chr(10) || chr(10) || content AS document FROM judged WHERE {OUTCOME_SQL} = 'promoted'""")
 def promotion_files(spark, sf_dir):
-    return lifecycle.promotion_files(lifecycle.promoted(_ephemeral(spark, sf_dir), _as_of())[0])
+    """Written as one folder for each type and project, and read back."""
+    path = tables.new_path(spark, "promotions")
+    tables.write_promotions(lifecycle.promotion_files(lifecycle.promoted(_ephemeral(spark, sf_dir), _as_of())[0]), path)
+    return spark.read.parquet(path)
+
+
+@query("m9_durable_rows", rf"""WITH {EPHEMERAL_SQL} SELECT 'vault::' || type || 's/p' || (doc_id % 4) || '/' || type || '-row-' || doc_id || '-20240210-000000-' || doc_id || '.md' AS doc_id, 'vault' AS type, type AS vault_type, md5(content) AS digest, CAST(doc_id AS VARCHAR) AS promoted_from FROM judged WHERE {OUTCOME_SQL} = 'promoted'""")
+def durable_rows(spark, sf_dir):
+    """The rows that the promotion makes."""
+    return lifecycle.promoted(_ephemeral(spark, sf_dir), _as_of())[0].select("doc_id", "type", "vault_type", F.md5(F.col("content").cast("binary")).alias("digest"), "promoted_from")
+
+
+@query("x34_promotion_targets", rf"""WITH {EPHEMERAL_SQL} SELECT type || 's/p' || (doc_id % 4) || '/' || type || '-row-' || doc_id || '-20240210-000000-' || doc_id || '.md' AS path, 'p' || (doc_id % 4) AS project FROM judged WHERE {OUTCOME_SQL} = 'promoted'""")
+def promotion_targets(spark, sf_dir):
+    return lifecycle.promoted(_ephemeral(spark, sf_dir), _as_of())[0].select("path", "project")
 
 
 @query("t1_ephemeral_list", f"WITH {EPHEMERAL_SQL}, k AS (SELECT * FROM eph WHERE type = 'observation' AND coalesce(importance_score, 0.5) >= 0.3) SELECT doc_id, (SELECT count(*) FROM k) AS total FROM k ORDER BY coalesce(importance_score, 0.5) DESC, doc_id LIMIT 20")
@@ -264,10 +279,83 @@ def chunking(spark, sf_dir):
 @query("m3_rebuild", f"SELECT 'n' || (doc_id % 50) AS directory, count(*) AS n_files FROM documents WHERE doc_id % 50 <> 7 GROUP BY 1")
 def rebuild(spark, sf_dir):
     docs = _files(spark, sf_dir).filter(~ingest.top_directory(F.col("path")).isin("n7"))
-    rows = ingest.chunk_rows(ingest.parsed(docs), _as_of())
+    rows = ingest.rebuilt(docs, _as_of())[0]
     return rows.groupBy("directory").agg(F.countDistinct("parent_file").alias("n_files"))
 
 
+@query("m3_rebuild_report", "SELECT CASE WHEN doc_id % 9 = 0 THEN 'skipped' WHEN doc_id % 7 = 0 THEN 'error: unknown format' WHEN doc_id % 5 = 0 THEN 'error: blank' WHEN doc_id % 11 = 0 THEN 'error: no content' ELSE 'indexed' END AS outcome, count(*) AS n FROM documents GROUP BY 1")
+def rebuild_report(spark, sf_dir):
+    k = F.col("doc_id")
+    path = F.concat(F.when(k % 9 == 0, "templates/").otherwise("notes/"), k, F.when(k % 7 == 0, ".pdf").otherwise(".md"))
+    content = F.when(k % 5 == 0, "  ").when(k % 11 == 0, F.lit(None)).otherwise(F.col("text"))
+    docs = table(spark, sf_dir, "documents").select(path.alias("path"), content.alias("content"))
+    return ingest.rebuilt(docs, _as_of())[1].groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _notes(spark, sf_dir):
+    """Parts as short notes: Markdown with a block, Markdown without one, org."""
+    k = F.col("p_partkey")
+    path = F.concat(F.when(k % 2 == 0, "work/").otherwise("other/"), k, F.when(k % 3 == 2, ".org").otherwise(".md"))
+    block = F.concat(F.lit("---\ntype: incident-log\nimportance: high\ntags: [a, b]\ncreated: 2024-01-05\n---\n# About "), k, F.lit("\n"), "p_name")
+    content = F.when(k % 3 == 0, block).when(k % 3 == 1, F.concat("p_name", F.lit(" of "), "p_brand")).otherwise(F.concat(F.lit("#+TITLE: Org "), k, F.lit("\n"), "p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", path.alias("path"), content.alias("content"))
+
+
+NOTES_SQL = """notes AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'work' ELSE 'other' END AS directory, CASE WHEN p_partkey % 2 = 0 THEN 'work/' ELSE 'other/' END || p_partkey || CASE WHEN p_partkey % 3 = 2 THEN '.org' ELSE '.md' END AS path,
+  CASE WHEN p_partkey % 3 = 2 THEN 'org' ELSE 'markdown' END AS fmt, CASE p_partkey % 3 WHEN 0 THEN 'About ' || p_partkey WHEN 1 THEN CAST(p_partkey AS VARCHAR) ELSE 'Org ' || p_partkey END AS title,
+  CASE p_partkey % 3 WHEN 0 THEN '# About ' || p_partkey || chr(10) || p_name WHEN 1 THEN p_name || ' of ' || p_brand ELSE '#+TITLE: Org ' || p_partkey || chr(10) || p_name END AS body FROM part)"""
+
+
+@query("s2_document_parse", f"WITH {NOTES_SQL} SELECT p_partkey, fmt, title, body, CASE WHEN p_partkey % 3 = 0 THEN 4 ELSE 0 END AS n_keys FROM notes")
+def document_parse(spark, sf_dir):
+    return ingest.parsed(_notes(spark, sf_dir)).select("p_partkey", "fmt", "title", "body", F.coalesce(F.size("front"), F.lit(0)).alias("n_keys"))
+
+
+@query("x14_titles", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Head ' || p_name WHEN 1 THEN 'Set ' || p_name WHEN 2 THEN 'Star ' || p_name ELSE 'My Note ' || p_partkey END AS title FROM part")
+def titles(spark, sf_dir):
+    k = F.col("p_partkey") % 4
+    org = k.isin(1, 2)
+    content = F.when(k == 0, F.concat(F.lit("intro\n# Head "), "p_name", F.lit("\n# Other"))).when(k == 1, F.concat(F.lit("* first\n#+title: Set "), "p_name")).when(k == 2, F.concat(F.lit("text\n* Star "), "p_name")).otherwise("no heading")
+    path = F.concat(F.lit("d/my_note-"), "p_partkey", F.when(org, ".org").otherwise(".md"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.title(content, path, F.when(org, "org").otherwise("markdown")).alias("title"))
+
+
+@query("x17_formats", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'markdown' WHEN 1 THEN 'org' WHEN 2 THEN 'markdown' END AS fmt FROM part")
+def formats(spark, sf_dir):
+    end = F.element_at(F.array(*map(F.lit, (".md", ".ORG", ".markdown", ".txt", ""))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.file_format(F.concat(F.lit("a/b"), "p_partkey", end)).alias("fmt"))
+
+
+CHUNK_SQL = f"""{NOTES_SQL}, described AS (SELECT 'vault::' || path AS doc_id, path AS parent_file, directory, title, trim(body) AS content, CASE WHEN p_partkey % 3 = 0 THEN 'incident-log' WHEN directory = 'work' THEN 'work' ELSE 'other' END AS vault_type,
+  CASE WHEN p_partkey % 3 = 0 THEN 'a,b' ELSE '' END AS tags, CASE WHEN p_partkey % 3 = 0 THEN 'high' ELSE 'medium' END AS importance,
+  CASE WHEN p_partkey % 3 = 0 THEN 0.8 + round(0.1 * exp(-0.693 * 36 / 7.0), 4) WHEN directory = 'work' THEN 0.6 ELSE 0.5 END AS score FROM notes)"""
+
+
+@query("x16_chunk_metadata", f"WITH {CHUNK_SQL} SELECT doc_id, directory, vault_type, title, tags, importance, CAST(round(score, 4) AS DOUBLE) AS importance_score FROM described")
+def chunk_metadata(spark, sf_dir):
+    rows = ingest.chunk_rows(ingest.parsed(_notes(spark, sf_dir)), _as_of())
+    return rows.select("doc_id", "directory", "vault_type", "title", F.array_join("tags", ",").alias("tags"), "importance", "importance_score")
+
+
+@query("m1_reindex", f"WITH {CHUNK_SQL} SELECT doc_id, parent_file, md5(content) AS digest FROM described WHERE directory = 'work' UNION ALL SELECT doc_id || '#chunk-0', parent_file, 'old' FROM described WHERE directory <> 'work'")
+def reindex(spark, sf_dir):
+    """Every file has an old chunk row; the changed files' rows give way to their chunks."""
+    files = _notes(spark, sf_dir)
+    old = files.select(F.concat(F.lit("vault::"), "path", F.lit("#chunk-0")).alias("doc_id"), F.col("path").alias("parent_file"), F.lit("old").alias("content"))
+    after = ingest.sync(old, files.select("path", "content"), files.filter("p_partkey % 2 = 0").select("path"), _as_of())
+    return after.select("doc_id", "parent_file", F.when(F.col("content") == "old", "old").otherwise(F.md5(F.col("content").cast("binary"))).alias("digest"))
+
+
+@query("x35_memory_rows", "SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'memory::global::mem-' ELSE 'memory::proj-' || (s_suppkey % 5) || '::mem-' END || s_suppkey AS doc_id, 'a|t' || (s_suppkey % 3) AS tags, CASE WHEN s_suppkey % 4 = 1 THEN 1 ELSE s_suppkey END AS version, CASE WHEN s_suppkey % 3 = 0 THEN 'medium' ELSE 'low' END AS importance, s_name AS content FROM supplier")
+def memory_rows(spark, sf_dir):
+    k = F.col("s_suppkey")
+    writes = table(spark, sf_dir, "supplier").select(
+        F.when(k % 2 == 0, "global").otherwise("project").alias("scope"), F.concat(F.lit("Proj "), k % 5).alias("project"), F.concat(F.lit("mem-"), k).alias("name"), F.concat(F.lit("a, t"), k % 3, F.lit(",")).alias("tags"),
+        F.when(k % 3 == 0, "").otherwise("low").alias("importance"), F.when(k % 4 == 1, "first").otherwise(k.cast("string")).alias("version"), F.col("s_name").alias("body"),
+    )
+    return lifecycle.memory_rows(writes, _as_of()).select("doc_id", F.array_join("tags", "|").alias("tags"), F.col("version").cast("long").alias("version"), "importance", "content")
+
+
 @query("j2_incremental_scan", f"SELECT {DOCS_AS_FILES} AS path FROM documents WHERE doc_id % 4 = 0")
 def incremental_scan(spark, sf_dir):
     files = _files(spark, sf_dir)
@@ -291,6 +379,16 @@ def document_edits(spark, sf_dir):
     return ingest.edited(docs, edits).select(F.col("path").alias("doc_id"), "outcome")
 
 
+@query("m12_edited_texts", """WITH d AS (SELECT doc_id, text, split_part(text, ' ', 2) AS old FROM documents), n AS (SELECT *, CASE WHEN length(old) > 0 THEN (length(text) - length(replace(text, old, ''))) // length(old) ELSE 0 END AS n FROM d),
+o AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN 'unchanged' WHEN old = 'edited!' THEN 'error: nothing to change' WHEN n = 0 THEN 'error: not found' WHEN n > 1 AND doc_id % 4 <> 1 THEN 'error: not unique' ELSE 'edited' END AS outcome FROM n)
+SELECT doc_id, outcome, md5(CASE WHEN outcome = 'edited' THEN replace(text, old, 'edited!') ELSE text END) AS digest FROM o""")
+def edited_texts(spark, sf_dir):
+    """Each text's second word is replaced, everywhere in every fourth document, else only where it stands once."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    edits = docs.filter("path % 4 <> 0").select("path", F.lit("edit").alias("op"), F.split_part("content", F.lit(" "), F.lit(2)).alias("old"), F.lit("edited!").alias("new"), (F.col("path") % 4 == 1).alias("every"))
+    return ingest.edited(docs, edits).select(F.col("path").alias("doc_id"), "outcome", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
 @query("u1_union_of_tiers", f"WITH {CHUNKS_SQL} SELECT type, count(*) AS n FROM chunks GROUP BY type")
 def union_of_tiers(spark, sf_dir):
     rows = chunks(spark, sf_dir)

@@ -138,6 +138,11 @@ def period_comparison(spark, sf_dir):
     return reports.compared(_entries(spark, sf_dir))
 
 
+@query("w9_trends", f"WITH {ENTRIES_SQL}, c AS (SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS period, tenant, count(*) AS n FROM entries GROUP BY 1, 2), d AS (SELECT *, n - lag(n) OVER (PARTITION BY tenant ORDER BY period) AS change, row_number() OVER (PARTITION BY tenant ORDER BY period DESC) AS rn FROM c) SELECT tenant, period, n, CASE WHEN change > 0 THEN 'up' WHEN change < 0 THEN 'down' WHEN change = 0 THEN 'flat' ELSE 'new' END AS trend FROM d WHERE rn = 1")
+def trends(spark, sf_dir):
+    return reports.latest_trend(reports.compared(_entries(spark, sf_dir)))
+
+
 @query("w10_id_suffix", f"WITH x AS (SELECT event_id, CAST(user_id AS VARCHAR) AS entry_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events) SELECT event_id, entry_id || CASE WHEN n > 0 THEN '-' || n ELSE '' END AS unique_id FROM x")
 def id_suffix(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("entry_id"))
