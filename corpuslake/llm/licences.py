@@ -3,7 +3,7 @@ spellings) and their digest is hash-joined to the digests of known licences. Lin
 so that a one-line notice inside a longer text is found too.
 
 Defined results. Null or empty text: the digest of the empty text, no licence, no notice. A text that is only
-copyright lines counts as empty. Repeated rows are each answered; other columns pass through. Main path: SQL
+copyright lines counts as empty. Repeated rows are each answered; other columns pass through, one named like the result as `<name>_input`. Main path: SQL
 functions only, one narrow pass; the known digests are as many as the known texts, so the broadcast is bounded.
 """
 
@@ -15,6 +15,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslake.llm.shared import set_aside
+
 # Licence texts and notices, as their owners publish them.
 _WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 _MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n" + _WARRANTY
@@ -51,7 +53,7 @@ PHRASES = tuple(f"{head} under {article}{{}}." for head in ("Licensed", "Release
 
 
 def known_texts() -> list[tuple[str, str]]:
-    """(licence, text): KNOWN, the shipped texts and the notices of every family and version. The twin has KNOWN only."""
+    """(licence, text): KNOWN, the shipped texts and the notices of every family and version."""
     whole = [(p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
     whole += [("Apache-2.0", text[: text.index("APPENDIX: How to apply")]) for name, text in whole if name == "Apache-2.0"]
     for marks, party, names in product((True, False), ("HOLDER", "OWNER"), ((), *[(n,) for n in _BSD_NAMES])):
@@ -94,6 +96,7 @@ def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = Non
 def scan(docs: DataFrame, text: str = "text", into: str = "licence_scan") -> DataFrame:
     """docs with a struct column: digest of the canonical text, licence that the whole text is (or null), and
     notices: for each line that is a known text, its licence, sorted and distinct."""
+    docs, (text,) = set_aside(docs, (into,), (text,))
     names = sorted((r["digest"], r["licence"]) for r in known_digests(docs.sparkSession).collect())  # as many as known texts
     digests = F.split(F.lit(",".join(d for d, _ in names)), ",")
     table = F.str_to_map(F.lit(",".join(f"{d}:{n}" for d, n in names)), F.lit(","), F.lit(":"))
@@ -116,7 +119,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    listed = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in KNOWN)
+    listed = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in known_texts())
     body = "lower(coalesce(text, ''))"
     for said, means in SPELLINGS:
         body = f"replace({body}, {quoted(said)}, {quoted(means)})"

@@ -4,7 +4,8 @@ measurements; versioned policies and ablations are then bit operations on the le
 Defined results. Null or empty text: no words, all counts 0, fails `few_words`. Words are maximal runs of
 bytes other than space and \\x09-\\x0D, so `bytes.split()` finds them. Ties and repeated rows: each row is
 judged by itself. Columns of the input other than the text pass through unread, also where their names equal
-those of the ledger (the ledger is nested in one struct column until it is selected).
+those of the measurements (nested in one struct column); a column named like that struct stays as `<name>_input`.
+A very long text is measured whole; the measuring holds its words and five-word windows, some thirty times its bytes.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuslake.llm.shared import set_aside
+
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 
@@ -100,6 +103,7 @@ def failure_bits(values: str) -> Column:
 
 def ledger(docs: DataFrame, text: str = "text", into: str = "ledger") -> DataFrame:
     """docs with one more struct column `into`: the measurements and `bits`. One narrow pass, no shuffle."""
+    docs, (text,) = set_aside(docs, (into,), (text,))
     measured = docs.withColumn(into, measures(F.col(f"`{text}`")))
     return measured.withColumn(into, F.col(into).withField("bits", failure_bits(into)))
 
@@ -169,3 +173,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
   failure_bits = 0 AS kept, n_lines, failure_bits
 FROM b
 """
+
+
+def quality_ablations(spark, sf_dir: str) -> DataFrame:
+    """What each rule of the policy does, from the ledger's bits."""
+    return ablations(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+
+
+ABLATIONS_SQL = f"""
+WITH l AS ({OP2_SQL}), r(rule, bit) AS (VALUES {", ".join(f"('{name}', {bit})" for name, bit in BITS.items())})
+SELECT rule, count(*) FILTER (failure_bits & bit <> 0) AS n_rejected, count(*) FILTER (failure_bits & bit <> 0 AND failure_bits & ({DEFAULT.mask} - bit) = 0) AS n_alone,
+  count(*) FILTER (failure_bits & ({DEFAULT.mask} - bit) = 0) AS n_kept_without, count(*) AS n_docs, count(*) FILTER (failure_bits & {DEFAULT.mask} = 0) AS n_kept
+FROM l, r GROUP BY rule
+"""

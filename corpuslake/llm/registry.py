@@ -34,6 +34,7 @@ def queries() -> dict:
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_license_scan": licences.op9_license_scan,
         "op10_sharding": sharding.op10_sharding,
+        "quality_ablations": quality_rules.quality_ablations,
         "pipeline": _pipeline,
     }
 
@@ -41,6 +42,7 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op2_quality_rules": quality_rules.OP2_SQL,
+        "quality_ablations": quality_rules.ABLATIONS_SQL,
         "op3_benchmark_decontamination": decontamination.OP3_SQL,
         "op8_near_dedup": near_dedup.OP8_SQL,
         "op9_license_scan": licences.op9_sql(),

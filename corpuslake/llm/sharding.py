@@ -2,7 +2,7 @@
 shards take turns in claiming their next free slot. Placement is one hash and one lookup in the broadcast table.
 
 Defined results. The placement depends on the key's text alone: equal keys share a shard, a null key counts as
-the empty text. Adding or removing a shard moves few keys. The table has `slots` rows whatever the data, so the
+the empty text. Input columns named like the results stay as `<name>_input`. Adding or removing a shard moves few keys. The table has `slots` rows whatever the data, so the
 broadcast is bounded; placing needs no shuffle, so a key that holds a third of the rows stays where it is.
 Main path: SQL functions only; the table is filled on the driver in `slots` constant-time steps.
 """
@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslake.llm.shared import set_aside
+
 SLOTS = 10007  # a prime, over a hundred slots for each shard
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 
@@ -57,8 +59,10 @@ def lookup_table(spark: SparkSession, shards: Sequence[str] = SHARDS, slots: int
 
 def place(df: DataFrame, key: Column, shards: Sequence[str] = SHARDS, slots: int = SLOTS, slot_as: str = "slot", shard_as: str = "shard") -> DataFrame:
     """df with the slot and the shard of each row."""
-    table = lookup_table(df.sparkSession, shards, slots).select(F.col("slot").alias(slot_as), F.col("shard").alias(shard_as))
-    return df.withColumn(slot_as, slot_of(key, slots)).join(F.broadcast(table), slot_as, "left")
+    table = lookup_table(df.sparkSession, shards, slots).select(F.col("slot").alias("__of"), F.col("shard").alias("__shard"))
+    keyed, _ = set_aside(df.withColumn("__slot", slot_of(key, slots)), (slot_as, shard_as))
+    joined = keyed.join(F.broadcast(table), F.col("__slot") == F.col("__of"), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in keyed.columns[:-1]], F.col("__slot").alias(slot_as), F.col("__shard").alias(shard_as))
 
 
 def balance(placed: DataFrame, shard: str = "shard") -> DataFrame:

@@ -21,7 +21,7 @@ group that still differ.
 Defined results. Null text: empty, nothing removed. Texts under 200 bytes keep every byte. Repeated rows and
 copies: each is a repeat of the other, all their windows go (also in the kept copy: "occurs elsewhere" is judged on
 the input). Matches never cross documents. Rows are told apart by id and text hash; rows that agree in both count
-as separate occurrences. Removing bytes may split a character: `kept` is binary, and `cut_text` drops torn characters.
+as separate occurrences. A column named like the result stays as `<name>_input`. Removing bytes may split a character: `kept` is binary, and `cut_text` drops torn characters.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslake.llm.bwt import LANE, SPAN, lanes, repeated_starts
-from corpuslake.llm.shared import byte_column, written
+from corpuslake.llm.shared import byte_column, set_aside, written
 
 GRAM = 40
 STRETCH = SPAN - GRAM + 1
@@ -326,6 +326,7 @@ def cut(bodies: pd.Series, spans: pd.Series) -> pd.DataFrame:
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", into: str = "dedup", max_group: int = MAX_GROUP) -> DataFrame:
     """docs with a struct column: n_bytes, n_removed, n_spans and the kept bytes."""
+    docs, (doc_id, text) = set_aside(docs, (into,), (doc_id, text))
     spans = repeated_bytes(docs, doc_id, text, max_group).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.xxhash64(body) == F.col("__hash"))

@@ -6,7 +6,8 @@ Spark tables of any size. Each distinct run of a host name meets the word counts
 with those words only; weights are joined to the tokens of distinct hosts and distinct paths, and their sums to the pages.
 
 Defined results. Null url, or one without `://`: empty host and path; no rule fits, and the naive Bayes prior decides.
-The longest fitting rule wins; of equally long ones a block. Repeated rows are each judged. Without pages of both
+The longest fitting rule wins; of equally long ones a block. Repeated rows are each judged. An
+input column `url_filter` stays as `url_filter_input`. Without pages of both
 verdicts, undecided pages are allowed. Laplace smoothing over the tokens
 of decided pages and one that stands for all others.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslake.llm.shared import written
+from corpuslake.llm.shared import set_aside, written
 
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -159,6 +160,7 @@ def weights(tallied: DataFrame) -> tuple[DataFrame, float]:
 
 def judged(pages: DataFrame, url: str = "url", html: str = "html", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """pages with a struct column `url_filter`: host, path, rule, verdict, score (log odds of block; null by rule)."""
+    pages, (url, html) = set_aside(pages, ("url_filter",), (url, html))
     host, path = host_and_path(F.col(url))
     rule, verdict = rule_of(F.col("__host"), F.col("__path"), rules)
     read = pages.withColumn("__host", host).withColumn("__path", path).withColumn("__rule", rule).withColumn("__verdict", verdict)
