@@ -3,19 +3,25 @@ the candidates, with a depth that adapts to the region; every link is confirmed
 
 1. Sketch. One pass gives each text its set size, a digest of the set and a signature of TREES x DEPTH minima.
    Texts with equal sets collapse into one node, whatever their number.
-2. Orders. Tree t sorts the nodes by its DEPTH minima. Nodes that share BASE or more of them form a region. In a
-   region each node is a candidate with its NEIGHBOURS in the order and with the first node of each deeper region it
-   lies in (adaptive depth: the pivots of the depths at which it still has company). Candidates whose signatures agree
-   enough are kept if they connect what the region has not connected yet: at most one for each node and tree.
-3. Confirmation. The candidates' connected components are dealt in buckets of bounded size; a bucket reads each set
-   once and confirms links on the sets, best first, skipping pairs that are already connected.
-4. The rest. Where a component of candidates is still several classes, every node outside the largest class is
-   compared on the full sets with the whole component, in blocks of bounded size, through an inverted index; only
-   links that join classes come out.
+2. Orders. Tree t sorts the nodes by their minima from the t-th group on, all groups in turn. Nodes that share BASE or
+   more at the start form a region. In a region each node is a candidate with its NEIGHBOURS in the order and with the
+   first node of each deeper region it lies in (adaptive depth: the order goes on through all minima, so in a region of
+   any size those that share most stand together). Candidates whose sizes allow a link and whose signatures agree enough
+   are kept if they connect what the region has not connected yet: at most one for each node and tree.
+3. Confirmation. Candidates are dealt in buckets of bounded set weight, a hub's by both ends; a bucket reads each set once
+   and confirms links on the sets, best first, skipping pairs that are already connected.
+4. The rest. Where a component of candidates is still several classes, a node can only have a link to another class if
+   one of the rarest fifth of its shingles is among those of that class: two sets at 0.8 or more share one of those under
+   any order of the shingles. Such nodes outside the largest class are compared with all such nodes on the full sets, in
+   blocks of bounded size; only links that join classes come out. No link inside a component is lost, and a family of
+   texts that a template makes alike, but less than 0.8, costs no comparisons.
 5. Components of the confirmed links give the classes.
 
-Two texts at similarity 0.8 miss all TREES regions with probability (1 - 0.8^3)^20 = 6e-7, and fall below the
-signature test with probability 1e-5; links are never accepted without the full sets.
+Two texts at similarity 0.8 miss all TREES regions with probability (1 - 0.8^3)^20 = 6e-7 and fall below the signature
+test with 2e-5. In a region that holds over NEIGHBOURS other texts between them (a boilerplate that thousands share), a
+tree finds them if a minimum that only they share comes before one in which they differ, about three times in five; all
+trees fail with some 1e-6. Then, or where range partitions part them in every tree, they are only found by step 4, if
+other candidates connect them. Links are never accepted without the full sets.
 
 Defined results. Words are split at space and \\x09-\\x0D with A-Z lower-cased; null or empty texts have no set, are
 linked with nothing and are kept. Fewer words than a shingle are one shingle, which equals only the same words.
@@ -29,16 +35,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslake.llm.components import components
-from corpuslake.llm.shared import byte_column, written
+from corpuslake.llm.shared import byte_column, small, written
 from corpuslake.llm.shingles import Permutations, mix, shingle_set, words_by_text
 
 TREES, DEPTH, BASE = 20, 6, 3
 AGREE = 0.65  # least share of equal minima for a pair that is tried on its sets
-GROUP_SHINGLES = 1_000_000  # set elements that one confirming group reads
+GROUP_SHINGLES = 1_000_000  # set elements that one confirming bucket reads
+BLOCK_SHINGLES = 1_000_000  # set elements on either side of a block of step 4
 NEIGHBOURS = 32
 
 SKETCH = "text_hash long, n_shingles long, node binary, signature binary"
@@ -70,69 +77,163 @@ def _digest(shingles: np.ndarray) -> bytes:
     return np.array([one, two], np.uint64).tobytes()
 
 
-def _region_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (region, tree signature): candidates with the rows before and with the first row of each depth's
+def _region_candidates(percent: int):
+    """Rows sorted by (region, rotated signature): candidates with the rows before and with the first row of each depth's
     region. Held: the last rows, the pivots, and which of the region's rows are connected."""
     width = TREES * DEPTH
     pivots = DEPTH - BASE + 1
-    held = np.zeros((NEIGHBOURS + pivots, width), np.uint16)  # a ring of the last rows, then the pivots
-    names: list = [None] * len(held)
-    parent: dict = {}
-    region, last, at = None, None, 0
 
-    def root(n):
-        while parent[n] != n:
-            parent[n] = parent[parent[n]]
-            n = parent[n]
-        return n
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((NEIGHBOURS + pivots, width), np.uint16)  # a ring of the last rows, then the pivots
+        names: list = [None] * len(held)
+        sizes = np.zeros(len(held), np.int64)
+        parent: dict = {}
+        region, last, at = None, None, 0
 
+        def root(n):
+            while parent[n] != n:
+                parent[n] = parent[parent[n]]
+                n = parent[n]
+            return n
+
+        for batch in batches:
+            out = ([], [], [], [], [])
+            for key, node, size, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                signature = np.frombuffer(raw, np.uint16)
+                common = 0
+                if key != region:
+                    region, parent, at = key, {}, 0
+                    names = [None] * len(held)
+                else:
+                    common = int(np.argmin(np.append(signature[:DEPTH] == last[:DEPTH], False)))
+                last = signature
+                for i in range(pivots):
+                    if common < BASE + i:
+                        held[NEIGHBOURS + i], names[NEIGHBOURS + i] = signature, None
+                parent.setdefault(node, node)
+                if at:
+                    share = (held == signature).mean(axis=1)
+                    share[100 * np.minimum(sizes, size) < percent * np.maximum(sizes, size)] = 0  # no link at these sizes
+                    for i in np.argsort(-share, kind="stable").tolist():
+                        if share[i] < AGREE:
+                            break
+                        other = names[i]
+                        if other is not None and other != node:
+                            x, y = root(node), root(other)
+                            if x != y:
+                                parent[x] = y
+                                low = node < other
+                                for column, value in zip(out, ((node, other) if low else (other, node)) + ((size, int(sizes[i])) if low else (int(sizes[i]), size)) + (float(share[i]),)):
+                                    column.append(value)
+                for i in range(pivots):
+                    if common < BASE + i:
+                        names[NEIGHBOURS + i], sizes[NEIGHBOURS + i] = node, size
+                held[at % NEIGHBOURS], names[at % NEIGHBOURS], sizes[at % NEIGHBOURS] = signature, node, size
+                at += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "na", "nb", "agree"])
+
+    return candidates
+
+
+def _sets(size: int):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [None] * batch.num_rows
+            for row, words in words_by_text(*byte_column(batch.column(1))):
+                out[row] = shingle_set(words, size).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "shingles"])
+
+    return sets
+
+
+def _confirm(percent: int):
+    def confirm(key: tuple, nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        names = nodes["node"].tolist()
+        sets = [np.frombuffer(s, np.uint64) for s in nodes["shingles"]]
+        number = {n: i for i, n in enumerate(names)}
+        parent = list(range(len(names)))
+
+        def root(n):
+            while parent[n] != n:
+                parent[n] = parent[parent[n]]
+                n = parent[n]
+            return n
+
+        sizes = np.array([len(s) for s in sets])
+        _, place = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(sizes)
+        mine = [place[e - n : e] for e, n in zip(ends, sizes)]
+        marked = np.zeros(int(place.max(initial=-1)) + 1, bool)
+        edges = edges.assign(x=edges["a"].map(number), y=edges["b"].map(number)).sort_values(["agree", "a", "b"], ascending=[False, True, True])
+        for x, others in edges.groupby("x", sort=False)["y"]:
+            open_ = [y for y in others.tolist() if root(x) != root(y)]
+            for i in range(0, len(open_), 64):
+                some = [y for y in open_[i : i + 64] if root(x) != root(y)]
+                if some:
+                    marked[mine[x]] = True
+                    both = np.add.reduceat(marked[np.concatenate([mine[y] for y in some])], np.cumsum([0] + [sizes[y] for y in some[:-1]]), dtype=np.int64)
+                    marked[mine[x]] = False
+                    for y, n in zip(some, both.tolist()):
+                        if 100 * n >= percent * (sizes[x] + sizes[y] - n):
+                            parent[root(y)] = root(x)
+        # each class as a star around its least node, so that classes of several buckets join in few rounds
+        least: dict = {}
+        for i, n in enumerate(names):
+            r = root(i)
+            least[r] = min(n, least.get(r, n))
+        return pd.DataFrame([(least[root(i)], n) for i, n in enumerate(names) if least[root(i)] != n], columns=["a", "b"])
+
+    return confirm
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """The links among pairs (a, b, na, nb, agree), as stars. A bucket holds the pairs of some of the `a`; an `a` whose
+    partners alone outweigh a bucket is dealt over several by its partner too."""
+    heavy = pairs.groupBy("a").agg(F.sum("nb").alias("load")).filter(F.col("load") > GROUP_SHINGLES).select("a", F.ceil(F.col("load") / GROUP_SHINGLES).alias("parts"))
+    buckets = pairs.agg(F.ceil(F.sum(F.col("na") + F.col("nb")) / (2 * GROUP_SHINGLES)).alias("n")).first()["n"] or 1
+    part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))
+    dealt = pairs.join(heavy, "a", "left").select(F.pmod(F.xxhash64("a", part), F.lit(int(buckets))).alias("at"), "a", "b", "agree")
+    dealt = written(dealt, f"{name}-dealt")
+    seats = dealt.select(F.col("at").alias("bucket"), F.col("a").alias("node")).union(dealt.select("at", "b")).distinct()
+    seated = seats.join(sets, "node").select("bucket", "node", "shingles")
+    return written(seated.groupBy("bucket").cogroup(dealt.groupBy("at")).applyInPandas(_confirm(percent), "a binary, b binary"), f"{name}-links")
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b, agree = [], [], []
-        keys, trees, nodes = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        for key, tree, node, raw in zip(keys, trees, nodes, batch.column(3).to_pylist()):
-            signature = np.frombuffer(raw, np.uint16)
-            own = signature[tree * DEPTH : (tree + 1) * DEPTH]
-            common = 0
-            if key != region:
-                region, parent, at = key, {}, 0
-                names = [None] * len(held)
-            else:
-                common = int(np.argmin(np.append(own == last, False)))
-            last = own
-            for i in range(pivots):
-                if common < BASE + i:
-                    held[NEIGHBOURS + i], names[NEIGHBOURS + i] = signature, None
-            parent.setdefault(node, node)
-            if at:
-                share = (held == signature).mean(axis=1)
-                for i in np.argsort(-share, kind="stable").tolist():
-                    if share[i] < AGREE:
-                        break
-                    other = names[i]
-                    if other is not None and other != node:
-                        x, y = root(node), root(other)
-                        if x != y:
-                            parent[x] = y
-                            a.append(min(node, other))
-                            b.append(max(node, other))
-                            agree.append(float(share[i]))
-            for i in range(pivots):
-                if common < BASE + i:
-                    names[NEIGHBOURS + i] = node
-            held[at % NEIGHBOURS], names[at % NEIGHBOURS] = signature, node
-            at += 1
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(agree, pa.float64())], names=["a", "b", "agree"])
+        for label, group, node, size, raw in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            shingles = np.frombuffer(raw, np.int64)
+            for i in range(0, len(shingles), 1 << 16):
+                part = shingles[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([v] * len(part), t) for v, t in ((label, pa.binary()), (group, pa.binary()), (node, pa.binary()), (size, pa.int64()))] + [pa.array(part)], names=["label", "class", "node", "n", "shingle"])
+
+
+def _live(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(label, class, main, node, n_shingles) of the nodes that can have a link to another class of their component: of
+    n shingles, one of the n - ceil(percent % of n) + 1 that are rarest in the component is among another class's too."""
+    sizes = named.groupBy("label", "class").agg(F.count(F.lit(1)).alias("members"))
+    open_ = sizes.groupBy("label").agg(F.max_by("class", F.struct("members", "class")).alias("main"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("label", "main")
+    inside = written(named.join(open_, "label").select("label", "class", "main", "node", "n_shingles"), "near-open")
+    with_sets = inside.select("label", "class", "node", "n_shingles").join(sets, "node").select("label", "class", "node", "n_shingles", "shingles")
+    each = written(with_sets.mapInArrow(_exploded, "label binary, class binary, node binary, n long, shingle long"), "near-shingles")
+    often = each.groupBy("label", "shingle").agg(F.count(F.lit(1)).alias("often"))
+    w = Window.partitionBy("node").orderBy("often", "shingle")
+    rare = each.join(often, ["label", "shingle"]).withColumn("rn", F.row_number().over(w))
+    rare = rare.filter((F.col("often") > 1) & (F.col("rn") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
+    rare = written(rare.select("label", "shingle", "class", "node"), "near-rare")
+    shared = rare.groupBy("label", "shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("label", "shingle")
+    return written(inside.join(rare.join(shared, ["label", "shingle"], "left_semi").select("node").distinct(), "node", "left_semi"), "near-live")
 
 
 def _rest(percent: int):
-    """A block of a component: outsiders against members on the full sets; links that join classes."""
+    """A block: nodes outside the largest class against members on the full sets; links that join classes."""
 
     def rest(pdf: pd.DataFrame) -> pd.DataFrame:
         members, outs = pdf[pdf["member"]], pdf[~pdf["member"]]
         found: list[tuple] = []
         if len(members) and len(outs):
             sets = [np.frombuffer(s, np.uint64) for s in members["shingles"]]
-            names, classes = members["node"].tolist(), members["class"].tolist()
+            names, of = members["node"].tolist(), members["class"].tolist()
             sizes = np.array([len(s) for s in sets])
             values = np.concatenate(sets)
             order = np.argsort(values, kind="stable")
@@ -155,7 +256,7 @@ def _rest(percent: int):
                     continue
                 both = np.bincount(owner[np.arange(ends[-1]) + np.repeat(hi - ends, n)], minlength=len(sets))
                 for i in np.flatnonzero(100 * both >= percent * (len(mine) + sizes - both)):
-                    x, y = root(own), root(classes[i])
+                    x, y = root(own), root(of[i])
                     if x != y:
                         parent[x] = y
                         found.append((min(node, names[i]), max(node, names[i])))
@@ -164,72 +265,34 @@ def _rest(percent: int):
     return rest
 
 
-def _sets(size: int):
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [None] * batch.num_rows
-            for row, words in words_by_text(*byte_column(batch.column(1))):
-                out[row] = shingle_set(words, size).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "shingles"])
-
-    return sets
-
-
-def _confirm(percent: int):
-    def confirm(key: tuple, nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        sets = {n: np.frombuffer(s, np.uint64) for n, s in zip(nodes["node"], nodes["shingles"])}
-        parent = {n: n for n in sets}
-
-        def root(n):
-            while parent[n] != n:
-                parent[n] = parent[parent[n]]
-                n = parent[n]
-            return n
-
-        for a, b in edges.sort_values(["agree", "a", "b"], ascending=[False, True, True])[["a", "b"]].itertuples(index=False):
-            ra, rb = root(a), root(b)
-            if ra != rb:
-                x, y = sets[a], sets[b]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    parent[max(ra, rb)] = min(ra, rb)
-        # each class as a star around its least node, so that classes of several buckets join in few rounds
-        return pd.DataFrame([(root(n), n) for n in sets if root(n) != n], columns=["a", "b"])
-
-    return confirm
+def _more(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different classes of a component: its live nodes outside the largest class meet its live nodes, in
+    blocks of bounded weight on either side."""
+    live = _live(named, sets, percent)
+    outside = F.col("class") != F.col("main")
+    count = lambda c: F.greatest(F.ceil(c / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    blocks = live.groupBy("label").agg(F.sum("n_shingles").alias("all"), F.sum(F.when(outside, F.col("n_shingles"))).alias("out")).filter("out > 0").select("label", count(F.col("all")).alias("mb"), count(F.col("out")).alias("ob"))
+    mixed = live.join(blocks, "label").join(sets, "node")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    member = mixed.select("label", place("mb").alias("m"), spread("ob").alias("o"), F.lit(True).alias("member"), "node", "class", "shingles")
+    outer = mixed.filter(outside).select("label", spread("mb").alias("m"), place("ob").alias("o"), F.lit(False).alias("member"), "node", "class", "shingles")
+    return written(member.unionByName(outer).groupBy("label", "m", "o").applyInPandas(_rest(percent), "a binary, b binary"), "near-more")
 
 
 def _labels(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, label): the classes of what links on the full sets connect, for nodes with a link."""
     region = components(candidates)
     used = region.join(nodes, "node").select("node", "label", "id", "text_hash", "n_shingles")
-    wanted = used.select("node", "label", F.col("id").alias("__id"), F.col("text_hash").alias("__hash"))
+    wanted = used.select("node", F.col("id").alias("__id"), F.col("text_hash").alias("__hash"))
     texts = docs.join(wanted, F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select("node", "text")
     sets = written(texts.mapInArrow(_sets(size), "node binary, shingles binary"), "near-sets").dropDuplicates(["node"])
 
-    weight = used.groupBy("label").agg(F.ceil(F.sum("n_shingles") / GROUP_SHINGLES).alias("buckets"))
-    dealt = candidates.join(region.withColumnRenamed("node", "a"), "a").join(weight, "label").withColumn("bucket", F.pmod(F.xxhash64("b"), "buckets"))
-    dealt = written(dealt.select("label", "bucket", "a", "b", "agree"), "near-dealt")
-    seats = dealt.select("label", "bucket", F.col("a").alias("node")).union(dealt.select("label", "bucket", "b")).distinct()
-    tried = dealt.select(F.col("label").alias("of"), F.col("bucket").alias("at"), "a", "b", "agree")
-    seated = seats.join(sets, "node")
-    first = written(seated.groupBy("label", "bucket").cogroup(tried.groupBy("of", "at")).applyInPandas(_confirm(percent), "a binary, b binary"), "near-links")
-
-    # what is still several classes: every node outside the largest one against the whole component
+    first = _confirmed(candidates, sets, percent, "near")
     classes_of_first = components(first)
     joined = classes_of_first.withColumnRenamed("label", "class")
     named = written(used.select("node", "label", "n_shingles").join(joined, "node", "left").withColumn("class", F.coalesce("class", "node")), "near-named")
-    sizes = named.groupBy("label", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"))
-    total = sizes.groupBy("label").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("weight").alias("all"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-    total = total.join(sizes.select("label", F.col("class").alias("main"), F.col("weight").alias("main_weight")), "label").filter("main = top.class")
-    blocks = total.select("label", "main", F.ceil(F.col("all") / GROUP_SHINGLES).cast("int").alias("mb"), F.ceil((F.col("all") - F.col("main_weight")) / GROUP_SHINGLES).cast("int").alias("ob"))
-    mixed = named.join(blocks, "label").join(sets, "node")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1))
-    place = lambda n: F.pmod(F.xxhash64("node"), F.greatest(F.col(n), F.lit(1))).cast("int")
-    member = mixed.select("label", place("mb").alias("m"), spread("ob").alias("o"), F.lit(True).alias("member"), "node", "class", "shingles")
-    outer = mixed.filter(F.col("class") != F.col("main")).select("label", spread("mb").alias("m"), place("ob").alias("o"), F.lit(False).alias("member"), "node", "class", "shingles")
-    more = member.unionByName(outer).groupBy("label", "m", "o").applyInPandas(_rest(percent), "a binary, b binary")
-    more = written(more, "near-more")
+    more = _more(named, sets, percent)
     return components(first.union(more)) if more.limit(1).count() else classes_of_first
 
 
@@ -248,12 +311,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
     light = nodes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), prefix)).alias("tree", "region"))
     shared = light.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = written(light.join(shared, "region"), "near-members")
-    rows = members.join(nodes.select("node", "signature"), "node")
+    rows = members.join(nodes.select("node", "n_shingles", "signature"), "node")
 
-    own = F.substring("signature", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH))
-    order = rows.select("region", "tree", "node", "signature", own.alias("own")).repartitionByRange("region", "own", "node").sortWithinPartitions("region", "own", "node")
-    candidates = order.select("region", "tree", "node", "signature").mapInArrow(_region_candidates, "a binary, b binary, agree double")
-    candidates = written(candidates.groupBy("a", "b").agg(F.max("agree").alias("agree")), "near-candidates")
+    turned = F.concat(F.expr(f"substring(signature, tree * {2 * DEPTH} + 1)"), F.expr(f"substring(signature, 1, tree * {2 * DEPTH})"))
+    order = rows.select("region", "node", "n_shingles", turned.alias("turned")).repartitionByRange("region", "turned", "node").sortWithinPartitions("region", "turned", "node")
+    found = order.mapInArrow(_region_candidates(percent), "a binary, b binary, na long, nb long, agree double")
+    candidates = written(found.groupBy("a", "b", "na", "nb").agg(F.max("agree").alias("agree")), "near-candidates")
     label = _labels(candidates, nodes, texts, shingle, percent)
     ids = nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "id")
     classed = ids.join(ids.groupBy("label").agg(F.min("id").alias("component_id")), "label").select("node", "component_id")
@@ -264,7 +327,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The documents that name their class, with the columns they came with: one document of each class stays."""
     gone = classes(docs, doc_id, text, shingle, percent).filter(~F.col("id").eqNullSafe(F.col("component_id")))
-    gone = gone.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    gone = small(gone.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "near-gone")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     return docs.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.xxhash64(body) == F.col("__hash")), "left_anti")
 
