@@ -8,19 +8,23 @@ result of their own text: rows are told apart by id and text hash. Input columns
 never read. Main path: SQL functions only.
 
 Scale: one pass over the documents, whose windows stay inside the stage that makes them (explode, probe,
-filter); only one base row for each document and the hits are shuffled. The set is broadcast when the benchmark
-has at most `BROADCAST_CHARS` characters; beyond that the same join shuffles both sides on the window hash.
+filter); only one base row for each document and the hits are shuffled. The set is broadcast in blocks of at most
+`BLOCK_WINDOWS` windows (some 40 MB): a larger benchmark takes one such pass a block, dealt by hash, and the blocks' hits
+are put together, so neither memory nor the shuffle depends on its size and long documents cost what their words cost.
 """
 
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslake.llm.shared import small, written
+
 WINDOW = 13
-BROADCAST_CHARS = 16_000_000
+BLOCK_WINDOWS = 250_000
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -44,18 +48,19 @@ def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str
     items = benchmark.select(F.col(item_id).alias("item"), words_of(F.col(text)).alias("words")).filter(F.size("words") > 0)
     items = items.withColumn("length", F.least(F.size("words"), F.lit(window)))
     at = items.select("*", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("length") + 1)).alias("start"))
-    grams = at.select("item", "length", _hash(F.col("words"), F.col("start"), F.col("length")).alias("hash"), _window(F.col("words"), F.col("start"), F.col("length")).alias("gram"))
+    grams = at.select("item", "length", _hash(F.col("words"), F.col("start"), F.col("length")).alias("hash"), F.array_join(_window(F.col("words"), F.col("start"), F.col("length")), " ").alias("gram"))
     return grams.groupBy("hash", "length", "gram").agg(F.collect_set("item").alias("items"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """One row for each document: id, text_hash, n_words, n_hit, items (strings, sorted), spans (start word,
     length), contaminated (a twentieth of the words or more are hit)."""
-    sized = benchmark.select(F.length(item_text).alias("n"), F.size(words_of(F.col(item_text))).alias("w"))
-    facts = sized.agg(F.sum("n").alias("chars"), F.array_sort(F.collect_set(F.when(F.col("w") > 0, F.least("w", F.lit(window))))).alias("lengths")).first()
+    sized = benchmark.select(F.size(words_of(F.col(item_text))).alias("w")).filter("w > 0")
+    facts = sized.agg(F.sum(F.greatest(F.col("w") - window + 1, F.lit(1))).alias("windows"), F.array_sort(F.collect_set(F.least("w", F.lit(window)))).alias("lengths")).first()
     known = benchmark_windows(benchmark, item_id, item_text, window)
-    if (facts["chars"] or 0) <= BROADCAST_CHARS:
-        known = F.broadcast(known)
+    blocks = max(1, -(-(facts["windows"] or 0) // block_windows))
+    if blocks > 1:
+        known = written(known, "benchmark-windows")
 
     read = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), words_of(F.col(text)).alias("words"))
     n = F.size("words")
@@ -71,9 +76,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     # `length` 0 marks the base row, which every document keeps
     rows = read.select("id", "text_hash", "words", F.explode(F.array(*by_length)).alias("w"))
     rows = rows.select("id", "text_hash", "words", F.col("w.length").alias("size"), F.posexplode("w.hashes").alias("start", "probe"))
-    same = (F.col("probe") == F.col("hash")) & (F.col("gram") == F.slice("words", F.col("start") + 1, F.col("size")))
-    hits = rows.join(known, same, "left").filter((F.col("size") == 0) | F.col("items").isNotNull())
-    hits = hits.select("id", "text_hash", "size", "start", "items", F.when(F.col("size") == 0, F.size("words")).alias("n_words"))
+    same = (F.col("probe") == F.col("hash")) & (F.col("gram") == F.array_join(F.slice("words", F.col("start") + 1, F.col("size")), " "))
+    passes = []
+    for block in range(blocks):
+        part = F.broadcast(known if blocks == 1 else known.filter(F.pmod("hash", F.lit(blocks)) == block))
+        # the first pass also keeps the base rows
+        found = rows.join(part, same, "left").filter((F.col("size") == 0) | F.col("items").isNotNull()) if block == 0 else rows.filter("size > 0").join(part, same)
+        found = found.select("id", "text_hash", "size", "start", "items", F.when(F.col("size") == 0, F.size("words")).alias("n_words"))
+        passes.append(found if blocks == 1 else written(found, "benchmark-hits"))
+    hits = reduce(DataFrame.union, passes)
 
     hit = F.when(F.col("size") > 0, F.struct("start", "size"))
     docs_hit = hits.groupBy("id", "text_hash").agg(
@@ -94,7 +105,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that are not contaminated, unchanged."""
-    bad = contamination(docs, benchmark, doc_id, text).filter("contaminated").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    bad = small(contamination(docs, benchmark, doc_id, text).filter("contaminated").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "benchmark-leaks")
     same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))) == F.col("__hash"))
     return docs.join(bad, same, "left_anti")
 
