@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslake.llm.pieces import CELLS, LONG, MODEL, START, UNKNOWN, Pieces, characters, prefix_hashes, units
-from corpuslake.llm.shared import parts_of, set_aside
+from corpuslake.llm.shared import give_back, parts_of, set_aside
 
 REMEMBERED = 1_200_000
 
@@ -160,6 +160,7 @@ def _encode_task(model: str, merges: bool, remembered: int, keep: bool):
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], column, pa.array(same, pa.bool_())], schema=schema)
         if not keep:
             coder.forget()
+            give_back()
 
     return encode
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -57,6 +58,17 @@ def byte_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
+def give_back() -> None:
+    """Memory that this worker has freed goes back to the system, for the JVM beside it and the next stage's workers."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps what it has
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def parts_of(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose texts have about `most` bytes together; a longer text is a slice of its own."""
     _, offsets = byte_column(batch.column(column))

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -324,25 +324,34 @@ def cut(bodies: pd.Series, spans: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_cut_one(bytes(b), s) for b, s in zip(bodies, spans)], columns=["n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", into: str = "dedup", max_group: int = MAX_GROUP) -> DataFrame:
-    """docs with a struct column: n_bytes, n_removed, n_spans and the kept bytes."""
-    docs, (doc_id, text) = set_aside(docs, (into,), (doc_id, text))
+def _with_spans(docs: DataFrame, doc_id: str, text: str, max_group: int) -> tuple[DataFrame, Column]:
+    """docs with a column `__spans` of each text's repeated intervals (null without any), and the text's bytes."""
     spans = repeated_bytes(docs, doc_id, text, max_group).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.xxhash64(body) == F.col("__hash"))
-    joined = docs.join(spans, same, "left")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], cut(body.cast("binary"), F.col("__spans")).alias(into))
+    return docs.join(spans, same, "left"), body.cast("binary")
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", into: str = "dedup", max_group: int = MAX_GROUP) -> DataFrame:
+    """docs with a struct column: n_bytes, n_removed, n_spans and the kept bytes."""
+    docs, (doc_id, text) = set_aside(docs, (into,), (doc_id, text))
+    joined, body = _with_spans(docs, doc_id, text, max_group)
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], cut(body, F.col("__spans")).alias(into))
 
 
 @F.pandas_udf(T.StringType())
-def whole_characters(kept: pd.Series) -> pd.Series:
-    return pd.Series([bytes(k).decode("utf-8", "ignore") for k in kept], dtype=object)
+def whole_characters(bodies: pd.Series, spans: pd.Series) -> pd.Series:
+    """What is kept of each text, without torn characters; null where nothing goes."""
+    return pd.Series([None if s is None or not len(s) else _cut_one(bytes(b), s)[3].decode("utf-8", "ignore") for b, s in zip(bodies, spans)], dtype=object)
 
 
-def cut_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def cut_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_group: int = MAX_GROUP) -> DataFrame:
     """docs with the repeated passages cut out of the text; a character that a cut tears is dropped."""
-    done = dedup(docs, doc_id, text, "__dedup")
-    return done.select(*[(F.when(F.col("__dedup.n_removed") > 0, whole_characters(F.col("__dedup.kept"))).otherwise(F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`")) for c in docs.columns])
+    joined, body = _with_spans(docs, doc_id, text, max_group)
+    # only texts that lose something are sent to the worker
+    sent = F.when(F.col("__spans").isNotNull(), body)
+    left = F.when(F.col("__spans").isNull(), F.col(f"`{text}`")).otherwise(whole_characters(sent, F.col("__spans")))
+    return joined.select(*[(left.alias(c) if c == text else F.col(f"`{c}`")) for c in docs.columns])
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
