@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of two-word shingle sets at 0.8 or more stays."""
-    return near_dedup.keep_one(docs, shingle=2)
+    """One document of each class of five-word shingle sets at 0.8 or more stays."""
+    return near_dedup.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids and whether these decode to the text."""
-    return sentence_pieces.encoded(docs, remembered=300_000, keep=False)  # the workers serve the other stages too
+    return sentence_pieces.encoded(docs, remembered=150_000, keep=False)  # the workers serve the other stages too
 
 
 STAGES = [
