@@ -98,6 +98,16 @@ def test_decontamination(spark, odd_docs, no_docs):
     assert not any(r.contaminated for r in decontamination.contamination(odd_docs, bench.limit(0)).collect())
 
 
+def test_decontamination_in_blocks(spark, small):
+    """A benchmark of more windows than a broadcast block takes gives the same rows, long documents included."""
+    bench = spark.read.parquet(f"{small}/benchmark.parquet")
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    long = docs.agg(F.array_join(F.collect_list("text"), " ").alias("text")).select(F.lit(-1).cast("long").alias("doc_id"), "text")
+    docs = docs.union(long)
+    rows = lambda n: sorted(map(repr, decontamination.contamination(docs, bench, block_windows=n).collect()))
+    assert rows(10**9) == rows(700) and any("contaminated=True" in r for r in rows(700))
+
+
 # 4
 def test_url_filter(spark):
     urls = ["http://www.Example.com/en/1", "https://a.example.com/en/x?q=/fr/", "http://example.com/", "http://x.net/fr/1", "http://x.net/de/1", None, "", "no scheme", "HTTP://B.NET/es/#f", "http://host?x", "http://com/", "http://xcom/", "http://a.example.com"]
@@ -186,7 +196,85 @@ def test_token_counts_equal_the_encoding(spark, small, odd_docs, no_docs):
     assert token_counts.totals(both.withColumn("g", F.lit(1)), "g").first().n_docs == docs.count()
 
 
+def all_segmentations(word):
+    return [[word]] + [[word[:i], *r] for i in range(1, len(word)) for r in all_segmentations(word[i:])] if word else [[]]
+
+
+def test_unigram_path_is_the_best_of_all():
+    """With the piece scores as unigram scores: no segmentation of a word has a larger sum; the trie counts the same tokens."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    coder, counter, rng = sentence_pieces.Encoder(merges=False), token_counts.TrieCounter(merges=False), random.Random(3)
+    p = coder.pieces
+    cost = lambda x: float(p.score[p.id_of[x]]) if x in p.id_of else p.unknown_score if len(x) == 1 else -math.inf
+    words = ["".join(rng.choice("thernaio") for _ in range(rng.randint(1, 9))) for _ in range(150)] + ["a語b", "the\U0001f600", "中a"]
+    got = coder.encode(words)
+    for word, ids in zip(words, got):
+        spaced = "▁" + word
+        sums = [sum(map(cost, c)) for c in all_segmentations(spaced)]
+        pieces, byte_ids = [], set(p.byte_id.values())
+        for character in (x for t in ids.tolist() for x in ([None] if t in byte_ids else [p.text[t]])):
+            pieces.append(character)
+        unknown = sum(c not in p.id_of for c in spaced)
+        total = sum(cost(x) for x in pieces if x) + unknown * p.unknown_score
+        assert abs(total - max(sums)) < 1e-6, word
+        assert coder.decode(ids) == word
+    assert counter.count(pa.array(words)).tolist() == [len(x) for x in got]
+    long = "thernaio" * 200
+    step, whole = p.long_word("▁" + long), coder.encode([long])[0]
+    assert step == whole.tolist() and counter.count(pa.array([long])).tolist() == [len(whole)]
+    merged = sentence_pieces.Encoder()
+    assert merged.encode([long])[0].tolist() == merged.pieces.long_word("▁" + long)
+    assert np.isclose(p.score[coder.encode(["therein"])[0]].sum(), max(sum(map(cost, c)) for c in all_segmentations("▁therein")))
+
+
+def test_merge_scores_tell_which_pairs_stay_apart():
+    import numpy as np
+    import sentencepiece
+
+    p, rng = sentence_pieces.Encoder().pieces, np.random.default_rng(4)
+    left, right = rng.choice(p.ids, 20_000), rng.choice(p.ids, 20_000)
+    asked = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.MODEL).encode(["\n" + p.text[a] + p.text[b] for a, b in zip(left, right)])
+    want = [g[2:] == [a, b] for g, a, b in zip(asked, left.tolist(), right.tolist())]
+    assert p.apart(left, right).tolist() == want == p.apart(left, right).tolist() and not all(want)
+
+
+def test_tokens_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", 7, "x", 9), (2, None, 8, "y", 9)], "doc_id int, text string, ids int, Round_Trip string, n_tokens int")
+    out = sentence_pieces.encoded(docs)
+    assert out.columns == ["doc_id", "text", "ids_input", "Round_Trip_input", "n_tokens", "ids", "round_trip"]
+    assert [(r.ids_input, r.Round_Trip_input, len(r.ids)) for r in out.orderBy("doc_id").collect()] == [(7, "x", 2), (8, "y", 0)]
+    assert [(r.n_tokens_input, r.n_tokens) for r in token_counts.with_token_counts(docs).orderBy("doc_id").collect()] == [(9, 2), (9, 0)]
+
+
 # 7
+def plain_score(text, model):
+    """The score computed text by text, without the library's own compressors."""
+    import zstandard
+
+    body = (text or "").encode()
+    size = lambda d: len(zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False).compress(body))
+    d = (size(model.bad) - size(model.good)) / math.sqrt(len(body) + 20)
+    return 1 / (1 + math.exp(-model.weights[0] - model.weights[1] * d))
+
+
+def test_long_labelled_texts_teach(spark):
+    """Every labelled text is longer than any bound that a sample of prefixes or short texts would have."""
+    import random
+
+    rng = random.Random(2)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(3, 8)))
+    good, bad = [[word(x) for _ in range(300)] for x in ("abcdefghij", "qrstuvwxyz")]
+    rows = [(i, " ".join(rng.choice(good if i % 2 else bad) for _ in range(3000)), i % 2) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = quality_classifier.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int"))
+    got = {r.doc_id: r.score for r in quality_classifier.scored(docs, model).collect()}
+    assert min(len(t) for _, t, _ in rows) > 10_000 and model.weights and all((got[i] > 0.5) == bool(y) for i, _, y in rows)
+
+
 def test_classifier_on_held_out_rows(spark, odd_docs, no_docs):
     sf = "/root/testdata/sf0.01"
     scores = quality_classifier.op7_quality_classifier(spark, sf)
@@ -200,10 +288,39 @@ def test_classifier_on_held_out_rows(spark, odd_docs, no_docs):
     model = quality_classifier.fit(odd_docs, labels)
     out = quality_classifier.scored(odd_docs, model)
     assert all(0 <= r.score <= 1 for r in out.collect()) and out.count() == odd_docs.count()
+    weight = quality_classifier.fit(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet"))
+    plain = {r.doc_id: plain_score(r.text, weight) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(200).collect()}
+    assert all(abs(r.score - plain[r.doc_id]) < 1e-9 for r in scores.collect() if r.doc_id in plain)
     assert quality_classifier.fit(no_docs, labels).weights == () and quality_classifier.fit(odd_docs, labels.limit(0)).weights == ()
 
 
 # 8
+@pytest.mark.parametrize("few", [20_000, 10])
+def test_components_equal_a_loop(spark, monkeypatch, few):
+    """A chain in order, a star, loops, repeated edges; finished at once, and by rounds of contraction."""
+    import random
+
+    from corpuslake.llm import components
+
+    monkeypatch.setattr(components, "FEW", few)
+    rng = random.Random(1)
+    edges = [(i, i + 1) for i in range(80)] + [(1000, 1000 + i) for i in range(40)] + [(rng.randrange(2000, 2200), rng.randrange(2000, 2200)) for _ in range(150)] * 2 + [(5000, 5000)]
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.label for r in got} == {n: root(n) for n in parent} and len(got) == len(parent)
+
+
 def brute_classes(texts, size, percent=80):
     sets = []
     for t in texts:
@@ -247,10 +364,36 @@ def test_near_dedup_in_a_group_of_copies(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     roots, _ = brute_classes(texts, 2)
     monkeypatch.setattr(near_dedup, "GROUP_SHINGLES", 200)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 200)
     got = {r.id: r.component_id for r in near_dedup.classes(df, shingle=2).collect()}
     assert [got[i] for i in range(len(texts))] == roots
 
 
+@pytest.mark.parametrize("share", [0.79, 0.5])
+def test_near_dedup_in_a_crowd_of_one_template(spark, share):
+    """Texts that one template makes alike, but less than 0.8, around planted pairs: every pair is found, and nothing else."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    base = [word() for _ in range(150)]
+    k = int(150 * share)
+    texts = [base[:k] + [word() for _ in range(150 - k)] for _ in range(1500)]
+    for i in range(60):
+        copy = list(texts[i])
+        for j in rng.sample(range(k, 150), 8):
+            copy[j] = word()
+        texts.append(copy)
+    sets = [set(zip(t, t[1:])) for t in texts]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(alike(i, 1500 + i) >= 0.8 for i in range(60)) and max(alike(i, i + 700) for i in range(100)) < 0.8
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(8)
+    got = {r.id: r.component_id for r in near_dedup.classes(df, shingle=2).collect()}
+    recall = sum(got[i] == got[1500 + i] for i in range(60)) / 60
+    print("recall", recall)
+    assert recall == 1 and len(set(got.values())) == 1500
+
+
 def test_near_dedup_odd(spark, odd_docs, no_docs):
     rows = [(r.id, r.component_id) for r in near_dedup.classes(odd_docs, shingle=2).collect()]
     assert Counter(rows) == Counter([(1, 1), (2, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 6), (7, 7), (8, 7), (None, None), (9, 9), (10, 10), (11, 11), (12, 12)])
@@ -285,6 +428,20 @@ def test_licences_by_family_and_version(spark):
     assert all(re.search(licences.CUE, t.lower().replace("licence", "license")) for _, t in licences.known_texts())
 
 
+def test_licences_equal_the_sql_on_whole_texts(spark):
+    import duckdb
+
+    texts = licences.known_texts()
+    rows = [(i, f"Copyright (c) 20{i % 90 + 10} A\n" + t.upper().replace(",", " ,") if i % 2 else t) for i, (_, t) in enumerate(texts[:40] + texts[40::97])] + [(-1, None), (-2, "no licence")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.licence_scan.digest, r.licence_scan.licence, ",".join(r.licence_scan.notices)) for r in licences.scan(docs).collect()}
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    found = con.execute(licences.op9_sql()).fetchall()
+    assert {r[0]: (r[1], r[2], r[4]) for r in found} == got and sum(v[1] is not None for v in got.values()) >= 110
+
+
 # 10
 def test_sharding(spark, odd_docs, no_docs):
     table = sharding.fill_table(sharding.SHARDS)
@@ -300,6 +457,20 @@ def test_sharding(spark, odd_docs, no_docs):
         sharding.fill_table(sharding.SHARDS, 10_000)
 
 
+def test_shards_with_clashing_names(spark):
+    placed = sharding.place(spark.createDataFrame([("k", 5, "mine"), (None, 6, "own")], "key string, slot int, Shard string"), F.col("key"))
+    assert placed.columns == ["key", "slot_input", "Shard_input", "slot", "shard"]
+    assert {(r.slot_input, r.Shard_input) for r in placed.collect()} == {(5, "mine"), (6, "own")}
+
+
+@pytest.mark.parametrize("op, into", [(quality_rules.ledger, "ledger"), (suffix_dedup.dedup, "dedup"), (licences.scan, "licence_scan"), (lambda d: quality_classifier.scored(d, quality_classifier.Model(b"", b"")), "score"), (lambda d: url_filter.judged(d.withColumnRenamed("text", "url").withColumn("html", F.lit(None).cast("string"))), "url_filter")])
+def test_a_column_named_like_the_result_is_kept(spark, op, into):
+    docs = spark.createDataFrame([(1, "http://a.com/b c", "kept", "too"), (2, None, "kept", "too")], f"doc_id int, text string, {into.upper()} string, {into}_input string")
+    out = op(docs)
+    assert len({c.lower() for c in out.columns}) == len(out.columns) and into in out.columns
+    assert all(r[f"{into.upper()}__input"] == "kept" and r[f"{into}_input"] == "too" for r in out.collect())
+
+
 def test_native_plans_hold_no_python(spark, small):
     for name in ("op3_benchmark_decontamination", "op9_license_scan", "op10_sharding"):
         plan = registry.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
