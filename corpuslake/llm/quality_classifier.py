@@ -1,33 +1,35 @@
 """Compression classifier: one zstandard dictionary of good and one of bad labelled texts; the difference of a text's
-sizes under the two, by its own length, is the evidence, and a logistic calibration turns it into a score.
+sizes under the two, by the square root of its length, is the evidence, and a logistic calibration turns it into a score.
 
-Learning reads a bounded sample: at most PER_CLASS labelled texts a class, those of least id hash, of at most TEXT_BYTES
-bytes (whole texts, longer ones are not sampled). Two fifths fill the dictionaries, the rest fit the calibration, so
-no text calibrates a dictionary that holds it. Every text of the table is then scored whole, in one narrow pass.
+Learning reads a bounded number of rows: at most PER_CLASS labelled texts a class, those of least id hash, whole. Two
+fifths of them make the class's dictionary: all their bytes are cut in SEGMENTs, of which those of least hash fill
+DICTIONARY_BYTES (a text of any length may give some; zstandard has no use for more). The others fit the calibration, so no
+text calibrates a dictionary that holds it. Sizes are taken in tasks; only segments and differences reach the driver.
+Every text of the table is then scored whole, in one narrow pass.
 
-Defined results. Null text: as empty. Empty texts get the score of their features at length 0. Labels other than 0 and
+Defined results. Null text: as empty. Empty texts get the score of the difference 0. Labels other than 0 and
 1, null ids and ids without a text teach nothing; repeated rows teach once an id. Without both classes the score is 0.5.
-Labels, language, source and id never enter a score.
+Labels, language, source and id never enter a score. An input column named like the result stays as `<name>_input`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslake.llm.shared import written
+from corpuslake.llm.shared import set_aside, written
 
 PER_CLASS = 3000
-TEXT_BYTES = 4096
-DICTIONARY_BYTES = 200_000
-LEVEL = 3
+DICTIONARY_BYTES = 400_000
+SEGMENT = 1024
+LEVEL = 9
 FOLDS = 5
 CUTOFF = 0.3
 
@@ -40,25 +42,20 @@ class Model:
 
 
 @lru_cache(maxsize=4)
-def _compressors(good: bytes, bad: bytes):
+def _compressor(data: bytes):
     import zstandard
 
-    def one(data: bytes | None):
-        if not data:
-            return zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
-        dictionary = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        dictionary.precompute_compress(level=LEVEL)
-        return zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=False, write_dict_id=False)
+    dictionary = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    dictionary.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=False, write_dict_id=False)
 
-    return one(good), one(bad), one(None)
 
-
-def features(texts: list[bytes], good: bytes, bad: bytes) -> np.ndarray:
-    """1, size difference by length, log size ratio, own compression, log length."""
-    with_good, with_bad, plain = _compressors(good, bad)
-    sizes = np.array([(len(t), len(with_good.compress(t)), len(with_bad.compress(t)), len(plain.compress(t))) for t in texts], float).reshape(-1, 4)
-    n, g, b, p = sizes.T
-    return np.stack([np.ones(len(n)), (b - g) / (n + 1), np.log((b + 8) / (g + 8)), p / (n + 20), np.log(n + 20) / 10], axis=1)
+def differences(texts: pd.Series, good: bytes, bad: bytes) -> np.ndarray:
+    """Bytes more under the bad dictionary than under the good one, by the square root of the length."""
+    with_good, with_bad = _compressor(good), _compressor(bad)
+    bodies = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    sizes = np.array([(len(b), len(with_good.compress(b)), len(with_bad.compress(b))) for b in bodies], float).reshape(-1, 3)
+    return (sizes[:, 2] - sizes[:, 1]) / np.sqrt(sizes[:, 0] + 20)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -74,37 +71,53 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return weights
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    out = bytearray()
-    for t in texts:
-        if len(out) + len(t) + 1 <= DICTIONARY_BYTES:
-            out += t + b"\n"
-    return bytes(out)
-
-
 def remainder(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS))
 
 
+def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, per_class: int) -> DataFrame:
+    """(label, id, text, teaches): at most per_class whole texts of each label; two fifths, one at least, teach."""
+    named = labels.filter(remainder(F.col(doc_id)) != 0).filter(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("id")).agg(F.min(label).cast("int").alias("label"))
+    there = named.join(docs.select(F.col(doc_id).alias("id")).distinct(), "id")
+    least = [F.xxhash64("id"), F.col("id")]
+    kept = written(reduce(DataFrame.union, [there.filter(F.col("label") == v).orderBy(*least).limit(per_class) for v in (0, 1)]), "quality-ids")
+    w = Window.partitionBy("label").orderBy(*least)  # over at most per_class rows a label from here on
+    parts = kept.groupBy("label").agg(F.greatest(F.floor(F.count(F.lit(1)) * 2 / 5), F.lit(1)).alias("teachers"))
+    roles = kept.withColumn("rn", F.row_number().over(w)).join(F.broadcast(parts), "label").select("id", "label", (F.col("rn") <= F.col("teachers")).alias("teaches"))
+    texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(roles), "id")
+    return written(texts.groupBy("id", "label", "teaches").agg(F.min("text").alias("text")), "quality-sample")
+
+
+def _dictionary(texts: DataFrame) -> bytes:
+    """The segments of least hash that fill the dictionary."""
+    raw = F.col("text").cast("binary")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / SEGMENT).cast("int")), lambda i: F.substring(raw, i * SEGMENT + 1, F.lit(SEGMENT)))
+    segments = texts.filter("text <> ''").select(F.explode(cut).alias("segment")).distinct()
+    rows = written(segments.orderBy(F.xxhash64("segment"), "segment").limit(4 * DICTIONARY_BYTES // SEGMENT), "quality-segments")
+    out = bytearray()
+    for r in rows.orderBy(F.xxhash64("segment"), "segment").collect():
+        if len(out) + len(r["segment"]) < DICTIONARY_BYTES:
+            out += r["segment"] + b"\n"
+    return bytes(out)
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS) -> Model:
     """Learns from labelled rows of the folds other than 0."""
-    named = labels.filter(remainder(F.col(doc_id)) != 0).filter(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("id")).agg(F.min(label).alias("label"))
-    texts: dict[int, list[bytes]] = {}
-    for value in (0, 1):
-        ids = named.filter(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(4 * per_class).select("id")
-        found = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter(F.octet_length("text") <= TEXT_BYTES).join(F.broadcast(ids), "id")
-        # cut in a task, not by every partition's first rows on the driver; then at most per_class times TEXT_BYTES
-        rows = written(found.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(per_class), "quality-sample").orderBy(F.xxhash64("id"), "id").collect()
-        texts[value] = [r["text"].encode("utf-8", "surrogatepass") for r in rows]
-    cut = {v: max(1, len(t) * 2 // 5) for v, t in texts.items()}
-    if not texts[0] or not texts[1]:
-        return Model(b"", b"")
-    good, bad = _dictionary(texts[1][: cut[1]]), _dictionary(texts[0][: cut[0]])
-    rest = texts[1][cut[1] :] + texts[0][cut[0] :]
-    if not rest:
+    sample = _sample(docs, labels, doc_id, text, label, per_class)
+    good, bad = (_dictionary(sample.filter(F.col("teaches") & (F.col("label") == value))) for value in (1, 0))
+    if not good or not bad:
+        return Model(good, bad)
+
+    @F.pandas_udf(T.DoubleType())
+    def difference(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in batches:
+            yield pd.Series(differences(series, good, bad))
+
+    rest = sample.filter("NOT teaches").select("label", difference("text").alias("d")).collect()  # numbers of at most 2 * per_class rows
+    if len({r["label"] for r in rest}) < 2:
         return Model(good, bad)
-    y = np.array([1.0] * len(texts[1][cut[1] :]) + [0.0] * len(texts[0][cut[0] :]))
-    return Model(good, bad, tuple(_logistic(features(rest, good, bad), y)))
+    x = np.array([(1.0, r["d"]) for r in rest])
+    return Model(good, bad, tuple(_logistic(x, np.array([float(r["label"]) for r in rest]))))
 
 
 def scorer(model: Model):
@@ -116,13 +129,14 @@ def scorer(model: Model):
             if not model.weights or not len(series):
                 yield pd.Series(np.full(len(series), 0.5))
                 continue
-            x = features([(t or "").encode("utf-8", "surrogatepass") for t in series], model.good, model.bad)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -30, 30))))
+            z = model.weights[0] + model.weights[1] * differences(series, model.good, model.bad)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     return score
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
+    docs, (text,) = set_aside(docs, (into,), (text,))
     return docs.withColumn(into, scorer(model)(F.col(f"`{text}`")))
 
 
