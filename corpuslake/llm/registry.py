@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from corpuslake.llm import (
+    conversation_repair,
     decontamination,
     licences,
     near_dedup,
+    periodic_runs,
     quality_classifier,
     quality_rules,
     sentence_pieces,
@@ -34,6 +36,8 @@ def queries() -> dict:
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_license_scan": licences.op9_license_scan,
         "op10_sharding": sharding.op10_sharding,
+        "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+        "op13_periodic_runs": periodic_runs.op13_periodic_runs,
         "quality_ablations": quality_rules.quality_ablations,
         "pipeline": _pipeline,
     }
