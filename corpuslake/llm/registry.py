@@ -14,6 +14,7 @@ from corpuslake.llm import (
     sharding,
     suffix_dedup,
     token_counts,
+    toxicity,
     url_filter,
 )
 
@@ -36,6 +37,7 @@ def queries() -> dict:
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_license_scan": licences.op9_license_scan,
         "op10_sharding": sharding.op10_sharding,
+        "op11_toxicity": toxicity.op11_toxicity,
         "op12_conversation_repair": conversation_repair.op12_conversation_repair,
         "op13_periodic_runs": periodic_runs.op13_periodic_runs,
         "quality_ablations": quality_rules.quality_ablations,
