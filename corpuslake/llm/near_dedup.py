@@ -1,7 +1,8 @@
 """MinHash near-dedup by an LSH forest: several sorted signature orders, whose longest-common-prefix neighbours are
 the candidates, with a depth that adapts to the region; every link is confirmed on the full shingle sets.
 
-1. Sketch. One pass gives each text its set size, a digest of the set and a signature of TREES x DEPTH minima.
+1. Sketch. One pass gives each text its set size, a digest of the set and a signature of TREES x DEPTH minima, of each
+   16 bits of its hash, so that unrelated texts of any length agree in a minimum by chance only.
    Texts with equal sets collapse into one node, whatever their number.
 2. Orders. Tree t sorts the nodes by their minima from the t-th group on, all groups in turn. Nodes that share BASE or
    more at the start form a region. In a region each node is a candidate with its NEIGHBOURS in the order and with the
@@ -62,12 +63,20 @@ def _sketch(size: int):
                     shingles = shingle_set(words, size)
                     counts[row] = len(shingles)
                     nodes[row] = _digest(shingles)
-                    signatures[row] = (maps.signature(shingles) >> np.uint32(16)).astype(np.uint16).tobytes()
+                    signatures[row] = _sixteen(maps.signature(shingles)).tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), pa.array(nodes, pa.binary()), pa.array(signatures, pa.binary())], names=["id", "text_hash", "n_shingles", "node", "signature"])
 
     return sketch
 
 
+def _sixteen(minima: np.ndarray) -> np.ndarray:
+    """16 bits of a hash of each whole minimum: the minimum of many hashes is small, so its own bits say little."""
+    with np.errstate(over="ignore"):
+        x = (minima ^ (minima >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        x = (x ^ (x >> np.uint32(12))) * np.uint32(0x297A2D39)
+    return (x >> np.uint32(16)).astype(np.uint16)
+
+
 def _digest(shingles: np.ndarray) -> bytes:
     """128 bits of a sorted set."""
     n = np.uint64(len(shingles))
