@@ -2,11 +2,11 @@
 Viterbi, and a multinomial naive Bayes scores the segmented host and the path's words.
 
 Word counts come from all page titles and all path words, token counts from all pages that a rule decides; both stay
-Spark tables of any size. Each distinct run of a host name meets the word counts at its own substrings and is segmented
-with those words only; weights are joined to the tokens of distinct hosts and distinct paths, and their sums to the pages.
+Spark tables of any size. Each distinct run of a host name meets the word counts at those of its own substrings that have
+a word's length and hash (a filter of fixed size; the join settles the rest) and is segmented with those words only; weights are joined to the tokens of distinct hosts and distinct paths, and their sums to the pages.
 
 Defined results. Null url, or one without `://`: empty host and path; no rule fits, and the naive Bayes prior decides.
-The longest fitting rule wins; of equally long ones a block. Repeated rows are each judged. An
+The longest fitting rule wins; of equally long ones a block. Hosts and paths of any length are read whole. Repeated rows are each judged. An
 input column `url_filter` stays as `url_filter_input`. Without pages of both
 verdicts, undecided pages are allowed. Laplace smoothing over the tokens
 of decided pages and one that stands for all others.
@@ -19,6 +19,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,18 +56,20 @@ class Words:
     unseen: float
 
     @cached_property
-    def longest(self) -> int:
-        return max(map(len, self.logs), default=0)
+    def sizes(self) -> list[int]:
+        return sorted(set(map(len, self.logs)))
 
     def segment(self, name: str) -> list[str]:
         best: list[tuple[float, int]] = [(0.0, 0)]
         run = (0.0, 0)  # where an unknown run that ends here starts at best: its cost is linear in its letters
         for end in range(1, len(name) + 1):
             options = [(run[0] + self.unseen - 4.0 * end, run[1])]
-            for start in range(max(0, end - self.longest), end):
-                known = self.logs.get(name[start:end])
+            for size in self.sizes:
+                if size > end:
+                    break
+                known = self.logs.get(name[end - size : end])
                 if known is not None:
-                    options.append((best[start][0] + known, start))
+                    options.append((best[end - size][0] + known, end - size))
             best.append(max(options))
             run = max(run, (best[end][0] + 4.0 * end, end))
         out, end = [], len(name)
@@ -94,38 +97,84 @@ def word_counts(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     return pages.select(F.explode(F.split(said, r"[^\p{L}]+")).alias("word")).filter("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _pieces(longest: int):
-    """(run) -> (run, word): the distinct substrings of each run that are no longer than the longest word."""
+ODD = 0x9E3779B97F4A7C15
+FILTER_BITS = 26  # the word filter has at most 2^26 bits, 8 MB
+
+
+def _rolled(codes: np.ndarray, inverse: np.ndarray, powers: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all stretches of `size` letters: polynomials modulo 2^64."""
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * powers[: len(codes)], dtype=np.uint64)])
+        x = (sums[size:] - sums[: len(sums) - size]) * inverse[: len(codes) - size + 1]
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(0, n - 1), base, np.uint64))])
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _word_filter(counts: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """(bits, a bit for the hash of each word): at most 2^FILTER_BITS bits, whatever the words."""
+    bits = min(FILTER_BITS, max(10, int(16 * n).bit_length()))
+
+    @F.pandas_udf("long")
+    def slot(words: pd.Series) -> pd.Series:
+        inverse = np.ones(1, np.uint64)
+        return pd.Series([int(_rolled(c := _codes(w), inverse, _powers(len(c), ODD), len(c))[0] >> np.uint64(64 - bits)) for w in words], dtype="int64")
+
+    masks = counts.select(slot("word").alias("s")).groupBy(F.shiftright("s", 6).alias("cell")).agg(F.expr("bit_or(shiftleft(1L, CAST(s & 63 AS INT)))").alias("mask"))
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    rows = masks.toPandas()
+    out[rows["cell"].to_numpy()] = rows["mask"].to_numpy(np.int64).view(np.uint64)
+    return bits, out
+
+
+def _pieces(sizes: list[int], bits: int, words: np.ndarray):
+    """(no, run) -> (no, word): each run's substrings that may be words - those of a length that words have whose hash
+    is in the filter."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("run", pa.string()), ("word", pa.string())])
+        schema = pa.schema([("no", pa.int64()), ("word", pa.string())])
+        inverse_base = pow(ODD, -1, 1 << 64)
         for batch in batches:
-            runs, words = [], []
-            for run in batch.column(0).to_pylist():
-                seen = set()  # holds the substrings of one length only
-                for size in range(1, min(longest, len(run)) + 1):
-                    seen.clear()
-                    for at in range(len(run) - size + 1):
-                        piece = run[at : at + size]
-                        if piece not in seen:
-                            seen.add(piece)
-                            runs.append(run)
-                            words.append(piece)
-                        if len(runs) >= 10_000 or len(runs) * len(run) > 1 << 24:
-                            yield pa.RecordBatch.from_arrays([pa.array(runs, pa.string()), pa.array(words, pa.string())], schema=schema)
-                            runs, words = [], []
-            if runs:
-                yield pa.RecordBatch.from_arrays([pa.array(runs, pa.string()), pa.array(words, pa.string())], schema=schema)
+            for no, run in zip(*[c.to_pylist() for c in batch.columns]):
+                codes = _codes(run)
+                powers, inverse = _powers(len(codes), ODD), _powers(len(codes) + 1, inverse_base)
+                found: set[str] = set()
+                for size in sizes:
+                    if size > len(codes):
+                        break
+                    at = _rolled(codes, inverse, powers, size) >> np.uint64(64 - bits)
+                    hit = (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
+                    found.update(run[i : i + size] for i in np.flatnonzero(hit).tolist())
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([no] * len(found), pa.int64()), pa.array(sorted(found), pa.string())], schema=schema)
 
     return cut
 
 
+SALTS, SHORT = 16, 3  # words of up to SHORT letters are in very many runs
+
+
 def segmented(runs: DataFrame, counts: DataFrame) -> DataFrame:
-    """(run) distinct runs of letters, (word, n) counts -> (run, words): the likeliest segmentation."""
-    whole = counts.agg(F.sum("n").alias("n"), F.max(F.length("word")).alias("longest")).first()
+    """(run) distinct runs of letters, (word, n) counts -> (run, words): the likeliest segmentation.
+
+    Rows between are (number of the run, word it holds): they grow with a run's length times the words in it, and the counts of short
+    words are met in SALTS parts."""
+    whole = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"), F.collect_set(F.length("word")).alias("sizes")).first()
     total, unseen = (whole["n"] or 0) + 1, -math.log((whole["n"] or 0) + 1)
-    met = runs.mapInArrow(_pieces(whole["longest"] or 0), "run string, word string").join(counts, "word")
-    own = met.groupBy("run").agg(F.collect_list("word").alias("known"), F.collect_list("n").alias("n"))
+    named = written(runs.withColumn("no", F.monotonically_increasing_id()), "url-runs")
+    is_short = F.length("word") <= SHORT
+    bits, words = _word_filter(counts, whole["words"])
+    met = named.select("no", "run").mapInArrow(_pieces(sorted(whole["sizes"]), bits, words), "no long, word string").withColumn("salt", F.when(is_short, F.pmod("no", F.lit(SALTS))).otherwise(0).cast("int"))
+    dealt = counts.withColumn("salt", F.explode(F.when(is_short, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    own = met.join(dealt, ["word", "salt"]).groupBy("no").agg(F.collect_list("word").alias("known"), F.collect_list("n").alias("n"))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def segment(run: pd.Series, known: pd.Series, n: pd.Series) -> pd.Series:
@@ -133,7 +182,7 @@ def segmented(runs: DataFrame, counts: DataFrame) -> DataFrame:
         out = [Words({w: math.log(c / total) for w, c in zip(*((ws, cs) if ws is not None else none))}, unseen).segment(r) for r, ws, cs in zip(run, known, n)]
         return pd.Series(out, dtype=object)
 
-    return runs.join(own, "run", "left").select("run", segment("run", "known", "n").alias("words"))
+    return named.join(own, "no", "left").select("run", segment("run", "known", "n").alias("words"))
 
 
 def host_tokens(hosts: DataFrame, counts: DataFrame) -> DataFrame:
