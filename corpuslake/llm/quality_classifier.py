@@ -2,9 +2,8 @@
 sizes under the two, by the square root of its length, is the evidence, and a logistic calibration turns it into a score.
 
 Learning reads a bounded number of rows: at most PER_CLASS labelled texts a class, those of least id hash, whole. Two
-fifths of them make the class's dictionary: all their bytes are cut in SEGMENTs, of which those of least hash fill
-DICTIONARY_BYTES (a text of any length may give some; zstandard has no use for more). The others fit the calibration, so no
-text calibrates a dictionary that holds it. Sizes are taken in tasks; only segments and differences reach the driver.
+fifths of them make the class's dictionary, every byte of them. The others fit the calibration, so no text calibrates a
+dictionary that holds it. Sizes are taken in tasks; only teaching texts and differences reach the driver.
 Every text of the table is then scored whole, in one narrow pass.
 
 Defined results. Null text: as empty. Empty texts get the score of the difference 0. Labels other than 0 and
@@ -26,9 +25,7 @@ from pyspark.sql import types as T
 
 from corpuslake.llm.shared import set_aside, written
 
-PER_CLASS = 3000
-DICTIONARY_BYTES = 400_000
-SEGMENT = 1024
+PER_CLASS = 1000
 LEVEL = 9
 FOLDS = 5
 CUTOFF = 0.3
@@ -89,16 +86,9 @@ def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: s
 
 
 def _dictionary(texts: DataFrame) -> bytes:
-    """The segments of least hash that fill the dictionary."""
-    raw = F.col("text").cast("binary")
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / SEGMENT).cast("int")), lambda i: F.substring(raw, i * SEGMENT + 1, F.lit(SEGMENT)))
-    segments = texts.filter("text <> ''").select(F.explode(cut).alias("segment")).distinct()
-    rows = written(segments.orderBy(F.xxhash64("segment"), "segment").limit(4 * DICTIONARY_BYTES // SEGMENT), "quality-segments")
-    out = bytearray()
-    for r in rows.orderBy(F.xxhash64("segment"), "segment").collect():
-        if len(out) + len(r["segment"]) < DICTIONARY_BYTES:
-            out += r["segment"] + b"\n"
-    return bytes(out)
+    """All different teaching texts, whole: a bounded number of rows."""
+    rows = texts.filter("text <> ''").select("text").distinct().orderBy(F.xxhash64("text"), "text").collect()
+    return b"".join(r["text"].encode("utf-8", "surrogatepass") + b"\n" for r in rows)
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS) -> Model:
