@@ -159,6 +159,14 @@ def sync(chunks: DataFrame, docs: DataFrame, changes: DataFrame, as_of: Column)
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 
+def sync_table(table, docs: DataFrame, changes: DataFrame, as_of: Column, batch: tuple[str, int] | None = None) -> int:
+    """sync() on a chunk table that is a sources.keyed.KeyedTable by parent_file: the changed files' chunks, or none for
+    those that vanished, are all that is written, in one version; a batch that comes again changes nothing."""
+    paths = changes.select("path").distinct()
+    fresh = chunk_rows(parsed(docs.join(paths, "path", "left_semi")), as_of)
+    return table.replace(fresh, paths.select(F.col("path").alias("parent_file")), batch)
+
+
 def secrets(content: Column, patterns: tuple = SECRETS) -> Column:
     """Names of the secret shapes that occur."""
     return F.array_compact(F.array(*[F.when(content.rlike(p), name) for name, p in patterns]))

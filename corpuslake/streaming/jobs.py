@@ -113,6 +113,16 @@ def index_sync_handler(read_chunks: Callable[[], DataFrame], read_docs: Callable
     return handle
 
 
+def keyed_sync_handler(table, read_docs: Callable[[], DataFrame], as_of, name: str = "index") -> Callable[[DataFrame, int], None]:
+    """Changed paths -> their chunks in a keyed chunk table (R6): a batch writes its own files' chunks only, and one that
+    comes again writes nothing."""
+
+    def handle(changes: DataFrame, batch: int) -> None:
+        ingest.sync_table(table, read_docs(), changes, as_of, (name, batch))
+
+    return handle
+
+
 def distinct_stream(rows: DataFrame, keys: list[str], ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """Rows without repeats of their key within the watermark."""
     return rows.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
