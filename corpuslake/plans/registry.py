@@ -1,6 +1,6 @@
 """Names of the registered queries: {name: (spark, sf_dir) -> DataFrame} and their DuckDB twins."""
 
-from corpuslake.plans import conversations, details, keyed, lifecycle, reports, search, streams, tasks
+from corpuslake.plans import conversations, details, indexes, keyed, lifecycle, reports, search, streams, tasks
 from corpuslake.plans.base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "conversations", "details", "keyed", "lifecycle", "reports", "search", "streams", "tasks"]
+__all__ = ["ORACLE_SQL", "QUERIES", "conversations", "details", "indexes", "keyed", "lifecycle", "reports", "search", "streams", "tasks"]
