@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions.text import links
+from corpuslake.sources.tables import new_path, written
 
 # Operations and trigger modes with their letters.
 OPERATIONS = {"create": "C", "edit": "E", "delete": "D", "move": "M", "user": "U"}
@@ -161,15 +162,37 @@ def edges(docs: DataFrame, source: str = "path", content: str = "content") -> Da
     return docs.select(F.col(source).alias("src"), F.explode(links(F.col(content))).alias("dst"))
 
 
+HUB_EDGES = 100_000  # edges of a node that one task follows
+
+
+def _dealt(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges with a chunk, nodes of several chunks with their number)."""
+    hubs = graph.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / HUB_EDGES).cast("int").alias("chunks")).filter("chunks > 1")
+    return graph.join(hubs, "src", "left").select("src", "dst", F.pmod(F.xxhash64("dst"), F.coalesce("chunks", F.lit(1))).cast("int").alias("chunk")), hubs
+
+
 def reachable(graph: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(start, node, depth): nodes at most so many links away, at their least depth (J10). `start` has one column."""
-    seen = start.select(F.col(start.columns[0]).alias("start"), F.col(start.columns[0]).alias("node"), F.lit(0).alias("depth"))
-    front = seen
+    """(start, node, depth): nodes at most so many links away, at their least depth (J10). `start` has one column.
+
+    Each round's frontier is written, so a round's plan holds the edges, one frontier and one scan of what was seen, at any depth;
+    a hub's edges are followed in chunks. It ends early when a round finds nothing. Null nodes lead nowhere."""
+    spark = graph.sparkSession
+    path = new_path(spark, "reached")
+    graph = graph.filter("src IS NOT NULL AND dst IS NOT NULL")
+    edges, hubs = (written(x, name) for x, name in zip(_dealt(graph), ("reach-edges", "reach-hubs")))
+    first = start.select(F.col(start.columns[0]).alias("start"), F.col(start.columns[0]).alias("node"), F.lit(0).alias("depth")).distinct()
+    first.write.parquet(f"{path}/0")
+    seen = lambda rounds: spark.read.schema(first.schema).parquet(*[f"{path}/{r}" for r in rounds])
+    done = 0
     for d in range(1, depth + 1):
-        nexts = front.select("start", F.col("node").alias("src")).join(graph, "src").select("start", F.col("dst").alias("node")).distinct()
-        front = nexts.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionByName(front)
-    return seen.filter("depth > 0")
+        asked = seen([d - 1]).select("start", F.col("node").alias("src")).join(hubs, "src", "left")
+        asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1))).drop("chunks")
+        nexts = asked.join(edges, ["src", "chunk"]).select("start", F.col("dst").alias("node")).distinct()
+        nexts.join(seen(range(d)), ["start", "node"], "left_anti").withColumn("depth", F.lit(d)).write.parquet(f"{path}/{d}")
+        done = d
+        if seen([d]).isEmpty():
+            break
+    return seen(range(1, done + 1)) if done else seen([0]).limit(0)
 
 
 def result_summary(hits: DataFrame) -> DataFrame:
