@@ -33,8 +33,8 @@ LINES_SQL = "SELECT CAST(conv_id AS VARCHAR) AS session_id, row_number() OVER (P
 
 @query("s3_transcript_source", f"SELECT * FROM ({LINES_SQL}) WHERE role IN ('user', 'assistant')")
 def transcript_source(spark, sf_dir):
-    """Files in ranges of 2,000 bytes, so that most are read by several tasks; parsed as messages."""
-    lines = files.numbered(files.transcript_lines(spark, _transcripts(spark, sf_dir), range_bytes=2000))
+    """Files in ranges of 256 KB, short ones several to a task; parsed as messages."""
+    lines = files.numbered(files.transcript_lines(spark, _transcripts(spark, sf_dir), range_bytes=1 << 18))
     return talk.messages(lines).select("session_id", "line_idx", "role", "text")
 
 

@@ -7,7 +7,8 @@ Both work on any store that Arrow's file systems open by its URI (local, HDFS, S
 
 Transcripts. A file `<session>.jsonl` is a session. Rows are (session_id, start_byte, range_start, raw), a line each; `start_byte`
 orders a session's lines and never changes while the file grows. A range is `range_bytes` long at most; a line belongs to the range in which it
-begins, so files of any size are many tasks and none reads what another emits. A stream's offset has, for each session, the end
+begins, so files of any size are many tasks and none reads what another emits;
+short files share a task. A stream's offset has, for each session, the end
 of its last whole line; a line without its end waits. `start` is a JSON object session -> byte where reading begins, which an earlier
 run's `next_bytes` gives. A file that got shorter gives nothing until it is longer again. Missing folders are empty.
 
@@ -42,7 +43,7 @@ def opened(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     session: str
     path: str
     first: int  # reading begins at this byte, which begins a line
@@ -51,6 +52,26 @@ class Range(InputPartition):
     limit: int  # no line reaches beyond it
 
 
+@dataclass
+class Bundle(InputPartition):
+    """Ranges that one task reads: one of full length, or several short ones."""
+
+    ranges: list[Range]
+
+
+def _bundled(ranges: list[Range], most: int) -> list[InputPartition]:
+    out: list[Bundle] = []
+    held = most
+    for r in ranges:
+        size = r.end - r.start
+        if held + size > most:
+            out.append(Bundle([]))
+            held = 0
+        out[-1].ranges.append(r)
+        held += size
+    return out or [Bundle([])]
+
+
 def _last_line_end(fs: pafs.FileSystem, path: str, low: int, size: int) -> int:
     """The byte after the last line end in [low, size), or low; the tail is read in steps."""
     with fs.open_input_file(path) as f:
@@ -132,11 +153,11 @@ class _BatchReader(DataSourceReader):
         self.of = _Transcripts(options)
 
     def partitions(self) -> list[InputPartition]:
-        return [r for s, (path, size) in sorted(self.of.sizes().items()) for r in self.of.ranges(s, path, self.of.start.get(s, 0), size)] or [Range("", "", 0, 0, 0, 0)]
+        return _bundled([r for s, (path, size) in sorted(self.of.sizes().items()) for r in self.of.ranges(s, path, self.of.start.get(s, 0), size)], self.of.range_bytes)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if partition.limit:
-            yield from self.of.lines(partition)
+    def read(self, partition: Bundle) -> Iterator[pa.RecordBatch]:
+        for part in partition.ranges:
+            yield from self.of.lines(part)
 
 
 class _StreamReader(DataSourceStreamReader):
@@ -158,11 +179,11 @@ class _StreamReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         _, root = opened(self.of.root)
         first = {s: start.get(s, self.of.start.get(s, 0)) for s in end}  # a session that no offset has named yet
-        return [r for s, limit in sorted(end.items()) if limit > first[s] for r in self.of.ranges(s, posixpath.join(root, s + ENDING), first[s], limit)] or [Range("", "", 0, 0, 0, 0)]
+        return _bundled([r for s, limit in sorted(end.items()) if limit > first[s] for r in self.of.ranges(s, posixpath.join(root, s + ENDING), first[s], limit)], self.of.range_bytes)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if partition.limit:
-            yield from self.of.lines(partition)
+    def read(self, partition: Bundle) -> Iterator[pa.RecordBatch]:
+        for part in partition.ranges:
+            yield from self.of.lines(part)
 
 
 class Transcripts(DataSource):
