@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslake.functions.text import jaccard, token_set, truncated
+from corpuslake.functions.text import token_set, truncated
+from corpuslake.operators import similarity
 from corpuslake.options import Mining
+from corpuslake.sources.tables import written
 
 MOST_FILES = 10
 NO_FILES_FROM = ("Bash", "WebSearch", "WebFetch")
@@ -147,28 +149,20 @@ def fresh_worklogs(new: DataFrame, stored: DataFrame, session: str = "session_id
     """(kept, dropped): a new worklog goes if a stored one of its session, or a new one before it (by at, then key), is as
     similar as that (J7, V5, X19). Its score is that of its nearest such worklog, null where none is similar enough.
 
-    Equal word sets are one; the others meet at the words of a prefix that alike sets must share, the rarer words of a
-    session first, so no session is paired whole."""
+    Equal word sets are one; different ones are found by the similarity join within the session, stored ones not among
+    each other. Worklogs without words stay."""
     words = F.array_sort(token_set(F.col("task_summary")))
+    types = new.schema[at or key].dataType, new.schema[key].dataType
     place = lambda is_new, a, k: F.struct(F.lit(is_new).alias("new"), a.alias("at"), k.alias("key"))
-    kinds = new.schema[at or key].dataType, new.schema[key].dataType
-    named = lambda rows, where: rows.withColumn("__place", where).withColumn("__set", F.sha2(F.array_join(words, " "), 256)).withColumn("__words", words)
+    named = lambda rows, where: rows.withColumns({"__place": where, "__words": words}).withColumn("__set", F.sha2(F.array_join("__words", " "), 256))
     fresh = named(new, place(1, F.col(at or key), F.col(key)))
-    known = named(stored, place(0, F.lit(None).cast(kinds[0]), F.lit(None).cast(kinds[1])))
-    columns = [F.col(session).alias("__s"), "__set", "__words", "__place"]
-    sets = fresh.select(*columns).union(known.select(*columns)).groupBy("__s", "__set").agg(F.min("__place").alias("first"), F.any_value("__words").alias("__words")).filter(F.size("__words") > 0)
-    each = sets.select("__s", "__set", "first", F.size("__words").alias("n"), F.explode("__words").alias("word"))
-    uses = each.groupBy("__s", "word").agg(F.count(F.lit(1)).alias("uses"))
-    w = Window.partitionBy("__s", "__set").orderBy("uses", "word")
-    prefix = each.join(uses, ["__s", "word"]).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
-    a = prefix.select("__s", "word", F.col("__set").alias("a"), F.col("n").alias("na"), F.col("first").alias("fa"))
-    b = prefix.select("__s", "word", F.col("__set").alias("b"), F.col("n").alias("nb"), F.col("first").alias("fb"))
-    near = (F.col("fa") < F.col("fb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)
-    pairs = a.join(b, ["__s", "word"]).filter(near).select("__s", "a", "b").distinct()
-    full = sets.select("__s", "__set", "__words")
-    scored = pairs.join(full.withColumnsRenamed({"__set": "a", "__words": "wa"}), ["__s", "a"]).join(full.withColumnsRenamed({"__set": "b", "__words": "wb"}), ["__s", "b"])
-    best = scored.withColumn("score", jaccard(F.col("wa"), F.col("wb"))).filter(F.col("score") >= least).groupBy("__s", F.col("b").alias("__set")).agg(F.max("score").alias("__score"))
-    firsts = sets.select("__s", "__set", "first").join(best, ["__s", "__set"], "left").withColumnsRenamed({"__s": "__of", "__set": "__in"})
+    known = named(stored, place(0, F.lit(None).cast(types[0]), F.lit(None).cast(types[1])))
+    columns = [F.col(session).alias("within"), "__set", "__words", "__place"]
+    sets = fresh.select(*columns).union(known.select(*columns)).groupBy("within", "__set").agg(F.min("__place").alias("first"), F.any_value("__words").alias("words"), F.count(F.lit(1)).alias("n"))
+    sets = written(sets.filter(F.size("words") > 0).withColumn("kind", F.struct("first", "__set")), "worklog-sets")
+    before = lambda a, b: (b["first"]["new"] == 1) & (a["first"] < b["first"])
+    near = similarity.links(sets, least, before).groupBy("within", F.col("b").alias("kind")).agg(F.max("similarity").alias("__score"))
+    firsts = sets.select("within", "__set", "first", "kind").join(near, ["within", "kind"], "left").select(F.col("within").alias("__of"), F.col("__set").alias("__in"), "first", "__score")
     met = fresh.join(firsts, (F.col(session) == F.col("__of")) & (F.col("__set") == F.col("__in")), "left")
     judged = met.select(*[F.col(f"`{c}`") for c in new.columns], F.when(F.col("first") < F.col("__place"), 1.0).otherwise(F.col("__score")).alias("score"))
     return judged.filter(F.coalesce("score", F.lit(0.0)) < least), judged.filter(F.col("score") >= least)

@@ -22,3 +22,34 @@ def test_similarity_equals_all_pairs(spark):
         pairs = similarity.links(similarity.kinds(df, "id", "text", "box"), least).collect()
         assert len({(r.within, r.a, r.b) for r in pairs}) == len(pairs)
     assert similarity.linked(df.limit(0), "id", "text", "box", 0.7).count() == 0
+
+
+def test_hot_word_is_dealt_in_cells_and_no_pair_is_lost(spark):
+    """Every set has the same two words, so they are all that some prefixes hold; cells of 8 give what one block gives."""
+    rng = random.Random(3)
+    rows = [(i, "a", " ".join(["x", "y"] + [f"w{rng.randrange(14)}" for _ in range(rng.randint(0, 6))])) for i in range(150)]
+    sets = similarity.kinds(spark.createDataFrame(rows, "id int, box string, text string"), "id", "text", "box")
+    words = {r.kind: set(r.words) for r in sets.collect()}
+    for least in (0.3, 0.6, 0.8):
+        true = {(a, b) for a in words for b in words if a < b and len(words[a] & words[b]) / len(words[a] | words[b]) >= least}
+        for block in (8, 4096):
+            got = [(r.a, r.b) for r in similarity.links(sets, least, block=block).collect()]
+            assert len(got) == len(set(got)) and set(got) == true, (least, block)
+
+
+def test_filters_leave_few_pairs_of_a_common_word(spark):
+    """1,500 different sets of six words that share four: their two rare words differ, so nearly none is compared in full."""
+    rows = [(i, "a", f"p q r s u{i} v{i}") for i in range(1500)] + [(2000 + i, "a", f"p q r s u{i} z{i}") for i in range(40)]
+    sets = similarity.kinds(spark.createDataFrame(rows, "id int, box string, text string"), "id", "text", "box")
+    assert similarity.candidates(similarity.prefix_index(sets, 0.7), 0.7).count() == 40
+    assert similarity.links(sets, 0.7).count() == 40
+    assert similarity.links(sets, 0.7, lambda a, b: b < 2010).count() == 10
+
+
+def test_cells_of_a_planted_common_word_are_even(spark):
+    """A word that everyone uses is dealt in cells: the largest holds less than five times the median on either side."""
+    rows = [(i, "a", f"all n{i % 40} m{i // 40}") for i in range(4000)]
+    sets = similarity.kinds(spark.createDataFrame(rows, "id int, box string, text string"), "id", "text", "box")
+    for side in similarity._sides(similarity.prefix_index(sets, 0.3), 0.3, 64):
+        held = sorted(r["count"] for r in side.filter("word = 'all'").groupBy("i", "j", "band").count().collect())
+        assert len(held) > 1000 and held[-1] < 5 * held[len(held) // 2]
