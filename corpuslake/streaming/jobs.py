@@ -123,6 +123,16 @@ def keyed_sync_handler(table, read_docs: Callable[[], DataFrame], as_of, name: s
     return handle
 
 
+def near_repeat_handler(store) -> Callable[[DataFrame, int], None]:
+    """Vectors as they come -> which of them repeat a stored row or an earlier one of their batch (R7, J6); a batch that
+    comes again replaces what it wrote."""
+
+    def handle(rows: DataFrame, batch: int) -> None:
+        store.add(rows, batch)
+
+    return handle
+
+
 def distinct_stream(rows: DataFrame, keys: list[str], ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """Rows without repeats of their key within the watermark."""
     return rows.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
