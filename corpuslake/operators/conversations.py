@@ -13,8 +13,6 @@ from corpuslake.sources.tables import written
 MOST_FILES = 10
 NO_FILES_FROM = ("Bash", "WebSearch", "WebFetch")
 ACTIVITIES = ("coding", "debugging", "planning", "research", "review", "writing", "configuration", "discussion", "other")
-_MESSAGE = "STRUCT<type: STRING, message: STRUCT<content: STRING, usage: STRUCT<input_tokens: BIGINT, output_tokens: BIGINT>>>"
-_BLOCKS = "ARRAY<STRUCT<type: STRING, text: STRING, name: STRING, input: STRUCT<file_path: STRING, relative_path: STRING, path: STRING>>>"
 
 
 def lines_of(files: DataFrame, start: int = 0, most: int = 500) -> DataFrame:
@@ -24,20 +22,48 @@ def lines_of(files: DataFrame, start: int = 0, most: int = 500) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= most).drop("rn")
 
 
+def _got(value: Column | str, at: str, kind: str) -> Column:
+    return F.try_variant_get(F.col(value) if isinstance(value, str) else value, at, kind)
+
+
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """Transcript lines with their JSON value as a VARIANT column `value` (null: not JSON, or a key occurs twice in one
+    object). Written as Parquet, the value is shredded, and messages() then reads only the fields that it needs."""
+    return lines.withColumn("value", F.try_parse_json("raw"))
+
+
 def messages(lines: DataFrame) -> DataFrame:
-    """Transcript lines as messages (X20): role, text, tools, files, tokens; other lines and bad JSON go."""
-    parsed = lines.withColumn("m", F.from_json("raw", _MESSAGE)).filter(F.col("m.type").isin("user", "assistant"))
-    blocks = F.from_json("m.message.content", _BLOCKS)
-    is_blocks = F.col("m.message.content").startswith("[")
-    said = F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: F.coalesce(b["text"], F.lit(""))), "\n")
-    uses = F.filter(blocks, lambda b: b["type"] == "tool_use")
-    files = F.transform(F.filter(uses, lambda b: ~F.coalesce(b["name"], F.lit("")).isin(*NO_FILES_FROM)), lambda b: F.coalesce(b["input"]["file_path"], b["input"]["relative_path"], b["input"]["path"]))
-    return parsed.select(
-        "session_id", "line_idx", F.col("m.type").alias("role"), F.trim(F.when(is_blocks, said).otherwise(F.coalesce("m.message.content", F.lit("")))).alias("text"),
-        F.coalesce(F.array_distinct(F.transform(uses, lambda b: F.coalesce(b["name"], F.lit("unknown")))), F.expr("CAST(array() AS ARRAY<STRING>)")).alias("tools"),
-        F.coalesce(F.array_distinct(F.filter(files, lambda f: f.isNotNull())), F.expr("CAST(array() AS ARRAY<STRING>)")).alias("files"),
-        F.coalesce("m.message.usage.input_tokens", F.lit(0)).alias("input_tokens"), F.coalesce("m.message.usage.output_tokens", F.lit(0)).alias("output_tokens"),
+    """Transcript lines, raw or from parsed_lines(), as messages (X20): role, text, tools, files, tokens, and the blocks that are
+    `malformed` (no object with a type), as JSON. Content is a text, whatever it begins with, or a list of blocks; other
+    lines and bad JSON go (line_errors() has the latter). A line is parsed once."""
+    read = lines if "value" in lines.columns else parsed_lines(lines)
+    block = lambda b: F.struct(
+        _got(b, "$.type", "string").alias("type"), F.coalesce(_got(b, "$.text", "string"), F.lit("")).alias("text"), _got(b, "$.name", "string").alias("name"),
+        F.array_remove(F.array_compact(F.array(*[_got(b, f"$.input.{key}", "string") for key in ("file_path", "relative_path", "path")])), "").alias("files"), b.alias("whole"),
+    )
+    fields = read.select(
+        "session_id", "line_idx", _got("value", "$.type", "string").alias("role"), F.transform(_got("value", "$.message.content", "array<variant>"), block).alias("blocks"),
+        F.coalesce(_got("value", "$.message.content", "string"), F.lit("")).alias("plain"),
+        *[F.coalesce(_got("value", f"$.message.usage.{key}", "bigint"), F.lit(0)).alias(key) for key in ("input_tokens", "output_tokens")],
     )
+    said = F.array_join(F.transform(F.filter("blocks", lambda b: b["type"] == "text"), lambda b: b["text"]), "\n")
+    uses = F.filter("blocks", lambda b: b["type"] == "tool_use")
+    files = F.flatten(F.transform(F.filter(uses, lambda b: ~F.coalesce(b["name"], F.lit("")).isin(*NO_FILES_FROM)), lambda b: b["files"]))
+    none = F.expr("CAST(array() AS ARRAY<STRING>)")
+    message = F.struct(
+        "role", F.trim(F.when(F.col("blocks").isNotNull(), said).otherwise(F.col("plain"))).alias("text"),
+        F.coalesce(F.array_distinct(F.transform(uses, lambda b: F.coalesce(b["name"], F.lit("unknown")))), none).alias("tools"),
+        F.coalesce(F.array_distinct(files), none).alias("files"), "input_tokens", "output_tokens",
+        F.coalesce(F.transform(F.filter("blocks", lambda b: b["type"].isNull()), lambda b: F.to_json(b["whole"])), none).alias("malformed"),
+    )
+    # a filter on the role alone would be pushed below the parsing and parse again
+    kept = fields.select("session_id", "line_idx", F.inline_outer(F.when(F.col("role").isin("user", "assistant"), F.array(message))))
+    return kept.filter(F.col("role").isNotNull())
+
+
+def line_errors(lines: DataFrame) -> DataFrame:
+    """(session_id, line_idx, raw) of the lines that are not JSON."""
+    return parsed_lines(lines).filter(F.col("value").isNull() & (F.trim("raw") != "")).select("session_id", "line_idx", "raw")
 
 
 def turns(said: DataFrame, session: str = "session_id", at: str = "line_idx") -> DataFrame:
@@ -124,25 +150,54 @@ def turn_requests(turn_rows: DataFrame, project: Column, branch: Column, session
     return turn_rows.select(session, "turn_no", prompt.alias("prompt"))
 
 
+def _answer() -> Column:
+    """A response without its fence, as VARIANT; null if it is not JSON."""
+    return F.try_parse_json(F.regexp_replace(F.trim("raw_json"), r"\A```(?:json)?\s*|\s*```\z", ""))
+
+
+def _texts(value: Column, at: str) -> Column:
+    return F.coalesce(_got(value, at, "array<string>"), F.expr("CAST(array() AS ARRAY<STRING>)"))
+
+
+def _observed(responses: DataFrame, session: str) -> DataFrame:
+    """(session, answer, items): the list form or the single form as one list of VARIANT."""
+    read = responses.select(session, "raw_json", _answer().alias("answer"))
+    single = F.when(_got("answer", "$.has_observation", "boolean"), F.array("answer"))
+    return read.select(session, "raw_json", "answer", F.coalesce(_got("answer", "$.observations", "array<variant>"), single).alias("items"))
+
+
 def observations(responses: DataFrame, session: str = "session_id", most: int = Mining().most_observations) -> DataFrame:
     """Responses -> at most three observations each (X22): the list form or the single form, fences stripped, scores
-    clamped, scopes checked."""
-    body = F.regexp_replace(F.trim("raw_json"), r"\A```(?:json)?\s*|\s*```\z", "")
-    item = "STRUCT<content: STRING, importance_score: STRING, tags: ARRAY<STRING>, scope: STRING>"
-    r = responses.withColumn("r", F.from_json(body, f"STRUCT<observations: ARRAY<{item}>, has_observation: BOOLEAN, content: STRING, importance_score: STRING, tags: ARRAY<STRING>, scope: STRING>"))
-    single = F.when(F.col("r.has_observation"), F.array(F.struct(F.col("r.content").alias("content"), F.col("r.importance_score").alias("importance_score"), F.col("r.tags").alias("tags"), F.col("r.scope").alias("scope"))))
-    rows = r.select(session, F.posexplode(F.slice(F.filter(F.coalesce("r.observations", single), lambda o: F.trim(o["content"]) != ""), 1, most)).alias("n", "o"))
-    score = F.least(F.greatest(F.coalesce(F.col("o.importance_score").try_cast("double"), F.lit(0.5)), F.lit(0.0)), F.lit(1.0))
-    return rows.select(session, "n", F.trim("o.content").alias("content"), score.alias("importance_score"), F.coalesce("o.tags", F.expr("CAST(array() AS ARRAY<STRING>)")).alias("tags"), F.when(F.col("o.scope").isin("global", "project"), F.col("o.scope")).otherwise("").alias("scope"))
+    clamped, scopes checked. A response is parsed once; what can't be read is in response_errors()."""
+    item = lambda o: F.struct(
+        F.trim(_got(o, "$.content", "string")).alias("content"), _got(o, "$.importance_score", "string").alias("score"), _texts(o, "$.tags").alias("tags"), _got(o, "$.scope", "string").alias("scope"),
+    )
+    read = _observed(responses, session).select(session, F.transform("items", item).alias("items"))
+    rows = read.select(session, F.posexplode_outer(F.slice(F.filter("items", lambda o: o["content"] != ""), 1, most)).alias("n", "o")).filter(F.col("o").isNotNull())
+    score = F.least(F.greatest(F.coalesce(F.col("o.score").try_cast("double"), F.lit(0.5)), F.lit(0.0)), F.lit(1.0))
+    return rows.select(session, "n", F.col("o.content").alias("content"), score.alias("importance_score"), F.col("o.tags").alias("tags"), F.when(F.col("o.scope").isin("global", "project"), F.col("o.scope")).otherwise("").alias("scope"))
+
+
+def response_errors(responses: DataFrame, session: str = "session_id") -> DataFrame:
+    """(session, error, found) of responses that are not JSON, and of observations without a content, as JSON. Blank
+    responses are no errors."""
+    bad = F.filter("items", lambda o: _got(o, "$.content", "string").isNull())
+    error = lambda name, found: F.struct(F.lit(name).alias("error"), found.alias("found"))
+    broken = F.when(F.col("answer").isNull() & (F.trim("raw_json") != ""), F.array(error("not JSON", F.col("raw_json"))))
+    all_of = F.coalesce(broken, F.transform(bad, lambda o: error("no content", F.to_json(o))))
+    return _observed(responses, session).select(session, F.inline_outer(all_of)).filter(F.col("error").isNotNull())
 
 
 def worklogs(responses: DataFrame, session: str = "session_id") -> DataFrame:
-    """Responses -> at most one worklog each, with defaults."""
-    body = F.regexp_replace(F.trim("raw_json"), r"\A```(?:json)?\s*|\s*```\z", "")
-    item = "STRUCT<task_summary: STRING, workstream: STRING, activity_type: STRING, tags: ARRAY<STRING>>"
-    r = responses.withColumn("r", F.from_json(body, f"STRUCT<worklog: {item}, worklogs: ARRAY<{item}>>")).withColumn("w", F.coalesce("r.worklog", F.get("r.worklogs", F.lit(0))))
-    kept = r.filter(F.trim("w.task_summary") != "")
-    return kept.select(session, F.trim("w.task_summary").alias("task_summary"), F.coalesce(F.nullif(F.trim("w.workstream"), F.lit("")), F.lit("misc")).alias("workstream"), F.when(F.col("w.activity_type").isin(*ACTIVITIES), F.col("w.activity_type")).otherwise("other").alias("activity_type"), F.coalesce("w.tags", F.expr("CAST(array() AS ARRAY<STRING>)")).alias("tags"))
+    """Responses -> at most one worklog each, with defaults (X23). A response is parsed once."""
+    read = responses.select(session, _answer().alias("answer"))
+    one = read.select(session, F.coalesce(*[_got("answer", at, "variant") for at in ("$.worklog", "$.worklogs[0]")]).alias("w"))
+    stream, activity = F.trim(_got("w", "$.workstream", "string")), _got("w", "$.activity_type", "string")
+    log = F.struct(
+        F.trim(_got("w", "$.task_summary", "string")).alias("task_summary"), F.coalesce(F.nullif(stream, F.lit("")), F.lit("misc")).alias("workstream"),
+        F.when(activity.isin(*ACTIVITIES), activity).otherwise("other").alias("activity_type"), _texts(F.col("w"), "$.tags").alias("tags"),
+    )
+    return one.select(session, F.inline_outer(F.array(log))).filter(F.col("task_summary") != "")
 
 
 def fresh_worklogs(new: DataFrame, stored: DataFrame, session: str = "session_id", least: float = 0.7, key: str = "worklog_id", at: str | None = None) -> tuple[DataFrame, DataFrame]:

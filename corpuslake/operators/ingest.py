@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corpuslake.functions import ids, scoring, text
@@ -19,9 +19,13 @@ _PIECES = "ARRAY<STRUCT<heading: STRING, level: INT, body: STRING>>"
 
 def parsed(docs: DataFrame) -> DataFrame:
     """(path, content) with format, front matter map, body and title (S2, X10-X14, X17); other formats go."""
+    kept = docs.filter(text.file_format(F.col("path")).isNotNull() & (F.trim("content") != ""))
+    return _read(kept)
+
+
+def _read(docs: DataFrame) -> DataFrame:
     fmt = text.file_format(F.col("path"))
-    kept = docs.withColumn("fmt", fmt).filter(F.col("fmt").isNotNull() & (F.trim("content") != ""))
-    read = kept.withColumn("front", text.front_matter(F.col("content"), F.col("fmt"))).withColumn("body", text.strip_front_matter(F.col("content"), F.col("fmt")))
+    read = docs.withColumn("fmt", fmt).withColumn("front", text.front_matter(F.col("content"), F.col("fmt"))).withColumn("body", text.strip_front_matter(F.col("content"), F.col("fmt")))
     return read.withColumn("title", text.title(F.col("body"), F.col("path"), F.col("fmt")))
 
 
@@ -115,8 +119,8 @@ def with_chunks(docs: DataFrame, options: Chunking = Chunking(), into: str = "pi
     return read.withColumn(into, out).select(*[F.col(f"`{c}`") for c in docs.columns], into)
 
 
-def chunk_rows(docs: DataFrame, as_of: Column, scoring_options: Scoring = Scoring(), options: Chunking = Chunking()) -> DataFrame:
-    """Parsed documents as rows of the chunk table: ids, metadata and importance."""
+def chunk_rows(docs: DataFrame, as_of: Column, scoring_options: Scoring = Scoring(), options: Chunking = Chunking(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Parsed documents as rows of the chunk table: ids, metadata and importance (X16, X2, M1), and the columns to keep."""
     directory = top_directory(F.col("path"))
     types = F.create_map(*[F.lit(x) for kv in DIRECTORY_TYPES.items() for x in kv])
     vault_type = F.coalesce(F.try_element_at("front", F.lit("type")), F.try_element_at(types, directory), F.nullif(directory, F.lit("")), F.lit("document"))
@@ -130,22 +134,47 @@ def chunk_rows(docs: DataFrame, as_of: Column, scoring_options: Scoring = Scorin
         F.array_remove(F.split(F.coalesce(F.try_element_at("front", F.lit("tags")), F.lit("")), ","), "").alias("tags"),
         F.coalesce(stated, F.lit("medium")).alias("importance"),
         F.round(scoring.importance_with(F.col("concepts"), vault_type, stated, created, F.lit(0), as_of, scoring_options), 4).alias("importance_score"),
-        "chunk_index", F.col("total").alias("chunk_total"), F.col("piece.heading").alias("chunk_heading"), F.col("piece.body").alias("content"), created.alias("created_at"),
+        "chunk_index", F.col("total").alias("chunk_total"), F.col("piece.heading").alias("chunk_heading"), F.col("piece.body").alias("content"), created.alias("created_at"), *keep,
+    )
+
+
+#: What can become of a document in a rebuild.
+OUTCOMES = ("indexed", "skipped", "error: no path", "error: unknown format", "error: no content", "error: blank")
+
+
+def _outcome(include_sensitive: bool) -> Column:
+    path, content = F.col("path"), F.col("content")
+    return (
+        F.when(path.isNull(), "error: no path").when(~indexable(path, include_sensitive), "skipped").when(text.file_format(path).isNull(), "error: unknown format")
+        .when(content.isNull(), "error: no content").when(F.trim(content) == "", "error: blank").otherwise("indexed")
     )
 
 
 def rebuilt(docs: DataFrame, as_of: Column, include_sensitive: bool = False) -> tuple[DataFrame, DataFrame]:
     """(chunk table, what became of each document) of a full rebuild (M3): indexed, skipped directory, blank, unknown format,
     no path, or no content. Every document has one outcome."""
-    fmt = text.file_format(F.col("path"))
-    outcome = (
-        F.when(F.col("path").isNull(), "error: no path").when(~indexable(F.col("path"), include_sensitive), "skipped").when(fmt.isNull(), "error: unknown format")
-        .when(F.col("content").isNull(), "error: no content").when(F.trim("content") == "", "error: blank").otherwise("indexed")
-    )
-    judged = docs.withColumn("outcome", outcome)
+    judged = docs.withColumn("outcome", _outcome(include_sensitive))
     return chunk_rows(parsed(judged.filter("outcome = 'indexed'").drop("outcome")), as_of), judged.select("path", "outcome")
 
 
+def rebuilt_into(docs: DataFrame, path: str, as_of: Column, include_sensitive: bool = False) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """rebuilt() as one job over one scan (M3): chunks and documents that failed are two folders of the table at `path`, and
+    the counts by outcome, of documents and of chunks come from the job itself.
+
+    Gives (chunk table, (path, outcome) of documents not indexed, counts). The job has no shuffle, so a task that runs
+    again is counted once. A document that is not indexed is one row without content."""
+    of_documents, of_rows = Observation(), Observation()
+    counted = [F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES]
+    judged = docs.select("path", "content").withColumn("outcome", _outcome(include_sensitive)).observe(of_documents, F.count(F.lit(1)).alias("documents"), *counted)
+    good = F.col("outcome") == "indexed"
+    rows = chunk_rows(_read(judged.withColumn("content", F.when(good, F.col("content")))), as_of, keep=("outcome",))
+    rows = rows.observe(of_rows, F.count_if(good).alias("chunks")).withColumn("part", F.when(good, "chunks").otherwise("failed"))
+    rows.write.partitionBy("part").parquet(path)
+    stored = docs.sparkSession.read.schema(rows.schema).parquet(path)
+    chunks = stored.filter("part = 'chunks'").drop("part", "outcome")
+    return chunks, stored.filter("part = 'failed'").select(F.col("parent_file").alias("path"), "outcome"), {**of_documents.get, **of_rows.get}
+
+
 def not_indexed(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """Documents without a chunk."""
     return docs.join(chunks.select(F.col("parent_file").alias("path")).distinct(), "path", "left_anti")

@@ -42,13 +42,43 @@ def transcript_lines(spark, sf_dir):
     return talk.lines_of(rows, 1, 500)
 
 
-@query("x20_messages", "SELECT conv_id AS session_id, turn AS line_idx, role, trim(text) AS text, len(string_split(text, ' ')) AS output_tokens, 'Read' AS tool, 'f' || (turn % 3) AS file FROM conversations WHERE role = 'assistant'")
-def message_parsing(spark, sf_dir):
+X20_SQL = "SELECT conv_id AS session_id, turn AS line_idx, role, trim(text) AS text, len(string_split(text, ' ')) AS output_tokens, 'Read' AS tool, 'f' || (turn % 3) AS file FROM conversations WHERE role = 'assistant'"
+
+
+def _block_lines(spark, sf_dir):
     rows = _said(spark, sf_dir).filter("role = 'assistant'")
     block = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("struct<file_path:string>").alias("input")), F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), F.lit("Read").alias("name"), F.struct(F.concat(F.lit("f"), F.col("line_idx") % 3).alias("file_path")).alias("input")))
     raw = F.to_json(F.struct(F.col("role").alias("type"), F.struct(block.alias("content"), F.struct(F.size(F.split("text", " ")).alias("output_tokens")).alias("usage")).alias("message")))
-    lines = rows.select("session_id", "line_idx", raw.alias("raw"))
-    return talk.messages(lines).select("session_id", "line_idx", "role", "text", F.col("output_tokens").cast("long").alias("output_tokens"), F.element_at("tools", 1).alias("tool"), F.element_at("files", 1).alias("file"))
+    return rows.select("session_id", "line_idx", raw.alias("raw"))
+
+
+def _told(said):
+    return said.select("session_id", "line_idx", "role", "text", F.col("output_tokens").cast("long").alias("output_tokens"), F.element_at("tools", 1).alias("tool"), F.element_at("files", 1).alias("file"))
+
+
+@query("x20_messages", X20_SQL)
+def message_parsing(spark, sf_dir):
+    return _told(talk.messages(_block_lines(spark, sf_dir)))
+
+
+@query("x20_stored_messages", X20_SQL)
+def stored_messages(spark, sf_dir):
+    """Lines parsed once and stored as shredded variants; the messages are read off their fields."""
+    return _told(talk.messages(tables.written(talk.parsed_lines(_block_lines(spark, sf_dir)).drop("raw"), "parsed-lines")))
+
+
+@query("x20_mixed_content", """SELECT conv_id AS session_id, turn AS line_idx, CASE WHEN turn % 2 = 0 THEN '[' || coalesce(text, '') ELSE trim(coalesce(text, '')) END AS text, CASE WHEN turn % 2 = 1 THEN '{"odd":' || turn || '}' END AS malformed
+FROM conversations WHERE role IN ('user', 'assistant') AND turn % 5 <> 4""")
+def mixed_content(spark, sf_dir):
+    """Content that is a text beginning like a list, or a list with a block that has no type; every fifth line is cut off."""
+    said = F.coalesce("text", F.lit(""))
+    block = F.array(F.to_json(F.struct(F.lit("text").alias("type"), said.alias("text"))), F.concat(F.lit('{"odd":'), "line_idx", F.lit("}")))
+    content = F.when(F.col("line_idx") % 2 == 1, F.concat(F.lit("["), F.array_join(block, ","), F.lit("]")))
+    plain = F.substring_index(F.to_json(F.struct(F.concat(F.lit("["), said, F.lit("|")).alias("c"))), '{"c":', -1)
+    text = F.coalesce(content, F.concat(F.left(plain, F.length(plain) - 3), F.lit('"')))
+    raw = F.concat(F.lit('{"type":"'), "role", F.lit('","message":{"content":'), text, F.when(F.col("line_idx") % 5 == 4, "").otherwise("}}"))
+    rows = talk.messages(_said(spark, sf_dir).select("session_id", "line_idx", raw.alias("raw")))
+    return rows.select("session_id", "line_idx", "text", F.get("malformed", F.lit(0)).alias("malformed"))
 
 
 @query("w2_files_seen", f"""WITH {TURNS_SQL}, f AS (SELECT session_id, turn_no, 'f' || (end_line % 4) AS file FROM turns), s AS (SELECT session_id, file, min(turn_no) AS seen FROM f GROUP BY ALL)
@@ -133,6 +163,17 @@ def observations(spark, sf_dir):
     return talk.observations(rows.select("session_id", raw.alias("raw_json"))).select("session_id", "n", "content", "importance_score", "scope")
 
 
+@query("x22_response_errors", """SELECT conv_id AS session_id, turn, CASE turn % 3 WHEN 0 THEN 'not JSON' ELSE 'no content' END AS error, CASE turn % 3 WHEN 0 THEN '{"observations": [' ELSE '{"scope":"s' || turn || '"}' END AS found
+FROM conversations WHERE turn % 3 < 2""")
+def response_errors(spark, sf_dir):
+    """A third of the responses is cut off, a third has an observation without content beside a good one."""
+    good = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("content")))
+    listed = F.concat(F.lit('{"observations": ['), good, F.when(F.col("line_idx") % 3 == 1, F.concat(F.lit(',{"scope":"s'), "line_idx", F.lit('"}'))).otherwise(""), F.lit("]}"))
+    raw = F.when(F.col("line_idx") % 3 == 0, '{"observations": [').otherwise(listed)
+    rows = _said(spark, sf_dir).select(F.struct("session_id", "line_idx").alias("of"), raw.alias("raw_json"))
+    return talk.response_errors(rows, "of").select("of.session_id", F.col("of.line_idx").alias("turn"), "error", "found")
+
+
 @query("x23_worklogs", "SELECT conv_id AS session_id, trim(text) AS task_summary, CASE WHEN turn % 2 = 0 THEN 'stream' ELSE 'misc' END AS workstream, CASE turn % 3 WHEN 0 THEN 'coding' ELSE 'other' END AS activity_type FROM conversations WHERE trim(text) <> ''")
 def worklogs(spark, sf_dir):
     item = F.struct(F.col("text").alias("task_summary"), F.when(F.col("line_idx") % 2 == 0, "stream").otherwise(" ").alias("workstream"), F.when(F.col("line_idx") % 3 == 0, "coding").otherwise("juggling").alias("activity_type"))

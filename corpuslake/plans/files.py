@@ -16,7 +16,7 @@ from corpuslake.streaming import jobs
 def _line():
     """A message as a transcript line."""
     block = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))
-    return F.to_json(F.struct(F.col("role").alias("type"), F.struct(F.to_json(block).alias("content")).alias("message")))
+    return F.to_json(F.struct(F.col("role").alias("type"), F.struct(block.alias("content")).alias("message")))
 
 
 def _transcripts(spark, sf_dir, condition: str = "TRUE") -> str:

@@ -283,13 +283,32 @@ def rebuild(spark, sf_dir):
     return rows.groupBy("directory").agg(F.countDistinct("parent_file").alias("n_files"))
 
 
-@query("m3_rebuild_report", "SELECT CASE WHEN doc_id % 9 = 0 THEN 'skipped' WHEN doc_id % 7 = 0 THEN 'error: unknown format' WHEN doc_id % 5 = 0 THEN 'error: blank' WHEN doc_id % 11 = 0 THEN 'error: no content' ELSE 'indexed' END AS outcome, count(*) AS n FROM documents GROUP BY 1")
-def rebuild_report(spark, sf_dir):
+OUTCOME_OF_DOC_SQL = "CASE WHEN doc_id % 9 = 0 THEN 'skipped' WHEN doc_id % 7 = 0 THEN 'error: unknown format' WHEN doc_id % 5 = 0 THEN 'error: blank' WHEN doc_id % 11 = 0 THEN 'error: no content' ELSE 'indexed' END"
+
+
+def _mixed_files(spark, sf_dir):
     k = F.col("doc_id")
     path = F.concat(F.when(k % 9 == 0, "templates/").otherwise("notes/"), k, F.when(k % 7 == 0, ".pdf").otherwise(".md"))
     content = F.when(k % 5 == 0, "  ").when(k % 11 == 0, F.lit(None)).otherwise(F.col("text"))
-    docs = table(spark, sf_dir, "documents").select(path.alias("path"), content.alias("content"))
-    return ingest.rebuilt(docs, _as_of())[1].groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf_dir, "documents").select(path.alias("path"), content.alias("content"))
+
+
+@query("m3_rebuild_report", f"SELECT {OUTCOME_OF_DOC_SQL} AS outcome, count(*) AS n FROM documents GROUP BY 1")
+def rebuild_report(spark, sf_dir):
+    return ingest.rebuilt(_mixed_files(spark, sf_dir), _as_of())[1].groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("m3_rebuild_counts", f"SELECT {OUTCOME_OF_DOC_SQL} AS outcome, count(*) AS n FROM documents GROUP BY 1 UNION ALL SELECT 'documents', count(*) FROM documents HAVING count(*) > 0")
+def rebuild_counts(spark, sf_dir):
+    """The counts that the rebuild's own job gathers while it writes chunks and failures."""
+    counts = ingest.rebuilt_into(_mixed_files(spark, sf_dir), tables.new_path(spark, "rebuild"), _as_of())[2]
+    return spark.createDataFrame([(name, n) for name, n in counts.items() if n and name != "chunks"], "outcome string, n long")
+
+
+@query("m3_failed_rows", f"SELECT CASE WHEN doc_id % 9 = 0 THEN 'templates/' ELSE 'notes/' END || doc_id || CASE WHEN doc_id % 7 = 0 THEN '.pdf' ELSE '.md' END AS path, {OUTCOME_OF_DOC_SQL} AS outcome FROM documents WHERE {OUTCOME_OF_DOC_SQL} <> 'indexed'")
+def failed_rows(spark, sf_dir):
+    """The side output of that job, read back."""
+    return ingest.rebuilt_into(_mixed_files(spark, sf_dir), tables.new_path(spark, "rebuild"), _as_of())[1]
 
 
 def _notes(spark, sf_dir):

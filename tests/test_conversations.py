@@ -67,3 +67,30 @@ def test_worklogs_are_compared_whole_with_all_before(spark, tmp_path):
     want = {c * 100 + t: any(d == c and u < t and alike(sets[d, u], x) for d, u in sets) for (c, t), x in sets.items() if t >= 4}
     got = [(r.worklog_id, r.dropped) for r in registry.QUERIES["j7_worklog_dedup"](spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and dict(got) == want == {104: False, 106: True, 108: False, 110: True, 112: True, 204: False, 114: False, 116: False}
+
+
+def test_messages_of_both_shapes_and_malformed_blocks(spark, tmp_path):
+    odd = [line("user", "[not a list"), line("assistant", [5, {"no": 1}, {"type": "text", "text": "said"}], input_tokens="x"), line("user", None), line("user", {"a": 1}), '{"type": 7, "message": 5}', "[]", "{bad", '{"type": "user", "type": "user"}']
+    lines = spark.createDataFrame([(1, i, raw) for i, raw in enumerate(odd)] + [(1, 99, None)], "session_id int, line_idx int, raw string")
+    want = [(0, "user", "[not a list", []), (1, "assistant", "said", ["5", '{"no":1}']), (2, "user", "", []), (3, "user", '{"a":1}', [])]
+    said = talk.messages(lines)
+    assert [(m.line_idx, m.role, m.text, m.malformed) for m in said.orderBy("line_idx").collect()] == want
+    assert {r.line_idx for r in talk.line_errors(lines).collect()} == {6, 7}
+    use = {"type": "tool_use", "name": "Copy", "input": {"path": "b", "file_path": "a", "relative_path": ""}}
+    assert talk.messages(spark.createDataFrame([(1, 0, line("assistant", [use, use]))], "session_id int, line_idx int, raw string")).first().files == ["a", "b"]
+    plan = said.filter("role = 'user'")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") == 1, plan
+
+    talk.parsed_lines(lines).drop("raw").write.parquet(f"{tmp_path}/lines")
+    stored = talk.messages(spark.read.parquet(f"{tmp_path}/lines"))
+    assert [(m.line_idx, m.role, m.text, m.malformed) for m in stored.orderBy("line_idx").collect()] == want
+
+
+def test_responses_are_parsed_once_and_errors_kept(spark):
+    rows = [("a", '{"observations": [{"content": "x"}, 7, {"tags": []}]}'), ("b", "cut {"), ("c", " "), ("d", None), ("e", '{"observations": 3}'), ("f", "[1]")]
+    df = spark.createDataFrame(rows, "session_id string, raw_json string")
+    assert [(r.session_id, r.content) for r in talk.observations(df).collect()] == [("a", "x")]
+    assert {(r.session_id, r.error, r.found) for r in talk.response_errors(df).collect()} == {("a", "no content", "7"), ("a", "no content", '{"tags":[]}'), ("b", "not JSON", "cut {")}
+    for out in (talk.observations(df), talk.worklogs(df)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("parse_json") + plan.count("parseJson") == 1, plan

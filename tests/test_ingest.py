@@ -146,3 +146,16 @@ def test_storage_size_is_that_of_the_files(spark, tmp_path):
     spark.range(100).repartition(3).write.parquet(str(tmp_path / "t"))
     parts = [os.path.getsize(tmp_path / "t" / f) for f in os.listdir(tmp_path / "t") if f.endswith(".parquet")]
     assert tuple(lifecycle.storage_size(spark, str(tmp_path / "t")).first()) == (sum(parts), len(parts))
+
+
+def test_rebuild_in_one_job_equals_the_rebuild(spark, tmp_path):
+    rows = [("notes/a.md", "# A\n\n" + "word " * 400 + "\n\n## B\n\n" + "more " * 300), ("notes/b.md", " "), ("notes/c.pdf", "x"), ("templates/d.md", "x"), (None, "x"), ("notes/e.org", None), ("people/f.md", "x"), ("notes/g.md", "---\ntype: t\n---\nshort"), ("notes/b.md", " ")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "path string, content string, part int")
+    as_of = F.lit("2024-01-01").cast("timestamp")
+    chunks, failed, counts = ingest.rebuilt_into(docs, f"{tmp_path}/t", as_of)
+    want, judged = ingest.rebuilt(docs, as_of)
+    assert chunks.columns == want.columns and sorted(map(repr, chunks.collect())) == sorted(map(repr, want.collect()))
+    assert sorted(map(repr, failed.collect())) == sorted(repr(r) for r in judged.collect() if r.outcome != "indexed")
+    assert counts == {"documents": 9, "chunks": want.count(), **{o: sum(r.outcome == o for r in judged.collect()) for o in ingest.OUTCOMES}}
+    empty = ingest.rebuilt_into(docs.limit(0), f"{tmp_path}/none", as_of)
+    assert empty[0].count() == empty[1].count() == empty[2]["documents"] == 0
