@@ -8,9 +8,10 @@ result of their own text: rows are told apart by id and text hash. Input columns
 never read. Main path: SQL functions only.
 
 Scale: one pass over the documents, whose windows stay inside the stage that makes them (explode, probe,
-filter); only one base row for each document and the hits are shuffled. The set is broadcast in blocks of at most
-`BLOCK_WINDOWS` windows (some 40 MB): a larger benchmark takes one such pass a block, dealt by hash, and the blocks' hits
-are put together, so neither memory nor the shuffle depends on its size and long documents cost what their words cost.
+filter). Only the windows' hashes are broadcast, in blocks of at most some `BLOCK_WINDOWS` (8 bytes each, however long their
+words and however many items have them): a larger benchmark takes one such pass a block, dealt by hash, and the
+blocks' hits are put together. The few rows that met a hash then join the written table of windows on hash and words; Spark chooses how,
+by its size. One base row for each document and those rows are all that is shuffled; long documents cost what their words cost.
 """
 
 from __future__ import annotations
@@ -57,34 +58,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     length), contaminated (a twentieth of the words or more are hit)."""
     sized = benchmark.select(F.size(words_of(F.col(item_text))).alias("w")).filter("w > 0")
     facts = sized.agg(F.sum(F.greatest(F.col("w") - window + 1, F.lit(1))).alias("windows"), F.array_sort(F.collect_set(F.least("w", F.lit(window)))).alias("lengths")).first()
-    known = benchmark_windows(benchmark, item_id, item_text, window)
+    known = written(benchmark_windows(benchmark, item_id, item_text, window), "benchmark-windows")
     blocks = max(1, -(-(facts["windows"] or 0) // block_windows))
-    if blocks > 1:
-        known = written(known, "benchmark-windows")
 
     read = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), words_of(F.col(text)).alias("words"))
     n = F.size("words")
-    probe = lambda size: lambda start: _hash(F.col("words"), start, size)
-    none = F.struct(F.lit(0).alias("length"), F.array(F.lit(None).cast("long")).alias("hashes"))
-    by_length = [none] + [
-        F.struct(
-            F.lit(size).alias("length"),
-            F.when(n >= size, F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), probe(size))).alias("hashes"),
-        )
-        for size in facts["lengths"]
-    ]
-    # `length` 0 marks the base row, which every document keeps
-    rows = read.select("id", "text_hash", "words", F.explode(F.array(*by_length)).alias("w"))
-    rows = rows.select("id", "text_hash", "words", F.col("w.length").alias("size"), F.posexplode("w.hashes").alias("start", "probe"))
-    same = (F.col("probe") == F.col("hash")) & (F.col("gram") == F.array_join(F.slice("words", F.col("start") + 1, F.col("size")), " "))
+    # size 0 marks the base row, which every document keeps
+    sizes = F.array(*map(F.lit, [0, *facts["lengths"]]))
+    rows = read.select("id", "text_hash", "words", F.explode(F.filter(sizes, lambda size: size <= n)).alias("size"))
+    last = F.when(F.col("size") > 0, n - F.col("size")).otherwise(0)
+    rows = rows.select("id", "text_hash", "words", "size", F.explode(F.sequence(F.lit(0), last)).alias("start"))
+    probe = F.when(F.col("size") > 0, _hash(F.col("words"), F.col("start") + 1, F.col("size")))
+    rows = rows.withColumn("probe", probe)
     passes = []
     for block in range(blocks):
-        part = F.broadcast(known if blocks == 1 else known.filter(F.pmod("hash", F.lit(blocks)) == block))
-        # the first pass also keeps the base rows
-        found = rows.join(part, same, "left").filter((F.col("size") == 0) | F.col("items").isNotNull()) if block == 0 else rows.filter("size > 0").join(part, same)
-        found = found.select("id", "text_hash", "size", "start", "items", F.when(F.col("size") == 0, F.size("words")).alias("n_words"))
-        passes.append(found if blocks == 1 else written(found, "benchmark-hits"))
-    hits = reduce(DataFrame.union, passes)
+        # two numbers a window, whatever its words and however many items have it
+        part = F.broadcast(known.filter(F.pmod("hash", F.lit(blocks)) == block).select("hash").distinct())
+        met = rows.join(part, F.col("probe") == F.col("hash"), "left" if block == 0 else "inner")
+        met = met.filter((F.col("size") == 0) | F.col("hash").isNotNull()) if block == 0 else met
+        gram = F.when(F.col("size") > 0, F.array_join(F.slice("words", F.col("start") + 1, F.col("size")), " "))
+        # base rows never meet a window, so any number spreads them
+        met = met.select("id", "text_hash", "size", "start", gram.alias("said"), F.coalesce("probe", F.xxhash64("id", "text_hash")).alias("probe"), F.when(F.col("size") == 0, F.size("words")).alias("n_words"))
+        passes.append(met if blocks == 1 else written(met, "benchmark-hits"))
+    # now the few rows that met a hash are held against the words
+    met, windows = reduce(DataFrame.union, passes), known.select("hash", "length", "gram", "items")
+    same = (F.col("probe") == F.col("hash")) & (F.col("said") == F.col("gram")) & (F.col("size") == F.col("length"))
+    hits = met.join(windows, same, "left").filter((F.col("size") == 0) | F.col("items").isNotNull()).select("id", "text_hash", "size", "start", "items", "n_words")
 
     hit = F.when(F.col("size") > 0, F.struct("start", "size"))
     docs_hit = hits.groupBy("id", "text_hash").agg(
@@ -115,10 +114,15 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     spans = contamination(docs, benchmark, doc_id, text).filter("n_hit > 0").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans")).distinct()
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.xxhash64(body) == F.col("__hash"))
-    hit = lambda i: F.exists("__spans", lambda s: (i >= s["start"]) & (i < s["start"] + s["size"]))
-    kept = F.transform(F.regexp_extract_all(body, F.lit(f"({RAW_WORD})"), 1), lambda w, i: F.when(hit(i), F.lit("")).otherwise(w))
+    # hit words by hashing and one sort, so that a long text costs what its words cost
+    hit = F.array_distinct(F.flatten(F.transform("__spans", lambda s: F.sequence(s["start"], s["start"] + s["size"] - 1))))
+    both = docs.join(spans, same, "left").withColumn("__said", F.when(F.col("__spans").isNotNull(), F.transform(F.regexp_extract_all(body, F.lit(f"({RAW_WORD})"), 1), lambda w, i: F.struct(i.alias("at"), w.alias("word")))))
+    both = both.withColumn("__hit", hit).withColumn("__left", F.array_except(F.transform("__said", lambda w: w["at"]), F.col("__hit")))
+    left = F.transform("__left", lambda i: F.get("__said", i))
+    gone = F.transform("__hit", lambda i: F.struct(i.alias("at"), F.lit("").alias("word")))
+    kept = F.transform(F.array_sort(F.concat(left, gone)), lambda w: w["word"])
     joined = F.array_join(F.zip_with(F.split(body, RAW_WORD), kept, lambda gap, w: F.concat(gap, F.coalesce(w, F.lit("")))), "")
-    cut = docs.join(spans, same, "left").withColumn(text, F.when(F.col("__spans").isNotNull(), joined).otherwise(F.col(f"`{text}`")))
+    cut = both.withColumn(text, F.when(F.col("__spans").isNotNull(), joined).otherwise(F.col(f"`{text}`")))
     return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

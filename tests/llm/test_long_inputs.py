@@ -59,3 +59,28 @@ def test_every_teaching_text_is_used_whole(spark):
     for dictionary, value in ((model.good, 1), (model.bad, 0)):
         own = [r["text"].encode() for r in docs.collect() if r["doc_id"] % 2 == value and r["text"].encode() in dictionary]
         assert len(dictionary) == sum(len(t) + 1 for t in own) and len(own) > 5
+
+
+def test_leaky_long_text_loses_its_hit_words_in_time(spark):
+    """Spans all over a long text: each window of the text is one of the benchmark's."""
+    import time
+
+    from corpuslake.llm import decontamination
+
+    item = [f"w{i}" for i in range(40)]
+    words = [w for i in range(1000) for w in (*item, f"own{i}")]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "a, b; c"), (3, None), (4, ", ".join(item[:13]) + "!")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "c"), (3, None)], "item_id long, text string")
+    begun = time.time()
+    got = {r.doc_id: r.text for r in decontamination.remove_spans(docs, bench).collect()}
+    assert got[1].split() == [f"own{i}" for i in range(1000)] and got[2] == "a, b; " and got[3] is None and got[4] == ", " * 12 + "!"
+    assert time.time() - begun < 60
+
+
+def test_window_hashes_alone_are_probed_and_broadcast(spark, small):
+    """No window's words are built before its hash is met, and the forced broadcast holds hashes only."""
+    from corpuslake.llm import decontamination
+
+    plan = decontamination.op3_benchmark_decontamination(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    forced = [line for line in plan.splitlines() if "rightHint=(strategy=broadcast)" in line or "strategy=broadcast" in line]
+    assert len(forced) == 1 and "(probe#" in forced[0] and "= hash#" in forced[0] and "array_join" not in forced[0], forced
