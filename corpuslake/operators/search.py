@@ -18,6 +18,7 @@ from corpuslake.sources.tables import new_path
 
 QUERY_BLOCK, ROW_BLOCK = 512, 4096
 PASS_BLOCKS = 32  # query blocks that are broadcast at once
+ASKED = 256  # rows an index is measured with
 
 
 def with_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -139,11 +140,18 @@ def reranked(found: DataFrame, chunks: DataFrame, as_of: Column, options: Search
     return one.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= n)
 
 
+def held_out(sample: list) -> tuple[list, list]:
+    """(rows to measure with, rows to fit on): at most ASKED and a quarter of the sample are kept from the fit, where they would be
+    nearer to their centroids than the table's other rows are."""
+    n = min(ASKED, len(sample) // 4)
+    return (sample[:n], sample[n:]) if n else (sample, sample)
+
+
 class Index:
     """Inverted-file index (V4): centroids fitted on a bounded sample, every row with a vector in the list of its nearest.
 
     The number of lists follows the rows (four times their square root, an eighth of the sample at most). A query probes
-    as many lists as `recall` takes on the sample, measured there against brute force."""
+    as many lists as `recall` takes, measured against the exact search over all rows with sample rows that no centroid was fitted on."""
 
     def __init__(self, chunks: DataFrame, doc_id: str = "doc_id", vector: str = "embedding", sample: int = 20_000, recall: float = 0.95, k: int = 15, rounds: int = 8):
         self.doc_id, self.vector = doc_id, vector
@@ -152,7 +160,8 @@ class Index:
         path = new_path(chunks.sparkSession, "index-sample")  # cut in a task; then at most `sample` rows come back
         every.orderBy(F.xxhash64("k"), "k").limit(sample).write.parquet(path)
         rows = chunks.sparkSession.read.schema(every.schema).parquet(path).orderBy(F.xxhash64("k"), "k").collect()
-        x = _unit(np.array([r["v"] for r in rows]), len(rows)) if rows else np.zeros((0, 1))
+        asked, fitted = held_out(rows)
+        x = _unit(np.array([r["v"] for r in fitted]), len(fitted)) if rows else np.zeros((0, 1))
         centres = x[: max(1, min(int(4 * n**0.5), len(x) // 8))].copy()
         for _ in range(rounds if len(x) else 0):
             near = np.argmax(x @ centres.T, axis=1)
@@ -161,20 +170,16 @@ class Index:
             held = np.bincount(near, minlength=len(centres)) > 0
             centres[held] = _unit(sums[held].ravel(), int(held.sum()))
         self.centres = centres
-        self.probes = self._probes(x, recall, k)
         self.rows = self._listed(chunks, doc_id, 1)
-
-    def _probes(self, x: np.ndarray, recall: float, k: int) -> int:
-        asked = x[:256]
-        if not len(x):
-            return 1
-        top = np.argsort(-(asked @ x.T), axis=1, kind="stable")[:, : min(k, len(x))]
-        order = np.argsort(-(asked @ self.centres.T), axis=1, kind="stable")
-        place = np.empty_like(order)
-        np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
-        of_row = np.argmax(x @ self.centres.T, axis=1)
-        needed = np.take_along_axis(place, of_row[top], axis=1).ravel()  # place of the list that holds each true neighbour
-        return int(np.sort(needed)[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
+        self.probes = self._probes(asked, every, recall, k) if rows else 1
+
+    def _probes(self, asked: list, every: DataFrame, recall: float, k: int) -> int:
+        exact = nearest(every.sparkSession.createDataFrame(asked, every.schema), every, k, "k", "k", "v")
+        found = exact.join(self.rows.select(F.col("k").alias("doc_id"), "list"), "doc_id").select("query_id", "list").collect()  # k rows a query of at most ASKED
+        order = np.argsort(-(_unit(np.array([r["v"] for r in asked]), len(asked)) @ self.centres.T), axis=1, kind="stable")
+        place, of = np.argsort(order, axis=1), {r["k"]: i for i, r in enumerate(asked)}
+        needed = np.sort([place[of[r["query_id"]], r["list"]] for r in found])  # place of the list that holds each true neighbour
+        return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
 
     def _listed(self, df: DataFrame, key: str, n: int) -> DataFrame:
         centres = self.centres

@@ -134,3 +134,16 @@ def test_nearest_with_nulls_ties_and_several_passes(spark, monkeypatch):
 def test_rows_are_not_shuffled_by_the_exact_search(spark, small):
     plan = plans.exact_top_k(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(query_id") == 1
+
+
+def test_index_recall_on_rows_that_no_centroid_was_fitted_on(spark):
+    """Noise in 48 dimensions: the queries are other rows than those that shaped the centroids."""
+    import numpy as np
+
+    x = np.random.default_rng(8).normal(size=(4000, 48))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, embedding array<float>")
+    asked = rows.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    got = {(r.query_id, r.doc_id) for r in search.Index(rows).search(asked, 15).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    exact = {(q, int(d)) for q in range(0, 4000, 20) for d in np.argsort(-(x @ x[q]))[:15]}
+    assert len(got & exact) >= 0.9 * len(exact)
