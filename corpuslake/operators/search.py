@@ -18,6 +18,8 @@ from corpuslake.sources.tables import new_path
 
 QUERY_BLOCK, ROW_BLOCK = 512, 4096
 PASS_BLOCKS = 32  # query blocks that are broadcast at once
+QUERY_PART = 128  # queries in one matrix product
+HELD = 250_000  # found rows, until those of each query that are too far go
 ASKED = 256  # rows an index is measured with
 
 
@@ -27,26 +29,15 @@ def with_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select(F.col(key).alias("k"), v.alias("v")).filter(F.col("k").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()))
 
 
-def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, v) rows as they come, ROW_BLOCK a row: keys in order, vectors one after another."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, ROW_BLOCK):
-            part = batch.slice(i, ROW_BLOCK)
-            part = part.take(pc.sort_indices(part.column(0)))
-            values = part.column(1).flatten()
-            one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-            yield pa.RecordBatch.from_arrays([one(part.column(0)), one(values)], names=["rb_keys", "rb_vectors"])
-
-
 def _unit(flat: np.ndarray, n: int) -> np.ndarray:
     x = flat.astype(np.float64).reshape(n, -1)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
 
 
-def _least(found: pa.Table, k: int) -> pa.Table:
+def _least(found: pa.Table, k: int, by: str = "query_id") -> pa.Table:
     """The k nearest rows of each query, of equal distances those with the least id."""
-    order = found.sort_by([("query_id", "ascending"), ("rounded", "ascending"), ("doc_id", "ascending")])
-    q = order.column("query_id").combine_chunks()
+    order = found.sort_by([(by, "ascending"), ("rounded", "ascending"), ("doc_id", "ascending")])
+    q = order.column(by).combine_chunks()
     n = len(q)
     new = np.ones(n, bool)
     if n > 1:
@@ -87,12 +78,73 @@ def _block_top(k: int, with_self: bool):
     return top
 
 
+def _stream_top(k: int, with_self: bool, last_block: int):
+    """A task's first row once for each query block, then its other rows as they come -> each query's k nearest rows of this
+    task. Held: the pass's queries, one part of a batch of rows, and at most k rows a query beside HELD new ones."""
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: list[tuple[int, pa.Array, np.ndarray]] = []  # (place of the first query, keys, unit vectors)
+        edge = np.zeros(0)  # of each query, what a row must not exceed to be among the k nearest
+        held: list[pa.Table] = []
+        size = 0
+        for batch in batches:
+            qb = batch.column("qb").to_numpy(zero_copy_only=False)
+            for i in np.flatnonzero(batch.column("qb_keys").is_valid().to_numpy(zero_copy_only=False)):
+                keys, vectors = batch.column("qb_keys")[i].values, batch.column("qb_vectors")[i].values
+                blocks.append((len(edge), keys, _unit(vectors.to_numpy(zero_copy_only=False), len(keys))))
+                edge = np.append(edge, np.full(len(keys), np.inf))
+            rows = batch.select(["k", "v"]).filter(pa.array(~(qb < last_block)))  # the first row counts once all queries are there
+            for a in range(0, rows.num_rows, ROW_BLOCK):
+                part = rows.slice(a, ROW_BLOCK)
+                part = part.take(pc.sort_indices(part.column(0)))
+                rk, y = part.column(0), _unit(part.column(1).flatten().to_numpy(zero_copy_only=False), part.num_rows).T
+                for first, keys, x in blocks:
+                    for c in range(0, len(keys), QUERY_PART):
+                        qk = keys[c : c + QUERY_PART]
+                        row, col, near, rounded = _block_least(x[c : c + QUERY_PART] @ y, edge[first + c : first + c + len(qk)], k, None if with_self else (qk, rk))
+                        if len(row):
+                            held.append(pa.table({"q": first + c + row, "query_id": qk.take(pa.array(row)), "doc_id": rk.take(pa.array(col)), "distance": near, "rounded": rounded}))
+                            size += len(row)
+                        if size > HELD:
+                            held, size = [_least(pa.concat_tables(held), k, "q")], 0
+                            q, last = held[0].column("q").to_numpy(), held[0].column("rounded").to_numpy()
+                            full = np.flatnonzero(np.bincount(q, minlength=len(edge)) == k)
+                            edge[full] = last[np.searchsorted(q, full, "right") - 1]
+        if held:
+            yield from _least(pa.concat_tables(held), k, "q").drop(["q", "rounded"]).to_batches(max_chunksize=100_000)
+
+    return top
+
+
+def _block_least(products: np.ndarray, edge: np.ndarray, k: int, keys: tuple | None) -> tuple[np.ndarray, ...]:
+    """(query, row, distance, rounded distance) of the rows up to each query's edge, the k nearest of each at most; keys: of queries and
+    rows, where a query must not meet itself. Lowers the edges. Rows are in key order, so of equal ones the first are taken."""
+    near = np.clip(1.0 - products, 0.0, 2.0)
+    rounded = np.round(near, 9)
+    if keys:
+        where = pc.index_in(keys[0], value_set=keys[1]).to_numpy(zero_copy_only=False)  # null where the query is no row
+        own = np.flatnonzero(~np.isnan(where.astype(float)))
+        rounded[own, where[own].astype(int)] = np.inf
+    kept = (rounded <= edge[:, None]) & np.isfinite(rounded)
+    many = np.flatnonzero(kept.sum(axis=1) > k)
+    if len(many):
+        some = rounded[many]
+        last = np.partition(some, k - 1, axis=1)[:, k - 1 : k]
+        below, equal = some < last, some == last
+        equal &= np.cumsum(equal, axis=1, dtype=np.int32) <= k - below.sum(axis=1, keepdims=True)
+        kept[many] = below | equal
+        edge[many] = last[:, 0]
+    row, col = np.nonzero(kept)
+    return row, col, near[row, col], rounded[row, col]
+
+
 def nearest(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "query_id", doc_id: str = "doc_id", vector: str = "embedding", with_self: bool = True) -> DataFrame:
     """Exact k nearest chunks of each query by cosine distance (J1, V2, V3): (query_id, doc_id, distance).
 
-    Queries are packed into blocks of QUERY_BLOCK, PASS_BLOCKS of which are broadcast at once; rows are packed where they
-    are read and meet each block in one matrix product, so rows are never shuffled. A task passes on k rows a query.
-    More queries take more passes over the rows. Rows and queries without a vector are in no result."""
+    Queries are packed into blocks of QUERY_BLOCK, PASS_BLOCKS of which are broadcast at once. Each task's first row brings them to its
+    Python worker, once; the other rows follow as they are read, so rows are neither shuffled nor repeated, and a worker's memory
+    does not grow with the table. A task passes on k rows a query. More queries take more passes over the rows. Rows and queries
+    without a vector are in no result."""
     spark = queries.sparkSession
     asked = with_vectors(queries, query_id, vector)
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
@@ -104,13 +156,15 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "quer
     packed = spark.read.schema(packed.schema).parquet(path)
     rows = with_vectors(chunks, doc_id, vector)
     kinds = asked.schema["k"].dataType.simpleString(), rows.schema["k"].dataType.simpleString()
-    packs = rows.mapInArrow(_packs, f"rb_keys array<{kinds[1]}>, rb_vectors {rows.schema['v'].dataType.simpleString()}")
+    of_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # a row's place in its task
     found = None
     for low in range(0, blocks, PASS_BLOCKS):
-        part = F.broadcast(packed.filter(F.col("qb").between(low, low + PASS_BLOCKS - 1)))
-        spread = packs.withColumn("qb", F.explode(F.sequence(F.lit(low), F.lit(min(blocks, low + PASS_BLOCKS) - 1))))
-        met = spread.join(part, "qb").select("qb_keys", "qb_vectors", "rb_keys", "rb_vectors")
-        top = met.mapInArrow(_block_top(k, with_self), f"query_id {kinds[0]}, doc_id {kinds[1]}, distance double")
+        high = min(blocks, low + PASS_BLOCKS) - 1
+        part = F.broadcast(packed.filter(F.col("qb").between(low, high)))
+        every = F.sequence(F.lit(low), F.lit(high))
+        spread = rows.withColumn("place", of_task).select("k", "v", F.explode_outer(F.when(F.col("place") == 0, every)).alias("qb"))
+        met = spread.join(part, "qb", "left").select("qb", "qb_keys", "qb_vectors", "k", "v")
+        top = met.mapInArrow(_stream_top(k, with_self, high), f"query_id {kinds[0]}, doc_id {kinds[1]}, distance double")
         found = top if found is None else found.union(top)
     return _ranked(found, k)
 

@@ -147,3 +147,21 @@ def test_index_recall_on_rows_that_no_centroid_was_fitted_on(spark):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     exact = {(q, int(d)) for q in range(0, 4000, 20) for d in np.argsort(-(x @ x[q]))[:15]}
     assert len(got & exact) >= 0.9 * len(exact)
+
+
+def test_exact_search_passes_each_row_to_python_once(spark, monkeypatch):
+    """Queries in many blocks, some of them empty: what goes to the workers is the rows, and the queries once a task."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 8)).round(1)
+    x[:900] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "doc_id long, embedding array<double>").repartition(3)
+    asked = df.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    monkeypatch.setattr(search, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(search, "HELD", 500, raising=False)
+    found = search.nearest(asked, df, 7)
+    assert {(r.query_id, r.doc_id) for r in found.collect()} == plain_nearest(rows[::20], rows, 7)
+    plan = search.nearest(asked, df, 7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == -(-150 // 2 // search.PASS_BLOCKS)  # no packs of rows that each block would repeat
