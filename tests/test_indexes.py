@@ -87,3 +87,21 @@ def test_recall_of_the_quantised_index(spark):
     assert index.bytes_share(asked).agg(F.max("share")).first()[0] < 0.2
     empty = quantised.QuantisedIndex(rows.limit(0))
     assert empty.search(asked, 10).collect() == []
+
+
+def test_rows_scored_again_do_not_grow_with_the_table(spark, monkeypatch):
+    """Noise and a crowd of copies, small parts of blocks: recall holds, and a query's candidates are a count, not a share."""
+    monkeypatch.setattr(quantised, "CODE_BLOCK", 50)
+    monkeypatch.setattr(quantised, "QUERY_PART", 7, raising=False)
+    x = np.random.default_rng(6).normal(size=(4000, 48))
+    x[1000:1600] = x[1000]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, embedding array<float>").repartition(4)
+    index = quantised.QuantisedIndex(rows, k=15, sample=1000)
+    asked = rows.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    assert index.again < 0.05 * 4000
+    assert index.candidates(asked).groupBy("query_id").count().agg(F.max("count")).first()[0] <= index.again
+    got = {(r.query_id, r.doc_id) for r in index.search(asked, 15).collect()}
+    x = x.astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    exact = {(q, int(d)) for q in range(0, 4000, 20) for d in np.argsort(np.round(1 - x @ x[q], 9), kind="stable")[:15]}
+    assert len(got & exact) >= 0.9 * len(exact)
